@@ -18,6 +18,14 @@ def _vocabulary(name: str) -> str:
     return path(name)
 
 
+def op1_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crf_langid import held_out, learn, predict
+
+    docs = _documents(spark, sf_dir)
+    out = predict(docs, learn(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_repair_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repair import read_shards, write_shards
 
@@ -53,8 +61,14 @@ def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .superminhash import near_groups
+
+    return near_groups(_documents(spark, sf_dir), percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_repair_token_file, op4_exact_dedup, op8_spm_byte_bpe, op9_hilbert_packing)
+    f.__name__: f for f in (op1_crf_language_id, op2_repair_token_file, op4_exact_dedup, op8_spm_byte_bpe, op9_hilbert_packing, op10_superminhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
