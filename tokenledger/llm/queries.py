@@ -33,12 +33,27 @@ def op2_repair_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(shards).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_lpf_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lpf_dedup import remove_spans, repeated_spans
+
+    out = remove_spans(repeated_spans(_documents(spark, sf_dir), length=200, keep="none"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
     return exact_groups(_documents(spark, sf_dir))
 
 
+def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii_disclosure import KINDS, joined, spans
+
+    out = spans(_documents(spark, sf_dir))
+    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op8_spm_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
@@ -68,7 +83,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_crf_language_id, op2_repair_token_file, op4_exact_dedup, op8_spm_byte_bpe, op9_hilbert_packing, op10_superminhash)
+    f.__name__: f for f in (op1_crf_language_id, op2_repair_token_file, op3_lpf_substring_dedup, op4_exact_dedup, op5_pii_disclosure, op8_spm_byte_bpe, op9_hilbert_packing, op10_superminhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
