@@ -54,6 +54,12 @@ def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .context_mixing import score
+
+    return score(_documents(spark, sf_dir))
+
+
 def op7_pca_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pca_neardup import near_vectors
 
@@ -89,7 +95,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_crf_language_id, op2_repair_token_file, op3_lpf_substring_dedup, op4_exact_dedup, op5_pii_disclosure, op7_pca_near_vectors, op8_spm_byte_bpe, op9_hilbert_packing, op10_superminhash)
+    f.__name__: f for f in (op1_crf_language_id, op2_repair_token_file, op3_lpf_substring_dedup, op4_exact_dedup, op5_pii_disclosure, op6_context_mixing, op7_pca_near_vectors, op8_spm_byte_bpe, op9_hilbert_packing, op10_superminhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
