@@ -27,30 +27,51 @@ from pyspark.sql import functions as F
 from .common import ship, stored, text_slices, words_of
 
 #: Bytes of text per chunk, bits of each order's table of counts, gates (confidence of orders 3 and 4, 5 levels each).
-CHUNK, TABLE_BITS, LEVELS = 24 << 20, (16, 18, 19, 20), 5
-#: Learning: rate of the weights, words per step; words per refinement, and the refined weight's start and strength.
-RATE, STEP, REFINE, START, STRENGTH = 0.02, 512, 32, 0.8, 16.0
-PART = 20_000
+CHUNK, TABLE_BITS, LEVELS = 32 << 20, (16, 18, 19, 20), 5
+#: Learning: rate of the weights, bytes per step; words per refinement, and the refined weight's start and strength.
+RATE, STEP, REFINE, START, STRENGTH = 0.1, 2048, 32, 0.8, 16.0
+PART = 40_000
 _SIZES = [1 << b for b in TABLE_BITS]
 _STARTS = np.concatenate([[0], np.cumsum(_SIZES)])
 
 
 class Nodes:
-    """The binary decisions of some words: table places for each order, bits, and each decision's word."""
+    """The binary decisions of some words: table places for each order and bits, one row of eight for each byte.
+
+    Words that begin alike share their first bytes' decisions: words must be in order, and a word adds only
+    the bytes after what it shares with the one before. `source` has each byte's row, shared ones included.
+    """
+
+    SHARED = 48
 
     def __init__(self, words: list[str]) -> None:
         raw = [w.encode() + b" " for w in words]
         sizes = np.array([len(r) for r in raw], np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
+        starts = np.cumsum(sizes) - sizes
         self.word = np.repeat(np.arange(len(words)), sizes)
-        within = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        within = np.arange(len(data)) - starts[self.word]
+        common = np.zeros(len(words), np.int64)
+        open_ = np.arange(1, len(words))
+        for d in range(self.SHARED):
+            open_ = open_[np.minimum(sizes[open_], sizes[open_ - 1]) > d]
+            open_ = open_[data[starts[open_] + d] == data[starts[open_ - 1] + d]]
+            common[open_] = d + 1
+        place = np.arange(len(data))
+        for d in range(int(common.max(initial=0))):
+            owner = np.maximum.accumulate(np.where(common <= d, np.arange(len(words)), 0))
+            shared = np.flatnonzero(common > d)
+            place[starts[shared] + d] = starts[owner[shared]] + d
+        own = place == np.arange(len(data))
+        self.source = (np.cumsum(own) - 1)[place]
         context, history = [], np.zeros(len(data), np.uint32)
         for k in range(1, 5):
             last = np.zeros(len(data), np.uint32)
             last[k:] = data[:-k]
             last[within < k] = 0
             history = history << np.uint32(8) | last
-            context.append(history)
+            context.append(history[own])
+        data = data[own]
         depth = np.arange(8, dtype=np.uint32)
         node = np.uint32(1) << depth | data[:, None] >> (np.uint32(8) - depth)
         self.bits = (data[:, None] >> (np.uint32(7) - depth) & np.uint32(1)).astype(np.int8)
@@ -60,12 +81,16 @@ class Nodes:
             h = (h ^ h >> np.uint32(15)) * np.uint32(0xC2B2AE35)
             self.slots.append((h >> np.uint32(32 - TABLE_BITS[k])) + np.uint32(_STARTS[k]))
 
+    def times(self, times: np.ndarray) -> np.ndarray:
+        """How often each byte row is passed."""
+        return np.bincount(self.source, times[self.word], len(self.bits))
+
     def add(self, zeros: np.ndarray, ones: np.ndarray, times: np.ndarray) -> None:
-        own = np.repeat(times[self.word].astype(np.float64)[:, None], 8, 1)
+        own = np.repeat(self.times(times)[:, None], 8, 1)
+        one = self.bits == 1
         for k, slots in enumerate(self.slots):
             low, size = int(_STARTS[k]), _SIZES[k]
             at = slots.astype(np.int64) - low
-            one = self.bits == 1
             ones[low : low + size] += np.bincount(at[one], own[one], size)
             zeros[low : low + size] += np.bincount(at[~one], own[~one], size)
 
@@ -90,22 +115,21 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 def learn_weights(words: list[str], times: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Weights [gate, order] after one online pass over the words, in hashed order."""
-    weights = np.full((LEVELS * LEVELS, 4), 0.3)
+    weights, seen = np.full((LEVELS * LEVELS, 4), 0.3), np.full((LEVELS * LEVELS, 4), 1.0)
     order = np.argsort([xxhash.xxh32_intdigest(w) for w in words], kind="stable")
     for at in range(0, len(order), PART):
-        some = order[at : at + PART]
+        some = np.sort(order[at : at + PART])  # the words are in order
         nodes = Nodes([words[i] for i in some])
         x, gate = nodes.inputs(zeros, ones, True)
-        cuts = np.searchsorted(nodes.word, np.arange(0, len(some) + STEP, STEP))
-        share = np.log2(1 + times[some])[nodes.word]
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if a == b:
-                continue
-            g, own = gate[a:b].ravel(), x[a:b].reshape(-1, 4)
-            error = (nodes.bits[a:b].ravel() - squash(np.einsum("ij,ij->i", own, weights[g]))) * np.repeat(share[a:b], 8)
+        share = np.log2(1 + nodes.times(times[some]))
+        mixed = np.random.default_rng(at).permutation(len(x))
+        for a in range(0, len(x), STEP):
+            rows = mixed[a : a + STEP]
+            g, own = gate[rows].ravel(), x[rows].reshape(-1, 4)
+            error = (nodes.bits[rows].ravel() - squash(np.einsum("ij,ij->i", own, weights[g]))) * np.repeat(share[rows], 8)
             step = np.stack([np.bincount(g, error * own[:, k], len(weights)) for k in range(4)], 1)
-            weights += RATE * step / np.sqrt(np.bincount(g, minlength=len(weights)) + 1)[:, None]
-            np.clip(weights, -2, 4, out=weights)
+            seen += step**2
+            weights += RATE * step / np.sqrt(seen)
     return weights
 
 
@@ -118,7 +142,8 @@ def word_logs(words: list[str], zeros: np.ndarray, ones: np.ndarray, weights: np
         x, gate = nodes.inputs(zeros, ones, False)
         z = np.einsum("bdk,bdk->bd", x, weights[gate].astype(np.float32)).astype(np.float64)
         z = np.clip(np.where(nodes.bits == 1, z, -z), -20, 20)
-        out[at : at + len(some)] = np.bincount(nodes.word, -np.log1p(np.exp(-z)).sum(1), len(some)) / math.log(10)
+        logs = -np.log1p(np.exp(-z)).sum(1)[nodes.source]
+        out[at : at + len(some)] = np.bincount(nodes.word, logs, len(some)) / math.log(10)
     return out
 
 
@@ -188,7 +213,11 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk: int =
     def opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[str]]:
         press = zstandard.ZstdDecompressor()
         data = [press.decompress(x.as_buffer()) for c in table.column("data").chunks for x in c]
-        return words_of(pa.array(data, pa.large_binary()).cast(pa.large_string()))
+        codes, offsets, words = words_of(pa.array(data, pa.large_binary()).cast(pa.large_string()))
+        order = np.argsort(np.array(words, object), kind="stable") if words else np.empty(0, np.int64)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        return place[codes], offsets, [words[i] for i in order]
 
     def count(table: pa.Table) -> pa.Table:
         codes, offsets, words = opened(table)
