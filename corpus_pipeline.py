@@ -13,11 +13,11 @@ from tokenledger.llm import crf_langid, exact_dedup, hilbert_pack, pii_disclosur
 from tokenledger.llm.common import stored
 
 #: A document stays if its words lean to one language: mean posterior of the label.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters, and those of which no language holds half of the words."""
+    """Drops documents without letters, and those in which no language stands out."""
     out = crf_langid.predict(docs, crf_langid.learn(docs), keep=tuple(docs.columns))
     return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
