@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from .common import ship, stored, text_slices, words_of
 
 #: Bytes of text per chunk, bits of each order's table of counts, gates (confidence of orders 3 and 4, 5 levels each).
-CHUNK, TABLE_BITS, LEVELS = 32 << 20, (16, 18, 19, 20), 5
+CHUNK, TABLE_BITS, LEVELS = 20 << 20, (16, 18, 19, 20), 5
 #: Learning: rate of the weights, bytes per step; words per refinement, and the refined weight's start and strength.
 RATE, STEP, REFINE, START, STRENGTH = 0.1, 2048, 32, 0.8, 16.0
-PART = 40_000
+PART = 20_000
 _SIZES = [1 << b for b in TABLE_BITS]
 _STARTS = np.concatenate([[0], np.cumsum(_SIZES)])
 
@@ -114,11 +114,11 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 def learn_weights(words: list[str], times: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Weights [gate, order] after one online pass over the words, in hashed order."""
+    """Weights [gate, order] after one online pass over the words (in order), parts and their bytes shuffled."""
     weights, seen = np.full((LEVELS * LEVELS, 4), 0.3), np.full((LEVELS * LEVELS, 4), 1.0)
-    order = np.argsort([xxhash.xxh32_intdigest(w) for w in words], kind="stable")
-    for at in range(0, len(order), PART):
-        some = np.sort(order[at : at + PART])  # the words are in order
+    starts = np.random.default_rng(3).permutation(np.arange(0, len(words), PART))
+    for at in starts.tolist():
+        some = np.arange(at, min(at + PART, len(words)))
         nodes = Nodes([words[i] for i in some])
         x, gate = nodes.inputs(zeros, ones, True)
         share = np.log2(1 + nodes.times(times[some]))
