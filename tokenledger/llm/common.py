@@ -66,8 +66,12 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 <
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The column as one large string array; null is empty."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The column as one large string array of its own; null is empty.
+
+    The copy matters: ascii_lower returns wrong characters for a slice of large strings.
+    """
+    texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    return pa.concat_arrays([texts, pa.array([""], pa.large_string())]).slice(0, len(texts))
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
