@@ -11,6 +11,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def canonical_json(payload: Any) -> bytes:
@@ -45,7 +46,7 @@ def canonical_struct(**fields: Column) -> Column:
     return F.concat(F.to_json(ordered, {"ignoreNullFields": "false"}), F.lit("\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_text(document: pd.Series) -> pd.Series:
     """Canonical JSON of JSON text that may hold floats, which the JVM prints another way."""
     return document.map(lambda x: None if x is None else canonical_json(json.loads(x)).decode())

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Classes of the text rules.
 ZERO_WIDTH = "[\\u200B-\\u200D\\uFEFF]"
@@ -16,7 +17,7 @@ HANGUL = "[\\uAC00-\\uD7A3]"
 MARKUP = r"<[^<>]*>|https?://[^\s<>\"]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition; no built-in has it."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
