@@ -16,13 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, list_array, offsets_of, ship, stored, text_slices, texts_of, words_of
+from .common import components, forest, gather, list_array, ship, stored, text_slices, texts_of, words_of
 
 WORDS, PLACES, ROWS = 5, 80, 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Buckets up to this size give all their pairs at once; larger ones are resolved in rounds, exactly.
-SMALL = 16
+#: Buckets up to this size give all their pairs; larger ones go through tiles of blocks of so many shingles, exactly.
+SMALL, BLOCK = 16, 150_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -128,6 +128,40 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (low + high - common)
 
 
+def tile_links(a: tuple, b: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (into a, into b) of linked sets of two blocks, each (sizes, concatenated sets); exact.
+
+    Shingles that many sets of both blocks have are counted by a matrix product, the others one by one.
+    """
+    (na, va), (nb, vb) = a, b
+    names, flat = np.unique(np.concatenate([va, vb]), return_inverse=True)
+    fa, fb = flat[: len(va)], flat[len(va) :]
+    oa, ob = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    ca, cb = np.bincount(fa, minlength=len(names)), np.bincount(fb, minlength=len(names))
+    common = np.zeros((len(na), len(nb)), np.float32)
+    often = (ca >= 8) & (cb >= 8)
+    dense = np.flatnonzero(often)
+    column = np.full(len(names), -1)
+    for at in range(0, len(dense), 4096):
+        some = dense[at : at + 4096]
+        column[:] = -1
+        column[some] = np.arange(len(some))
+        x, y = np.zeros((len(na), len(some)), np.float32), np.zeros((len(nb), len(some)), np.float32)
+        x[oa[column[fa] >= 0], column[fa][column[fa] >= 0]] = 1
+        y[ob[column[fb] >= 0], column[fb][column[fb] >= 0]] = 1
+        common += x @ y.T
+    order = np.argsort(fb, kind="stable")
+    starts = np.cumsum(cb) - cb
+    rare = np.flatnonzero(~often[fa] & (cb[fa] > 0))
+    for at in range(0, len(rare), 1 << 14):
+        some = rare[at : at + (1 << 14)]
+        times = cb[fa[some]]
+        other = ob[order[gather(starts[fa[some]], times)]]
+        common += np.bincount(np.repeat(oa[some], times) * len(nb) + other, minlength=common.size).reshape(common.shape)
+    union = na[:, None] + nb[None, :] - common
+    return np.nonzero((100 * common.astype(np.float64) >= percent * union) & (common > 0))
+
+
 def near_groups(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (key, n_shingles, component_id, kept), one for each row of docs.
 
@@ -138,9 +172,10 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, text: str = "text", key
     null component and is kept. Rows that repeat a key are the same vertex. Other columns are ignored.
 
     Equal sets are collapsed first, so exact copies cost one row each. Band buckets of up to SMALL sets give
-    all pairs; larger ones first give each member's pair with the bucket's first set, then, in rounds, only
-    pairs across components, until all such pairs of the bucket are verified. With 20 bands of 4 places a pair
-    at similarity 0.85 is missed with probability (1 - 0.85**4)**20 < 1e-6.
+    all pairs; larger ones give each member's pair with the bucket's first set. Larger buckets that are then in
+    several components are merged where they overlap, dealt into blocks of BLOCK shingles, and compared block
+    by block on the full sets; such a tile sends a spanning forest of its links, never its pairs. With 20 bands
+    of 4 places a pair at similarity 0.85 is missed with probability (1 - 0.85**4)**20 < 1e-6.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -188,22 +223,15 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, text: str = "text", key
         both = left.join(sets.selectExpr("k AS b", "s AS y"), "b").select("a", "b", "x", "y")
         return both.mapInArrow(verify, "a long, b long")
 
-    edges, done = None, pairs
-    while sets is not None:
-        found = stored(links(pairs), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        roots = components(edges)
-        large = buckets.where(f"members > {SMALL}").join(roots, buckets.k == roots.v, "left").select("band", "k", "n", F.coalesce("root", "k").alias("root"))
-        split = large.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-        left = large.join(split, "band")
-        right = left.selectExpr("band", "k AS k2", "n AS m", "root AS root2")
-        across = left.join(right, "band").where(f"root < root2 AND {fits}").selectExpr("least(k, k2) AS a", "greatest(k, k2) AS b").distinct()
-        pairs = stored(across.join(done, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            break
-        done = done.unionByName(pairs)
-    named = some.select("k", "content").join(reps.selectExpr("content", "k AS rep"), "content")
+    roots = None
     if sets is not None:
+        edges = stored(links(pairs), "links")
+        roots = stored(components(edges), "roots")
+        tiles = _tiled(buckets.where(f"members > {SMALL}"), roots, sets, percent)
+        if tiles is not None:
+            roots = components(edges.unionByName(tiles))
+    named = some.select("k", "content").join(reps.selectExpr("content", "k AS rep"), "content")
+    if roots is not None:
         named = named.join(roots, named.rep == roots.v, "left").select("k", F.coalesce("root", "rep").alias("component_id"))
     else:
         named = named.selectExpr("k", "rep AS component_id")
@@ -213,6 +241,42 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, text: str = "text", key
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("k")).alias("kept"))
 
 
+def _tiled(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) that join components inside large buckets, as spanning forests; None if there is nothing to compare."""
+    named = large.join(roots, large.k == roots.v, "left").select("band", "k", "n", F.coalesce("root", "k").alias("root"))
+    split = named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("k").alias("hub")).where("x < y")
+    open_ = stored(named.join(split.select("band", "hub"), "band").select("hub", "k", "n"), "open")
+    if open_.isEmpty():
+        return None
+    clusters = components(open_.selectExpr("k AS a", "hub AS b"))
+    members = open_.select("k", "n").distinct().join(clusters, F.col("k") == clusters.v, "left").select("k", "n", F.coalesce("root", "k").alias("c"))
+    members = stored(members, "members")
+    counts = members.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    dealt = members.join(counts, "c").select("c", "k", "blocks", F.pmod(F.xxhash64("k"), F.col("blocks")).alias("block"))
+    dealt = dealt.join(sets, "k").select("c", "block", "blocks", "k", "s")
+
+    def assemble(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("s")]
+        cells = {"ks": table.column("k").to_numpy().tobytes(), "sizes": np.array([len(x) for x in parts], np.int64).tobytes(), "flat": np.concatenate(parts).tobytes()}
+        return pa.table({n: table.column(n)[:1] for n in ("c", "block", "blocks")} | {k: [v] for k, v in cells.items()})
+
+    blocks = stored(dealt.groupBy("c", "block").applyInArrow(assemble, "c long, block long, blocks long, ks binary, sizes binary, flat binary"), "blocks")
+    right = blocks.selectExpr("c", "block AS block2", "ks AS ks2", "sizes AS sizes2", "flat AS flat2")
+    left = blocks.withColumn("block2", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    tiles = left.join(right, ["c", "block2"]).repartition("c", "block", "block2")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                get = lambda name, kind, r=r, batch=batch: np.frombuffer(batch.column(name)[r].as_buffer(), kind)
+                k1, k2 = get("ks", np.int64), get("ks2", np.int64)
+                i, j = tile_links((get("sizes", np.int64), get("flat", np.uint64)), (get("sizes2", np.int64), get("flat2", np.uint64)), percent)
+                a, b = forest(k1[i], k2[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return tiles.mapInArrow(compare, "a long, b long")
+
+
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs that stay: one document of each group. Columns are unchanged."""
     keep = near_groups(docs, percent, text, key).where("kept").select(F.col(key).alias("__keep_id")).distinct()
