@@ -83,7 +83,7 @@ class Model:
             return np.empty((0, len(self.labels)), np.float32), np.empty(0, bool)
         self.table = [np.concatenate(self.table)]
         score = self.table[0][[self.rows[x] for x in words]]
-        known = ~np.isnan(score[:, 0])
+        known = np.array([bool(x) for x in words])
         return np.where(known[:, None], score, 0), known
 
 
