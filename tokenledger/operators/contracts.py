@@ -45,8 +45,10 @@ def seed_violations(documents: DataFrame, name: str, path: str, seeds: list[str]
     own = documents.where(F.col("name") == name)
     rows = own.select(F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), F.variant_get("doc", f"$.{path}.{s}", "variant").alias("v")) for s in seeds])).alias("x")).select("x.*")
     typed = rows.select("seed", F.try_variant_get("v", "$", "bigint").alias("n"), (F.schema_of_variant("v") == "BIGINT").alias("whole"))
-    repeated = typed.groupBy("n").agg(F.count("*").alias("times"))
-    return typed.join(repeated, typed.n.eqNullSafe(repeated.n)).where(~F.coalesce("whole", F.lit(False)) | ~typed.n.between(0, (1 << 32) - 1) | (F.col("times") > 1)).select("seed")
+    repeated = typed.groupBy(F.col("n").alias("same")).agg(F.count("*").alias("times"))
+    both = typed.join(repeated, F.col("n").eqNullSafe(F.col("same")))
+    outside = F.coalesce(~F.col("n").between(0, (1 << 32) - 1), F.lit(True))
+    return both.where(~F.coalesce("whole", F.lit(False)) | outside | (F.col("times") > 1)).select("seed")
 
 
 def check_documents(spark, documents: dict[str, Any], rules=None) -> None:
