@@ -41,9 +41,8 @@ def features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
     names = [f"w{word}", *(f"x{i}" for i in lexicon.get(word, ()))]
     for n in (1, 2, 3):
         names += [f"p{word[:n]}", f"s{word[-n:]}"]
-    edged = f"^{word}$"
     for n in GRAMS:
-        names += [f"{n}{edged[i : i + n]}" for i in range(len(edged) - n + 1)]
+        names += [f"{n}{word[i : i + n]}" for i in range(len(word) - n + 1)]
     mask = (1 << BITS) - 1
     return [xxhash.xxh32_intdigest(x) & mask for x in names]
 
@@ -51,7 +50,7 @@ def features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
 class Model:
     """Weights, transitions, first-label scores, labels and lexicon; emissions of distinct words are remembered."""
 
-    CACHE = 200_000
+    CACHE = 600_000
 
     def __init__(self, labels: list[str], weights: np.ndarray, moves: np.ndarray, first: np.ndarray, lexicon: dict) -> None:
         self.labels, self.weights, self.moves, self.first, self.lexicon = labels, weights, moves, first, lexicon
