@@ -114,6 +114,23 @@ def test_switches_are_learned():
     assert [model.labels[i] for i in mean.argmax(1)] == ["en"] * 4 + ["de"] * 4
 
 
+def test_lanes_equal_plain_forward_backward():
+    rng = np.random.default_rng(5)
+    for n, k, share in ((1, 2, 1.0), (70, 3, 0.1), (900, 4, 0.01), (900, 4, 0.0), (400, 2, 0.6)):
+        emit, moves, first = rng.normal(0, 2, (n, k)), rng.normal(0, 1, (k, k)), rng.normal(0, 1, k)
+        starts = rng.random(n) < share
+        starts[0] = True
+        alpha, beta = np.empty((n, k)), np.ones((n, k))
+        for i in range(n):
+            alpha[i] = np.exp(emit[i]) * (np.exp(first) if starts[i] else alpha[i - 1] @ np.exp(moves))
+            alpha[i] /= alpha[i].sum()
+        for i in range(n - 2, -1, -1):
+            beta[i] = 1.0 if starts[i + 1] else np.exp(moves) @ (np.exp(emit[i + 1]) * beta[i + 1])
+            beta[i] /= beta[i].sum()
+        want = alpha * beta
+        assert np.allclose(crf_langid.posteriors(emit, starts, moves, first), want / want.sum(1, keepdims=True), atol=1e-9)
+
+
 # op2
 
 

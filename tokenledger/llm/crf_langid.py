@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,17 +33,39 @@ def letters(token: str) -> str:
     return token.lower() if token.isalpha() else _LETTERS.sub("", token).lower()
 
 
-def features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
-    """Hashed features of a word of letters; none if it is empty."""
-    if not word:
-        return []
-    names = [f"w{word}", *(f"x{i}" for i in lexicon.get(word, ()))]
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    h = (h ^ np.uint32(salt * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(15)) * np.uint32(0xC2B2AE35)
+    return (h >> np.uint32(32 - BITS)).astype(np.int64)
+
+
+def features(words: list[str], lexicon: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hashed feature) pairs of words of letters, kind after kind: word, lexicons, affixes, n-grams. Empty words have none."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    within = np.arange(len(points)) - starts[owner]
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    power = np.cumprod(np.full(int(sizes.max()), 0x01000193, np.uint32), dtype=np.uint32)
+    whole = np.add.reduceat(points * power[within], starts[some], dtype=np.uint32)
+    found = [(some, _mixed(whole, 1))]
+    listed = [(i, lang) for i, w in enumerate(words) for lang in lexicon.get(w, ())]
+    if listed:
+        at, lang = np.array(listed, np.int64).T
+        found.append((at, _mixed(lang.astype(np.uint32), 2)))
+    rolling = [points * np.uint32(0x2C1B3C6D)]
+    for n in range(2, max(3, *GRAMS) + 1):
+        rolling.append(rolling[-1][: max(0, len(points) - n + 1)] * np.uint32(0x297A2D39) + points[n - 1 :])
     for n in (1, 2, 3):
-        names += [f"p{word[:n]}", f"s{word[-n:]}"]
+        at = np.flatnonzero(sizes >= n)
+        found += [(at, _mixed(rolling[n - 1][starts[at]], 2 + n)), (at, _mixed(rolling[n - 1][starts[at] + sizes[at] - n], 5 + n))]
     for n in GRAMS:
-        names += [f"{n}{word[i : i + n]}" for i in range(len(word) - n + 1)]
-    mask = (1 << BITS) - 1
-    return [xxhash.xxh32_intdigest(x) & mask for x in names]
+        at = np.flatnonzero((sizes[owner] - within >= n)[: len(rolling[n - 1])])
+        found.append((owner[at], _mixed(rolling[n - 1][at], 8 + n)))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
 class Model:
@@ -54,6 +75,7 @@ class Model:
 
     def __init__(self, labels: list[str], weights: np.ndarray, moves: np.ndarray, first: np.ndarray, lexicon: dict) -> None:
         self.labels, self.weights, self.moves, self.first, self.lexicon = labels, weights, moves, first, lexicon
+        self.columns = [np.ascontiguousarray(weights[:, j]) for j in range(len(labels))]
         self.rows: dict[str, int] = {}
         self.table: list[np.ndarray] = []
 
@@ -68,14 +90,12 @@ class Model:
         fresh = list({x for x in words if x not in self.rows})
         for at in range(0, len(fresh), 20_000):
             some = fresh[at : at + 20_000]
-            found = [features(x, self.lexicon) for x in some]
-            counts = np.array([len(x) for x in found], np.int64)
-            index = np.fromiter((i for x in found for i in x), np.int64, int(counts.sum()))
-            score = np.full((len(some), len(self.labels)), np.nan, np.float32)
-            has = np.flatnonzero(counts)
-            if len(has):
-                starts = (np.cumsum(counts) - counts)[has]
-                score[has] = np.add.reduceat(self.weights[index], starts, axis=0) / np.sqrt(counts[has])[:, None]
+            owner, index = features(some, self.lexicon)
+            counts = np.bincount(owner, minlength=len(some))
+            score = np.empty((len(some), len(self.labels)))
+            for j, column in enumerate(self.columns):
+                score[:, j] = np.bincount(owner, column[index], len(some))
+            score = (score / np.sqrt(np.maximum(counts, 1))[:, None]).astype(np.float32)
             self.rows.update(zip(some, range(len(self.rows), len(self.rows) + len(some)), strict=True))
             self.table.append(score)
         if not names:
@@ -99,16 +119,19 @@ def posteriors(emit: np.ndarray, starts: np.ndarray, moves: np.ndarray, first: n
     steps = -(-n // lanes)
     pad = lanes * steps - n
     e = np.exp(emit - emit.max(1, keepdims=True)).astype(np.float64)
-    e = np.concatenate([e, np.ones((pad, k))]).reshape(lanes, steps, k)
+    # step by step in memory: [step, lane, label]
+    e = np.ascontiguousarray(np.concatenate([e, np.ones((pad, k))]).reshape(lanes, steps, k).swapaxes(0, 1))
     s = np.concatenate([starts, np.ones(pad, bool)]).reshape(lanes, steps)
     s[0, 0] = True
+    s = np.ascontiguousarray(s.T)
+    some = s.any(1).tolist()
     move, begin = np.exp(moves - moves.max()), np.exp(first - first.max())
     product = np.tile(np.eye(k), (lanes, 1, 1))
     for t in range(steps):
         product = (product.reshape(-1, k) @ move).reshape(lanes, k, k)
-        if (at := s[:, t]).any():
-            product[at] = begin
-        product *= e[:, t, None, :]
+        if some[t]:
+            product[s[t]] = begin
+        product *= e[t][:, None, :]
         if t % 8 == 7:
             product /= product.max((1, 2), keepdims=True)
     forward, backward = np.empty((lanes, k)), np.empty((lanes, k))
@@ -118,29 +141,30 @@ def posteriors(emit: np.ndarray, starts: np.ndarray, moves: np.ndarray, first: n
         vector = vector @ product[i]
         vector /= vector.sum()
     # a lane's product with all-equal rows (a restart inside) passes no information back; its rows' scales do not matter
-    vector = np.ones(k)
+    vector, cut = np.ones(k), s.any(0).tolist()
     for i in range(lanes - 1, -1, -1):
         backward[i] = vector
-        vector = product[i] @ vector if not s[i].any() else _back(e[i], s[i], move)
+        vector = product[i] @ vector if not cut[i] else _back(e[:, i], s[:, i], move)
         vector /= vector.sum()
-    alpha = np.empty((lanes, steps, k))
+    ones = np.ones((k, 1))
+    alpha = np.empty((steps, lanes, k))
     a = forward
     for t in range(steps):
         a = a @ move
-        if (at := s[:, t]).any():
-            a[at] = begin
-        a = a * e[:, t]
-        a /= a.sum(1, keepdims=True)
-        alpha[:, t] = a
+        if some[t]:
+            a[s[t]] = begin
+        a *= e[t]
+        a /= a @ ones
+        alpha[t] = a
     b = backward
     for t in range(steps - 1, -1, -1):
-        alpha[:, t] *= b
-        b = (b * e[:, t]) @ move.T
-        if (at := s[:, t]).any():
-            b[at] = 1.0
-        b /= b.sum(1, keepdims=True)
-    out = alpha.reshape(-1, k)[:n]
-    return out / out.sum(1, keepdims=True)
+        alpha[t] *= b
+        b = (b * e[t]) @ move.T
+        if some[t]:
+            b[s[t]] = 1.0
+        b /= b @ ones
+    alpha /= alpha @ ones
+    return alpha.swapaxes(0, 1).reshape(-1, k)[:n]
 
 
 def _back(e: np.ndarray, s: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -167,18 +191,19 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     for i, count in enumerate(counts):
         for word, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicon[word] = (*lexicon.get(word, ()), i)
-    model = Model(labels, np.zeros((1 << BITS, k), np.float32), np.zeros((k, k)), np.zeros(k), lexicon)
     if not runs:
-        return model
+        return Model(labels, np.zeros((1 << BITS, k), np.float32), np.zeros((k, k)), np.zeros(k), lexicon)
     runs = [runs[i] for i in rng.permutation(len(runs))]
     names = sorted({w for _, run in runs for w in run})
     where = {w: i for i, w in enumerate(names)}
-    index, scale = np.full((len(names), WIDTH), 1 << BITS, np.int64), np.empty(len(names))
-    for i, w in enumerate(names):
-        f = features(w, lexicon)
-        scale[i] = 1 / np.sqrt(len(f))
-        f = f if len(f) <= WIDTH else [f[j] for j in np.linspace(0, len(f) - 1, WIDTH).astype(int)]
-        index[i, : len(f)] = f
+    index = np.full((len(names), WIDTH), 1 << BITS, np.int64)
+    owner, found = features(names, lexicon)
+    found = found[np.argsort(owner, kind="stable")]
+    counts = np.bincount(owner, minlength=len(names))
+    scale, begin = 1 / np.sqrt(counts), np.cumsum(counts) - counts
+    for i, n in enumerate(counts.tolist()):
+        f = found[begin[i] : begin[i] + n]
+        index[i, : min(n, WIDTH)] = f if n <= WIDTH else f[np.linspace(0, n - 1, WIDTH).astype(int)]
     code = np.array([where[w] for _, run in runs for w in run])
     truth = np.repeat([lang for lang, _ in runs], [len(run) for _, run in runs])
     ends = np.cumsum([len(run) for _, run in runs])
@@ -207,8 +232,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
         step = (gold[starts].sum(0) - mean[starts].sum(0)) / starts.sum()
         first2 += step**2
         first += step / np.sqrt(first2)
-    model.weights, model.moves, model.first = weights[:-1].astype(np.float32), moves, first
-    return model
+    return Model(labels, weights[:-1].astype(np.float32), moves, first, lexicon)
 
 
 def sample(labelled: DataFrame, text: str, lang: str, key: str) -> list[tuple[str, str]]:
