@@ -24,13 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_slices, words_of
+from .common import offsets_of, ship, stored, text_slices
 
 #: Bytes of text per chunk, bits of each order's table of counts, gates (confidence of orders 3 and 4, 5 levels each).
 CHUNK, TABLE_BITS, LEVELS = 20 << 20, (16, 18, 19, 20), 5
 #: Learning: rate of the weights, bytes per step; words per refinement, and the refined weight's start and strength.
 RATE, STEP, REFINE, START, STRENGTH = 0.1, 2048, 32, 0.8, 16.0
-PART = 20_000
+#: Words whose decisions are held at once; bytes of text split at once; tokens refined at once (or one document's).
+PART, SLICE, TOKENS = 8_000, 2 << 20, 1 << 19
 _SIZES = [1 << b for b in TABLE_BITS]
 _STARTS = np.concatenate([[0], np.cumsum(_SIZES)])
 
@@ -44,11 +45,12 @@ class Nodes:
 
     SHARED = 48
 
-    def __init__(self, words: list[str]) -> None:
-        raw = [w.encode() + b" " for w in words]
-        sizes = np.array([len(r) for r in raw], np.int64)
-        data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
-        starts = np.cumsum(sizes) - sizes
+    def __init__(self, words: list[str] | pa.Array) -> None:
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.large_string())
+        raw = pc.binary_join_element_wise(words, *(pa.scalar(x, pa.large_string()) for x in ("", " ")))  # each word and a space
+        ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.uint32)
+        sizes, starts = np.diff(ends), ends[:-1] - ends[0]
         self.word = np.repeat(np.arange(len(words)), sizes)
         within = np.arange(len(data)) - starts[self.word]
         common = np.zeros(len(words), np.int64)
@@ -86,13 +88,13 @@ class Nodes:
         return np.bincount(self.source, times[self.word], len(self.bits))
 
     def add(self, zeros: np.ndarray, ones: np.ndarray, times: np.ndarray) -> None:
-        own = np.repeat(self.times(times)[:, None], 8, 1)
-        one = self.bits == 1
+        own = np.repeat(self.times(times), 8)
         for k, slots in enumerate(self.slots):
             low, size = int(_STARTS[k]), _SIZES[k]
-            at = slots.astype(np.int64) - low
-            ones[low : low + size] += np.bincount(at[one], own[one], size)
-            zeros[low : low + size] += np.bincount(at[~one], own[~one], size)
+            at = ((slots.astype(np.int64) - low) * 2 + self.bits).ravel()
+            found = np.bincount(at, own, 2 * size)
+            zeros[low : low + size] += found[::2]
+            ones[low : low + size] += found[1::2]
 
     def inputs(self, zeros: np.ndarray, ones: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
         """(stretched probabilities [byte, bit, order], gate of each decision)."""
@@ -113,15 +115,14 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
 
-def learn_weights(words: list[str], times: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+def learn_weights(words: list[str] | pa.Array, times: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Weights [gate, order] after one online pass over the words (in order), parts and their bytes shuffled."""
     weights, seen = np.full((LEVELS * LEVELS, 4), 0.3), np.full((LEVELS * LEVELS, 4), 1.0)
     starts = np.random.default_rng(3).permutation(np.arange(0, len(words), PART))
     for at in starts.tolist():
-        some = np.arange(at, min(at + PART, len(words)))
-        nodes = Nodes([words[i] for i in some])
+        nodes = Nodes(words[at : at + PART])
         x, gate = nodes.inputs(zeros, ones, True)
-        share = np.log2(1 + nodes.times(times[some]))
+        share = np.log2(1 + nodes.times(times[at : at + PART]))
         mixed = np.random.default_rng(at).permutation(len(x))
         for a in range(0, len(x), STEP):
             rows = mixed[a : a + STEP]
@@ -133,7 +134,7 @@ def learn_weights(words: list[str], times: np.ndarray, zeros: np.ndarray, ones:
     return weights
 
 
-def word_logs(words: list[str], zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def word_logs(words: list[str] | pa.Array, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """log10 of each word's probability, its end included."""
     out = np.empty(len(words))
     for at in range(0, len(words), PART):
@@ -178,9 +179,45 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 
 
-def _short(word: str) -> str:
-    """A word as it is counted: itself, or a digest if it is long (a mark tells them apart)."""
-    return word if len(word) <= 64 else "\x1f" + xxhash.xxh3_128_hexdigest(word.encode())
+def _short(words: pa.Array) -> pa.Array:
+    """Words as they are counted: themselves, or a digest if they are long (a mark tells them apart)."""
+    long_ = pc.greater(pc.utf8_length(words), 64)
+    digests = ["\x1f" + xxhash.xxh3_128_hexdigest(w.encode()) for w in words.filter(long_).to_pylist()]
+    return pc.replace_with_mask(words, long_, pa.array(digests, pa.large_string())).cast(pa.string())
+
+
+def _words(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Of a chunk's texts: (place of each token's word, offsets of texts, distinct words in order, bytes of texts).
+
+    Texts are unpacked and split a few at a time; only distinct words and codes stay.
+    """
+    press, data, size, encoded, counts, n_bytes = zstandard.ZstdDecompressor(), [], 0, [], [], []
+
+    def flush() -> None:
+        pieces = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(data, pa.large_binary()).cast(pa.large_string())))
+        flat, ends = pieces.flatten(), pieces.offsets.to_numpy().astype(np.int64)
+        full = pc.not_equal(flat, "")
+        before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+        counts.append(np.diff(before[ends - ends[0]]))
+        encoded.append(flat.filter(full).dictionary_encode())
+
+    for packed in (x for c in table.column("data").chunks for x in c):
+        data.append(press.decompress(packed.as_buffer()))
+        n_bytes.append(len(data[-1]))
+        size += n_bytes[-1]
+        if size > SLICE:
+            flush()
+            data.clear()
+            size = 0
+    if data or not encoded:
+        flush()
+    whole = pa.chunked_array(encoded).unify_dictionaries()
+    names = whole.chunk(0).dictionary
+    codes = np.concatenate([c.indices.to_numpy() for c in whole.chunks])
+    order = pc.array_sort_indices(names)
+    place = np.empty(len(names), np.int64)
+    place[order.to_numpy()] = np.arange(len(names))
+    return place[codes], offsets_of(np.concatenate(counts)), names.take(order), np.array(n_bytes, np.int64)
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
@@ -210,37 +247,26 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk: int =
 
     dealt = base.select("chunk", "row", "k", "held", "text").mapInArrow(squeeze, f"chunk int, row long, k {kind}, held boolean, data binary")
 
-    def opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        press = zstandard.ZstdDecompressor()
-        data = [press.decompress(x.as_buffer()) for c in table.column("data").chunks for x in c]
-        codes, offsets, words = words_of(pa.array(data, pa.large_binary()).cast(pa.large_string()))
-        order = np.argsort(np.array(words, object), kind="stable") if words else np.empty(0, np.int64)
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
-        return place[codes], offsets, [words[i] for i in order]
-
     def count(table: pa.Table) -> pa.Table:
-        codes, offsets, words = opened(table)
+        codes, offsets, words, _ = _words(table)
         held = table.column("held").to_numpy()
         train = np.repeat(~held, np.diff(offsets))
         times = np.bincount(codes[train], minlength=len(words))
         seen = np.flatnonzero(times)
         zeros, ones = np.zeros(_STARTS[-1]), np.zeros(_STARTS[-1])
+        known = words.take(pa.array(seen))
         for at in range(0, len(seen), PART):
-            some = seen[at : at + PART]
-            Nodes([words[i] for i in some]).add(zeros, ones, times[some])
-        weights = learn_weights([words[i] for i in seen], times[seen], zeros.astype(np.float32), ones.astype(np.float32))
+            Nodes(known[at : at + PART]).add(zeros, ones, times[seen[at : at + PART]])
+        weights = learn_weights(known, times[seen], zeros.astype(np.float32), ones.astype(np.float32))
         press = zstandard.ZstdCompressor(level=3)
         tables = press.compress(np.concatenate([zeros, ones]).astype("<u4").tobytes())
         number = table.column("chunk")[0].as_py()
-        every = np.bincount(codes, minlength=len(words))
-        use = np.flatnonzero(every)
-        rows = len(use) + 1
+        rows = len(words) + 1
         last = np.arange(rows) == rows - 1
         columns = {
             "chunk": pa.array(np.full(rows, number, np.int32)),
-            "word": pa.array([*(_short(words[i]) for i in use), None], pa.string()),
-            "times": pa.array(np.append(times[use], (~held).sum())),
+            "word": pa.concat_arrays([_short(words), pa.nulls(1, pa.string())]),
+            "times": pa.array(np.append(times, (~held).sum())),
             "tables": pa.array([None] * (rows - 1) + [tables], pa.binary()),
             "weights": pa.array([None] * (rows - 1) + [weights.tobytes()], pa.binary()),
             "learned": pa.array(np.where(last, times.sum(), 0)),
@@ -283,12 +309,11 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk: int =
     log_word = math.log10(1 - min(0.999999, (ends + 0.5) / (n_train + 1)))
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        codes, offsets, words = opened(left)
+        codes, offsets, words, n_bytes = _words(left)
         packed, weights = sent.value
         both = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.float32)
         zeros, ones = both[: _STARTS[-1]], both[_STARTS[-1] :]
-        names = pa.array([_short(w) for w in words], pa.string())
-        at = pc.index_in(names, right.column("word").combine_chunks().cast(pa.string()))
+        at = pc.index_in(_short(words), right.column("word").combine_chunks().cast(pa.string()))
         c = np.zeros(len(words))
         found = at.is_valid().to_numpy(zero_copy_only=False)
         c[found] = right.column("c").to_numpy()[at.drop_null().to_numpy()]
@@ -297,12 +322,18 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk: int =
             known = np.log10(c / max(1, n_train - ends))
         plain = np.log10((c + 0.5) / unit)
         sizes = np.diff(offsets)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        base_score = np.bincount(owner, plain[codes], len(sizes)) + math.log10((ends + 0.5) / unit)
-        n_known = np.bincount(owner, (c > 0)[codes], len(sizes)).astype(np.int64) + (ends > 0)
-        model = refined(coded[codes], known[codes], offsets) + sizes * log_word + log_end
-        press = zstandard.ZstdDecompressor()
-        n_bytes = np.array([len(press.decompress(x.as_buffer())) for ch in left.column("data").chunks for x in ch])
+        base_score = np.full(len(sizes), math.log10((ends + 0.5) / unit))
+        n_known = np.full(len(sizes), int(ends > 0), np.int64)
+        model = sizes * log_word + log_end
+        begin = 0
+        while begin < len(sizes):  # some documents at a time
+            end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + TOKENS, "right")) - 1)
+            own, at = codes[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin]
+            owner = np.repeat(np.arange(end - begin), sizes[begin:end])
+            base_score[begin:end] += np.bincount(owner, plain[own], end - begin)
+            n_known[begin:end] += np.bincount(owner, (c > 0)[own], end - begin).astype(np.int64)
+            model[begin:end] += refined(coded[own], known[own], at)
+            begin = end
         bits = np.divide(-model * math.log2(10), n_bytes, out=np.full(len(sizes), np.nan), where=n_bytes > 0)
         columns = [left.column("k"), left.column("held"), pa.array(sizes + 1), pa.array(n_known), pa.array(np.full(len(sizes), n_train)), pa.array(base_score), pa.array(model), pa.array(bits, mask=n_bytes == 0)]
         return pa.table(columns, [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
