@@ -30,8 +30,9 @@ from .common import offsets_of, ship, stored, text_slices
 CHUNK, TABLE_BITS, LEVELS = 20 << 20, (16, 18, 19, 20), 5
 #: Learning: rate of the weights, bytes per step; words per refinement, and the refined weight's start and strength.
 RATE, STEP, REFINE, START, STRENGTH = 0.1, 2048, 32, 0.8, 16.0
-#: Words whose decisions are held at once; bytes of text split at once; tokens refined at once (or one document's).
-PART, SLICE, TOKENS = 8_000, 2 << 20, 1 << 19
+#: Words whose decisions are held at once, and while learning (more are mixed better); bytes of text split at
+#: once; tokens refined at once (or one document's).
+PART, LEARN, SLICE, TOKENS = 8_000, 20_000, 2 << 20, 1 << 19
 _SIZES = [1 << b for b in TABLE_BITS]
 _STARTS = np.concatenate([[0], np.cumsum(_SIZES)])
 
@@ -118,11 +119,11 @@ def squash(x: np.ndarray) -> np.ndarray:
 def learn_weights(words: list[str] | pa.Array, times: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Weights [gate, order] after one online pass over the words (in order), parts and their bytes shuffled."""
     weights, seen = np.full((LEVELS * LEVELS, 4), 0.3), np.full((LEVELS * LEVELS, 4), 1.0)
-    starts = np.random.default_rng(3).permutation(np.arange(0, len(words), PART))
+    starts = np.random.default_rng(3).permutation(np.arange(0, len(words), LEARN))
     for at in starts.tolist():
-        nodes = Nodes(words[at : at + PART])
+        nodes = Nodes(words[at : at + LEARN])
         x, gate = nodes.inputs(zeros, ones, True)
-        share = np.log2(1 + nodes.times(times[at : at + PART]))
+        share = np.log2(1 + nodes.times(times[at : at + LEARN]))
         mixed = np.random.default_rng(at).permutation(len(x))
         for a in range(0, len(x), STEP):
             rows = mixed[a : a + STEP]
