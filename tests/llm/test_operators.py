@@ -237,6 +237,14 @@ def test_telling_terms(spark):
     assert "falconer" not in clean[0] and "[email]" in clean[0] and clean[12] == "the plain text 2 about the trip"
 
 
+def test_copied_texts_count_once_as_evidence(spark):
+    rows = [f"note {i}: the falconer wrote to secret@box.org about the trip {i}" for i in range(4) for _ in range(50)]
+    rows += [f"the plain text {i} about the trip" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r.doc_id: {x.value for x in r.spans if x.kind == 4} for r in pii_disclosure.spans(docs).collect()}
+    assert all("falconer" in out[i] and not out[i] & {"the", "about", "trip"} for i in range(200)) and not any(out[i] for i in range(200, 600))
+
+
 # op6
 
 

@@ -148,10 +148,11 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
     near = near.select("row", "same", "entity", F.explode("ws").alias("w")).withColumn("term", _term(F.col("w.word"))).where("term <> ''")
     near = stored(near.select("row", "same", "entity", "term", F.col("w.start").alias("start"), F.col("w.end").alias("end")), "mentions")
     both = near.select("entity", "term", "same").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    # document frequencies over the whole corpus, copies counted once
-    every = base.select(F.explode(F.array_distinct(F.transform(F.split(F.col("t"), r"[\x20\x09-\x0D]+"), _term))).alias("term"))
+    # document frequencies over the whole corpus, copies counted once: the first row of each text; rows join evenly
+    firsts = base.groupBy(F.xxhash64("t").alias("same")).agg(F.min("row").alias("row"))
+    every = base.join(firsts.select("row"), "row", "left_semi").select(F.explode(F.array_distinct(F.transform(F.split(F.col("t"), r"[\x20\x09-\x0D]+"), _term))).alias("term"))
     totals = every.where("term <> ''").groupBy("term").agg(F.count("*").alias("n_term"))
-    n_docs = base.agg(F.count("*").alias("n"))
+    n_docs = firsts.agg(F.count("*").alias("n"))
     mentions = near.select("entity", "same").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     scored = both.join(totals, "term").join(mentions, "entity").crossJoin(F.broadcast(n_docs))  # n_docs is one row
     pmi = F.log2(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity")))
