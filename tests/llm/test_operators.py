@@ -245,6 +245,31 @@ def test_copied_texts_count_once_as_evidence(spark):
     assert all("falconer" in out[i] and not out[i] & {"the", "about", "trip"} for i in range(200)) and not any(out[i] for i in range(200, 600))
 
 
+def test_telling_terms_everywhere(spark):
+    far = " ".join(["about the trip"] * 60)
+    rows = [f"Dear Falconer, {far} again {i} {far} Regards, secret@box.org" for i in range(4)] + [f"the plain text {i} about the trip" for i in range(400)]
+    rows += [f"no address, but a falconer: {far} (Falconer) {'x' * 200}falconer falconers"] + [f"mail many@box.org about the trip {i}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [(x.start, x.end, x.value) for x in r.spans if x.kind == 4] for r in pii_disclosure.spans(docs).collect()}
+    # brute force: all pairs of an entity and a term that share texts
+    term = lambda w: re.sub(r"^[^a-z]+|[^a-z]+$", "", w.lower())
+    texts, holds, occurs = set(rows), {}, {}
+    for t in texts:
+        for a, _, b in plain_spans(t):
+            holds.setdefault(t[a:b], set()).add(t)
+        for w in t.split():
+            occurs.setdefault(term(w), set()).add(t)
+    n, telling = len(texts), set()
+    for e in holds.values():
+        for w, o in occurs.items():
+            if w and len(e & o) >= 2 and len(e) < n and math.log2(len(e & o) * n / (len(e) * len(o))) >= 0.9 * math.log2(n / len(e)):
+                telling.add(w)
+    for i, t in enumerate(rows):
+        inside = lambda m: any(a < m.end() and m.start() < b for a, _, b in plain_spans(t))
+        assert got[i] == [(m.start(), m.end(), term(m[0])) for m in re.finditer(r"\S+", t) if term(m[0]) in telling and not inside(m)]
+    assert "falconer" in telling and [x[2] for x in got[404]] == ["falconer"] * 2 and not telling & {"about", "the", "trip"}
+
+
 # op6
 
 

@@ -1,15 +1,15 @@
 """Personal data by patterns, and terms that give it away by information content. DataFrame functions only.
 
 Base spans are matches of fixed patterns. The corpus then tells which terms reveal a protected entity (the
-text of a base span): over the words within `window` of its mentions, a term's pointwise mutual information
-with the entity is the information the term gives about it, and at `threshold` times the entity's own
-information content the term discloses it. Such terms are marked where they stand near the entity, and are
-generalised or removed when a text is sanitised.
+text of a base span): over the documents that mention it, a term's pointwise mutual information with the
+entity is the information the term gives about it, and at `threshold` times the entity's own information
+content the term discloses it. Such terms are marked wherever they stand as whole words, in any document of the
+corpus, and are removed when a text is sanitised.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stored
@@ -23,8 +23,10 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
-#: Terms: words on each side, documents of different text that must agree, share of the entity's information.
-WINDOW, SUPPORT, THRESHOLD = 4, 2, 0.9
+#: Terms: documents of different text that must agree, share of the entity's information.
+SUPPORT, THRESHOLD = 2, 0.9
+#: A key with more than one in OFTEN of all rows is joined by broadcast.
+OFTEN = 10_000
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
 
@@ -90,78 +92,66 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _words(text: Column) -> Column:
-    """Words with their places in code points: struct(word, start, end), A-Z lowered, outer punctuation left out of the word."""
-    pieces, gaps = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1)
-    kind = "struct<at:bigint,out:array<struct<word:string,start:bigint,end:bigint>>>"
-    walk = F.aggregate(
-        F.arrays_zip(pieces.alias("p"), F.slice(gaps, F.lit(1), F.size(pieces)).alias("g")),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().alias("out")).cast(kind),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["g"]) + F.char_length(x["p"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        x["p"].alias("word"),
-                        (acc["at"] + F.char_length(x["g"])).alias("start"),
-                        (acc["at"] + F.char_length(x["g"]) + F.char_length(x["p"])).alias("end"),
-                    )
-                ),
-            ).alias("out"),
-        ).cast(kind),
-    )
-    return walk["out"]
-
-
 def _term(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"^[^\p{L}]+|[^\p{L}]+$", "")
 
 
-def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def _keyed(rows: DataFrame, wanted: DataFrame, often: DataFrame, key: str) -> DataFrame:
+    """rows joined with wanted (distinct keys) on key; often holds the keys of very many rows, which go by broadcast.
+
+    Such keys are few at any size of input, as each has at least one of OFTEN rows; the others make no hot key.
+    """
+    wide = F.broadcast(wanted.join(F.broadcast(often), key, "left_semi"))
+    slim = wanted.join(F.broadcast(often), key, "left_anti")
+    return rows.join(wide, key).unionByName(rows.join(F.broadcast(often), key, "left_anti").join(slim, key))
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """Rows (row, start, end, word, terms) of all words of texts (row, t, terms); places by a running sum, in time linear in the text."""
+    pieces, gaps = F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), F.split("t", WORD, -1)
+    words = texts.select("row", "terms", F.posexplode(F.arrays_zip(pieces.alias("p"), F.slice(gaps, F.lit(1), F.size(pieces)).alias("g"))).alias("at", "w"))
+    size = F.char_length("w.p").cast("long")
+    ends = F.sum(F.char_length("w.g") + size).over(Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return words.select("row", "terms", F.col("w.p").alias("word"), (ends - size).alias("start"), ends.alias("end"))
+
+
+def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (row, key, base, spans), one for each row of docs; span kinds 0 to 3 are base ones, 4 is a term.
 
     Null text counts as empty and has no spans. Keys may be null or repeat: rows stay apart by their own
-    numbers. Other columns are ignored. Exact copies of a text count once as evidence. Mentions give at most
-    2 * window words each, so rows stay in proportion to the text however often an entity appears, and counts
-    are combined before each shuffle.
+    numbers. Other columns are ignored. Exact copies of a text count once as evidence. An entity meets only
+    those terms of its documents that are rare enough to tell it: n_both is at most n_entity, so a term in more
+    than n_entity * (n / n_entity) ** (1 - threshold) texts never reaches the threshold. A text with many rare
+    entities and many rare terms still compares each with each.
     """
     base = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].alias("k"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
-    found = base.withColumn("base", base_spans(F.col("t")))
-    # the words around each mention, from the texts that have mentions
-    near = found.where(F.size("base") > 0).select("row", F.xxhash64("t").alias("same"), "t", F.explode("base").alias("e"))
-    reach = 24 * window  # code points looked at on each side; words cut by the edge are left out
-    near = near.withColumn("from", F.greatest(F.lit(0), F.col("e.start") - reach))
-    before = F.col("t").substr(F.col("from").cast("int") + 1, (F.col("e.start") - F.col("from")).cast("int"))
-    after = F.col("t").substr((F.col("e.end") + 1).cast("int"), F.lit(reach))
-    clean_before = F.when(F.col("from") > 0, F.regexp_replace(before, "^" + WORD, "")).otherwise(before)
-    near = near.select(
-        "row", "same", F.col("e.value").alias("entity"),
-        F.concat(
-            F.transform(
-                F.slice(F.reverse(_words(clean_before)), 1, window),
-                lambda w: F.struct(w["word"].alias("word"), (F.col("e.start") - F.char_length(clean_before) + w["start"]).alias("start"), (F.col("e.start") - F.char_length(clean_before) + w["end"]).alias("end")),
-            ),
-            F.transform(F.slice(_words(after), 1, window), lambda w: F.struct(w["word"].alias("word"), (F.col("e.end") + w["start"]).alias("start"), (F.col("e.end") + w["end"]).alias("end"))),
-        ).alias("ws"),
-    )
-    near = near.select("row", "same", "entity", F.explode("ws").alias("w")).withColumn("term", _term(F.col("w.word"))).where("term <> ''")
-    near = stored(near.select("row", "same", "entity", "term", F.col("w.start").alias("start"), F.col("w.end").alias("end")), "mentions")
-    both = near.select("entity", "term", "same").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    # document frequencies over the whole corpus, copies counted once: the first row of each text; rows join evenly
-    firsts = base.groupBy(F.xxhash64("t").alias("same")).agg(F.min("row").alias("row"))
-    every = base.join(firsts.select("row"), "row", "left_semi").select(F.explode(F.array_distinct(F.transform(F.split(F.col("t"), r"[\x20\x09-\x0D]+"), _term))).alias("term"))
-    totals = every.where("term <> ''").groupBy("term").agg(F.count("*").alias("n_term"))
-    n_docs = firsts.agg(F.count("*").alias("n"))
-    mentions = near.select("entity", "same").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    scored = both.join(totals, "term").join(mentions, "entity").crossJoin(F.broadcast(n_docs))  # n_docs is one row
-    pmi = F.log2(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity")))
+    firsts = base.groupBy(F.xxhash64("t").alias("same")).agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    terms = F.filter(F.array_distinct(F.transform(F.split(F.col("t"), r"[\x20\x09-\x0D]+"), _term)), lambda x: x != "")
+    seen = stored(base.join(firsts, "row", "left").select("row", "k", F.coalesce("first", F.lit(False)).alias("first"), base_spans(F.col("t")).alias("base"), terms.alias("terms")), "mentions")
+    once = seen.where("first")
+    n_docs = F.broadcast(once.agg(F.count("*").alias("n")))  # one row
+    # texts and rows that hold each term; a row's number also names its text, if it is the first
+    words = seen.select("row", "first", F.explode("terms").alias("term"))
+    totals = stored(words.groupBy("term").agg(F.count_if("first").alias("n_term"), F.count("*").alias("n_rows")), "totals")
+    often = totals.crossJoin(F.broadcast(totals.agg(F.sum("n_rows").alias("every")))).where(F.col("n_rows") * OFTEN > F.col("every")).select("term")
+    holds = once.where(F.size("base") > 0)
+    entities = holds.select("row", F.explode(F.array_distinct(F.transform("base", lambda x: x["value"]))).alias("entity"))
+    mentions = stored(entities.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "entities")
+    known = mentions.crossJoin(F.broadcast(mentions.agg(F.sum("n_entity").alias("every")))).where(F.col("n_entity") * OFTEN > F.col("every")).select("entity")
     content = F.log2(F.col("n") / F.col("n_entity"))
-    telling = scored.where((content > 0) & (pmi >= threshold * content)).select("entity", "term")
-    extra = near.join(telling, ["entity", "term"]).select("row", F.struct("start", F.lit(4).alias("kind"), "end", F.col("term").alias("value")).alias("x"))
-    extra = extra.groupBy("row").agg(F.collect_set("x").alias("extra"))
+    held = _keyed(entities, mentions, known, "entity").crossJoin(n_docs).where(content > 0)
+    beside = _keyed(holds.select("row", F.explode("terms").alias("term")), totals.where(F.col("n_term") >= support).select("term", "n_term"), often, "term")
+    rare = F.log2("n_term") <= F.log2("n_entity") + (1 - threshold) * content + 1e-9
+    both = beside.join(held, "row").where(rare).groupBy("entity", "term", "n_entity", "n_term", "n").agg(F.count("*").alias("n_both"))
+    pmi = F.log2(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity")))
+    telling = stored(both.where((F.col("n_both") >= support) & (pmi >= threshold * content)).select("term").distinct(), "telling")
+    # telling terms at all their places, in every row of the corpus
+    marked = _keyed(words.select("row", "term"), telling, often, "term").groupBy("row").agg(F.collect_set("term").alias("terms"))
+    found = _places(base.select("row", "t").join(marked, "row")).withColumn("term", _term(F.col("word"))).where(F.array_contains("terms", F.col("term")))
+    extra = found.select("row", F.struct("start", F.lit(4).alias("kind"), "end", F.col("term").alias("value")).alias("x"))
+    extra = extra.groupBy("row").agg(F.collect_list("x").alias("extra"))
     # a word that touches a base span is no term of its own
-    out = found.select("row", "k", "base").join(extra, "row", "left")
+    out = seen.select("row", "k", "base").join(extra, "row", "left")
     apart = F.filter(F.coalesce("extra", F.array().cast(SPAN)), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return out.select("row", F.col("k").alias(key), "base", F.array_sort(F.concat("base", apart.cast(SPAN))).alias("spans"))
 
