@@ -151,6 +151,25 @@ def test_repair_round_trip():
     assert len(none.tokens()[0]) == 0
 
 
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 5000, 3000)
+    docs = [np.concatenate([rng.integers(0, 300, rng.integers(0, 400)), passage]) for _ in range(9)] + [np.arange(2000)] * 5 + [np.full(n, 7) for n in (1, 2, 3, 1000)]
+    ids, at = np.concatenate(docs).astype(np.uint32), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    shard = repair.Shard(repair.compress(ids, at))
+    assert (shard.tokens()[0] == ids).all() and shard.lengths.max() >= 2000
+    left = Counter()
+    for a, b in zip(shard.ends[:-1], shard.ends[1:], strict=True):
+        own, i = shard.symbols[a:b].tolist(), 0
+        last = {}
+        for i, pair in enumerate(zip(own, own[1:])):  # noqa: B905
+            if last.get(pair) != i - 1:
+                left[pair] += 1
+                last[pair] = i
+    assert max(left.values()) < repair.MIN_USES
+    assert len(shard.symbols) + 3 * len(shard.left) < 0.5 * len(ids)
+
+
 def test_token_files(docs, empty):
     out = repair.read_shards(repair.write_shards(docs, BYTE, shard_tokens=64)).orderBy("doc_id").collect()
     want, start = library(BYTE), 0
