@@ -106,6 +106,16 @@ def test_language_id(spark, docs, empty):
     assert crf_langid.predict(empty, model).count() == 0 and crf_langid.predict(docs, crf_langid.learn(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_languages_of_long_texts_are_learned(spark):
+    import corpus_pipeline as c
+
+    rows = [(i, "house water green " * 20, "en") for i in range(40)] + [(100 + i, "1" * 5000 + " haus wasser gruen" * 400, "de") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in crf_langid.predict(docs, crf_langid.learn(docs)).collect()} == {k: lang for k, _, lang in rows}
+    bare = docs.selectExpr("doc_id", "text", "cast(null AS string) AS lang")
+    assert c.language_id(spark, bare, "").count() == len(rows)
+
+
 def test_switches_are_learned():
     text = lambda w: " ".join(w * 40)
     model = crf_langid.fit([(text(["house", "water", "green"]), "en"), (text(["haus", "wasser", "gruen"]), "de")])

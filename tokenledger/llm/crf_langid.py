@@ -236,15 +236,15 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def sample(labelled: DataFrame, text: str, lang: str, key: str) -> list[tuple[str, str]]:
-    """At most SAMPLE_DOCS documents of at most SAMPLE_CHARS code points of each of the SAMPLE_LANGS most frequent languages."""
-    short = labelled.where(F.col(lang).isNotNull() & (F.char_length(text) <= SAMPLE_CHARS) & F.col(text).rlike(r"\p{L}"))
-    counts = short.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(SAMPLE_LANGS).collect()
+    """At most SAMPLE_DOCS documents of each of the SAMPLE_LANGS most frequent languages; of a longer text, SAMPLE_CHARS code points from its first letter on."""
+    fit_on = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    counts = fit_on.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(SAMPLE_LANGS).collect()
     draw = F.xxhash64(F.col(key).cast("string"), F.xxhash64(text))
     out: list[tuple[str, str]] = []
     for row in counts:
         share = min(1.0, 2.0 * SAMPLE_DOCS / row["count"])
-        some = short.where((F.col(lang) == row[lang]) & (F.pmod(draw, F.lit(1 << 20)) <= F.lit(int(share * (1 << 20)))))
-        out += [(r.t, row[lang]) for r in some.select(F.col(text).alias("t"), draw.alias("d")).orderBy("d", "t").limit(SAMPLE_DOCS).collect()]
+        some = fit_on.where((F.col(lang) == row[lang]) & (F.pmod(draw, F.lit(1 << 20)) <= F.lit(int(share * (1 << 20)))))
+        out += [(r.t, row[lang]) for r in some.select(F.when(F.char_length(text) <= SAMPLE_CHARS, F.col(text)).otherwise(F.regexp_replace(text, r"^[^\p{L}]++", "").substr(1, SAMPLE_CHARS)).alias("t"), draw.alias("d")).orderBy("d", "t").limit(SAMPLE_DOCS).collect()]
     return out
 
 
