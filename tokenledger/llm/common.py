@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -17,25 +18,43 @@ from pyspark.sql import functions as F
 #: The only white space that separates words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key with more than one in OFTEN of all rows goes by broadcast in `spread_join`; so there are fewer than OFTEN of them.
+OFTEN = 10_000
+_SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when only the driver's sys.path has it."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([root, *parts])
-    env.setdefault("TOKENIZERS_PARALLELISM", "false")
+    """Let Python workers import this package: by the driver's own path in local mode, as an added archive on a cluster."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    context.environment.setdefault("TOKENIZERS_PARALLELISM", "false")
+    if context.master.startswith("local"):
+        parts = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if str(root) not in parts:
+            context.environment["PYTHONPATH"] = os.pathsep.join([str(root), *parts])
+    elif context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        archive = Path(tempfile.mkdtemp(prefix="tokenledger-")) / "tokenledger.zip"  # Spark serves it to the executors
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted((root / "tokenledger").rglob("*.py")):
+                out.write(file, file.relative_to(root))
+        context.addPyFile(str(archive))
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset, a temporary one in local mode, else one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tokenledger-")
+        local = spark.sparkContext.master.startswith("local")
+        found = "file://" + tempfile.mkdtemp(prefix="tokenledger-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/tokenledger-scratch"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/tokenledger-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's written tables; results of operators can't be read after that."""
+    jvm, path = spark.sparkContext._jvm, scratch_root(spark)
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -46,8 +65,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def fresh(taken: list[str], name: str) -> str:
+    """`name`, with underscores added until no column of `taken` has it (whatever the case)."""
+    lower = {x.lower() for x in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def often_keys(sizes: DataFrame, key: str, n: str) -> DataFrame:
+    """Keys of `sizes` (distinct keys with their numbers of rows n) that hold more than one in OFTEN of all rows."""
+    total = sizes.agg(F.sum(n)).first()[0] or 0
+    return sizes.where(F.col(n) * OFTEN > F.lit(total)).select(key)
+
+
+def spread_join(rows: DataFrame, wanted: DataFrame, often: DataFrame, key: str) -> DataFrame:
+    """rows joined with wanted (distinct keys) on key; often holds the keys of very many rows, which go by broadcast.
+
+    Such keys are few at any size of input, as each has at least one of OFTEN rows; the others make no hot key.
+    """
+    wide = F.broadcast(wanted.join(F.broadcast(often), key, "left_semi"))
+    slim = wanted.join(F.broadcast(often), key, "left_anti")
+    return rows.join(wide, key).unionByName(rows.join(F.broadcast(often), key, "left_anti").join(slim, key))
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
