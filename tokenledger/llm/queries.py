@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,8 +49,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii_disclosure import KINDS, joined, spans
 
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+
     out = spans(_documents(spark, sf_dir))
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
