@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, often_keys, spread_join, stored
 
 #: The base kinds, in the order that breaks ties. The patterns match what the plain forms
 #: match, but start a run of their first class at its front only (or where the last match ended) and never
@@ -25,11 +25,31 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 #: Terms: documents of different text that must agree, share of the entity's information.
 SUPPORT, THRESHOLD = 2, 0.9
-#: A key with more than one in OFTEN of all rows is joined by broadcast.
-OFTEN = 10_000
+#: Items that a scan appends one by one before it hands them on, and code points of a text's blocks.
+CHUNK, PART = 256, 4096
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
 
+def scan(n: Column, step, kind: str) -> Column:
+    """Items that step(at, i) = struct(at bigint, out array of `kind` items) gives for i from 0 to n - 1, where at begins at 0.
+
+    Items are gathered CHUNK at a time and the chunks after that, so that appending costs no square of n.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def inner(acc: Column, i: Column) -> Column:
+        return F.get(F.transform(F.array(step(acc["at"], i)), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], x["out"]).alias("out"))), F.lit(0))
+
+    def outer(acc: Column, chunk: Column) -> Column:
+        some = F.sequence(chunk * CHUNK, F.least(chunk * CHUNK + (CHUNK - 1), n - 1))
+        part = F.aggregate(some, F.struct(acc["at"].alias("at"), empty.alias("out")), inner)
+        return F.get(F.transform(F.array(part), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out"))), F.lit(0))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    chunks = F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))
+    return F.when(n > 0, F.aggregate(chunks, start, outer, lambda acc: F.flatten(acc["out"]))).otherwise(empty)
+
+
 def matches(text: Column, pattern: str, kind: int, fits) -> Column:
     """Leftmost non-overlapping matches with their places in code points; those that don't fit are left out."""
     parts = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
@@ -37,15 +57,13 @@ def matches(text: Column, pattern: str, kind: int, fits) -> Column:
     def walk(bound: Column) -> Column:
         pieces, found = bound["pieces"], bound["found"]
 
-        def step(acc: Column, i: Column) -> Column:
-            start = (acc["at"] + F.char_length(F.get(pieces, i))).cast("bigint")
+        def step(at: Column, i: Column) -> Column:
+            start = (at + F.char_length(F.get(pieces, i))).cast("bigint")
             end = (start + F.char_length(F.get(found, i))).cast("bigint")
             span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.get(found, i).alias("value"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).cast(SPAN).alias("out"))
+            return F.struct(end.alias("at"), F.array(span).cast(SPAN).alias("out"))
 
-        empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
-        every = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), empty, step, lambda acc: acc["out"])
-        return F.when(F.size(found) > 0, F.filter(every, lambda x: fits(x["value"]))).otherwise(F.array().cast(SPAN))
+        return F.filter(scan(F.size(found), step, SPAN[6:-1]), lambda x: fits(x["value"]))
 
     # a one-element array binds the parts, so that they are computed once and not for each match
     return F.get(F.transform(F.array(parts), walk), F.lit(0))
@@ -96,16 +114,6 @@ def _term(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"^[^\p{L}]+|[^\p{L}]+$", "")
 
 
-def _keyed(rows: DataFrame, wanted: DataFrame, often: DataFrame, key: str) -> DataFrame:
-    """rows joined with wanted (distinct keys) on key; often holds the keys of very many rows, which go by broadcast.
-
-    Such keys are few at any size of input, as each has at least one of OFTEN rows; the others make no hot key.
-    """
-    wide = F.broadcast(wanted.join(F.broadcast(often), key, "left_semi"))
-    slim = wanted.join(F.broadcast(often), key, "left_anti")
-    return rows.join(wide, key).unionByName(rows.join(F.broadcast(often), key, "left_anti").join(slim, key))
-
-
 def _places(texts: DataFrame) -> DataFrame:
     """Rows (row, start, end, word, terms) of all words of texts (row, t, terms); places by a running sum, in time linear in the text."""
     pieces, gaps = F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), F.split("t", WORD, -1)
@@ -129,24 +137,24 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", support: int
     terms = F.filter(F.array_distinct(F.transform(F.split(F.col("t"), r"[\x20\x09-\x0D]+"), _term)), lambda x: x != "")
     seen = stored(base.join(firsts, "row", "left").select("row", "k", F.coalesce("first", F.lit(False)).alias("first"), base_spans(F.col("t")).alias("base"), terms.alias("terms")), "mentions")
     once = seen.where("first")
-    n_docs = F.broadcast(once.agg(F.count("*").alias("n")))  # one row
+    n_docs = F.lit(once.count()).cast("long")
     # texts and rows that hold each term; a row's number also names its text, if it is the first
     words = seen.select("row", "first", F.explode("terms").alias("term"))
     totals = stored(words.groupBy("term").agg(F.count_if("first").alias("n_term"), F.count("*").alias("n_rows")), "totals")
-    often = totals.crossJoin(F.broadcast(totals.agg(F.sum("n_rows").alias("every")))).where(F.col("n_rows") * OFTEN > F.col("every")).select("term")
+    often = often_keys(totals, "term", "n_rows")
     holds = once.where(F.size("base") > 0)
     entities = holds.select("row", F.explode(F.array_distinct(F.transform("base", lambda x: x["value"]))).alias("entity"))
     mentions = stored(entities.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "entities")
-    known = mentions.crossJoin(F.broadcast(mentions.agg(F.sum("n_entity").alias("every")))).where(F.col("n_entity") * OFTEN > F.col("every")).select("entity")
-    content = F.log2(F.col("n") / F.col("n_entity"))
-    held = _keyed(entities, mentions, known, "entity").crossJoin(n_docs).where(content > 0)
-    beside = _keyed(holds.select("row", F.explode("terms").alias("term")), totals.where(F.col("n_term") >= support).select("term", "n_term"), often, "term")
+    known = often_keys(mentions, "entity", "n_entity")
+    content = F.log2(n_docs / F.col("n_entity"))
+    held = spread_join(entities, mentions, known, "entity").where(content > 0)
+    beside = spread_join(holds.select("row", F.explode("terms").alias("term")), totals.where(F.col("n_term") >= support).select("term", "n_term"), often, "term")
     rare = F.log2("n_term") <= F.log2("n_entity") + (1 - threshold) * content + 1e-9
-    both = beside.join(held, "row").where(rare).groupBy("entity", "term", "n_entity", "n_term", "n").agg(F.count("*").alias("n_both"))
-    pmi = F.log2(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity")))
+    both = beside.join(held, "row").where(rare).groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both"))
+    pmi = F.log2(F.col("n_both") * n_docs / (F.col("n_term") * F.col("n_entity")))
     telling = stored(both.where((F.col("n_both") >= support) & (pmi >= threshold * content)).select("term").distinct(), "telling")
     # telling terms at all their places, in every row of the corpus
-    marked = _keyed(words.select("row", "term"), telling, often, "term").groupBy("row").agg(F.collect_set("term").alias("terms"))
+    marked = spread_join(words.select("row", "term"), telling, often, "term").groupBy("row").agg(F.collect_set("term").alias("terms"))
     found = _places(base.select("row", "t").join(marked, "row")).withColumn("term", _term(F.col("word"))).where(F.array_contains("terms", F.col("term")))
     extra = found.select("row", F.struct("start", F.lit(4).alias("kind"), "end", F.col("term").alias("value")).alias("x"))
     extra = extra.groupBy("row").agg(F.collect_list("x").alias("extra"))
@@ -159,23 +167,33 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", support: int
 def sanitised(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """docs with every base span generalised to its kind in brackets and every telling term removed to `[term]`.
 
-    Columns and rows are unchanged but for the text; a null text stays null.
+    Columns and rows are unchanged but for the text, whatever the other columns are called; a null text stays null,
+    an empty one empty. docs must give the same rows in the same order each time that it is read, as a table does.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    marks = spans(docs, text, key, **options).where(F.size("spans") > 0).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    marks = spans(docs, text, key, **options).where(F.size("spans") > 0).select("row", "spans")
     names = F.array(*[F.lit(f"[{k}]") for k in (*KINDS, "term")])
-    source = F.col("__text")
-    walk = F.aggregate(
-        F.col("__spans"),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).cast("bigint").alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(
-                x["end"].cast("bigint").alias("at"),
-                F.concat(acc["out"], source.substr((acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.get(names, x["kind"])).alias("out"),
-            )
-        ),
-        lambda acc: F.concat(acc["out"], source.substr((acc["at"] + 1).cast("int"), F.char_length(source))),
-    )
-    both = numbered.withColumn("__text", docs[text].cast("string")).join(marks, "__row", "left")
-    clean = F.when(F.col("__spans").isNull(), F.col("__text")).otherwise(walk)
-    return both.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    source = F.col("doc")[text].cast("string")
+    gap = "struct<a:bigint,b:bigint,kind:int>"
+
+    def cut(bound: Column) -> Column:
+        """The text before each span with the span's kind, then the rest; blocks keep every cut short."""
+        blocks, found = bound["blocks"], bound["spans"]
+
+        def part(a: Column, b: Column) -> Column:
+            first = F.floor(a / PART).cast("int")
+            some = F.array_join(F.slice(blocks, first + 1, F.floor(b / PART).cast("int") - first + 1), "")
+            return some.substr((a % PART + 1).cast("int"), (b - a).cast("int"))
+
+        def step(at: Column, i: Column) -> Column:
+            x = F.get(found, i)
+            own = F.struct(at.alias("a"), x["start"].alias("b"), x["kind"].alias("kind"))
+            return F.struct(F.greatest(at, x["end"]).cast("bigint").alias("at"), F.when(x["start"] >= at, F.array(own)).otherwise(F.array()).cast(f"array<{gap}>").alias("out"))
+
+        pieces = F.transform(scan(F.size(found), step, gap), lambda x: F.concat(part(x["a"], x["b"]), F.get(names, x["kind"])))
+        return F.concat(F.array_join(pieces, ""), part(F.array_max(F.transform(found, lambda x: x["end"])), bound["n"]))
+
+    both = numbered.join(marks, "row", "left")
+    bound = F.struct(F.regexp_extract_all(source, F.lit("(?s).{1,%d}" % PART), F.lit(0)).alias("blocks"), F.col("spans"), F.char_length(source).cast("bigint").alias("n"))
+    clean = F.when(F.col("spans").isNull(), source).otherwise(F.get(F.transform(F.array(bound), cut), F.lit(0)))
+    return both.select(*[clean.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns])
