@@ -356,8 +356,8 @@ def test_sentencepiece_form_equals_rank_encoder(docs, empty):
     with open(RANKS, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    rows = spm_bpe.decode(spm_bpe.encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN).collect()
-    assert len(rows) == len(TEXTS)
+    rows = spm_bpe.decode(spm_bpe.encode(docs, RANKS, P.PATTERN), RANKS).collect()
+    assert len(rows) == len(TEXTS) and sorted(map(str, rows)) == sorted(map(str, spm_bpe.encode(docs, RANKS, P.PATTERN, decoded=True).collect()))
     for r in rows:
         assert r.ids == own.encode_ordinary(TEXTS[r.doc_id] or "") and bytes(r.decoded) == (TEXTS[r.doc_id] or "").encode()
     assert spm_bpe.encode(empty, RANKS, P.PATTERN).count() == 0

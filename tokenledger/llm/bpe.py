@@ -18,8 +18,9 @@ import regex
 
 from .common import gather, offsets_of
 
-#: Distinct chunks a worker remembers; only speed depends on it.
-CHUNKS = 600_000
+#: Bytes of distinct chunks, their ids and the table's own cells that a worker remembers (checked before each batch);
+#: only speed depends on it.
+CACHE, CELL = 100 << 20, 160
 #: The pattern of the word-end vocabulary's Split step, as its JSON file has it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Two characters of white space (as the pattern languages see it, for RE2), or the mark that cuts use.
@@ -55,7 +56,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.chunks: dict[str, int] = {}
-        self.flat, self.ends = array("I"), array("q", [0])
+        self.flat, self.ends, self.held = array("I"), array("q", [0]), 0
 
     def pretoken(self, piece: str) -> list[int]:
         return [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.latin))]
@@ -74,13 +75,14 @@ class Encoder:
 
     def add(self, key: str, ids: list[int]) -> int:
         """Append ids to the table of chunks; their row."""
+        self.held += CELL + len(key) + 4 * len(ids)
         self.flat.extend(ids)
         self.ends.append(len(self.flat))
         return len(self.ends) - 2
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row as uint32, offsets of the texts)."""
-        if len(self.chunks) >= CHUNKS:
+        if self.held > CACHE:
             self.clear()
         texts = self.prepared(texts)
         unsafe = pc.match_substring_regex(texts, self.unsafe)

@@ -72,10 +72,9 @@ def op7_pca_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_spm_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
-    from .spm_bpe import decode, encode
+    from .spm_bpe import encode
 
-    path = _vocabulary("byte_bpe_50k.tiktoken")
-    out = decode(encode(_documents(spark, sf_dir), path, PATTERN), path, PATTERN)
+    out = encode(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.tiktoken"), PATTERN, decoded=True)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

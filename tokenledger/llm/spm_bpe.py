@@ -15,16 +15,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from .bpe import MARK, SPACE, Encoder, byte_alphabet
-from .common import list_array, ship, text_slices, texts_of
+from .common import gather, list_array, offsets_of, ship, text_slices, texts_of
 
 #: Fixed values of sentencepiece's model format: field numbers, and the kinds of models and pieces.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 MODEL_TYPE_FIELD, VOCAB_SIZE_FIELD, UNK_FIELD, BOS_FIELD, EOS_FIELD, PAD_FIELD = 3, 4, 40, 41, 42, 43
 BPE_MODEL, NORMAL_PIECE, UNKNOWN_PIECE = 2, 1, 2
+#: Bytes of text encoded at once.
+SLICE = 3 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -93,8 +96,22 @@ class SpmEncoder(Encoder):
             return self.pretoken(" " + piece)
         return self.ids(piece[1:] if piece[:1] == MARK else " " + piece)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+
+class Decoder:
+    """Bytes of ids by the inverse mapping: one gather over the tokens' bytes laid end to end."""
+
+    def __init__(self, path: str) -> None:
+        tokens = read_ranks(path)
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts, self.bytes = offsets_of(self.sizes)[:-1], np.frombuffer(b"".join(tokens), np.uint8)
+
+    def batch(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The bytes of each list ids[offsets[i]:offsets[i + 1]]."""
+        data, sizes = np.empty(int(self.sizes[ids].sum()), np.uint8), offsets_of(self.sizes[ids])
+        for at in range(0, len(ids), 1 << 18):
+            some = ids[at : at + (1 << 18)]
+            data[sizes[at] : sizes[at + len(some)]] = self.bytes[gather(self.starts[some], self.sizes[some])]
+        return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(sizes[offsets]), pa.py_buffer(data)]).cast(pa.binary())
 
 
 @lru_cache(maxsize=2)
@@ -103,33 +120,49 @@ def spm_encoder(path: str, pattern: str) -> SpmEncoder:
     return SpmEncoder(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (key, ids array<int>) of whole texts; null is empty and has no ids, keys may be null or repeat.
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
-    Other columns are dropped, whatever their names. One pass, no shuffle, memory bounded by a few MB of
-    text at a time or one text.
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """Rows (key, ids array<int>) of whole texts, one for each row of docs; with `decoded`, also the bytes that the ids decode to.
+
+    A null or empty text has no ids; keys may be null or repeat, and equal rows give equal results; an empty table
+    gives none. Other columns are dropped, whatever their names. One pass, no shuffle; a worker holds SLICE bytes
+    of text or one longer text, its ids, and chunks up to bpe.CACHE.
     """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = spm_encoder(path, pattern)
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SLICE):
             ids, offsets = own.batch(texts_of(part))
-            yield pa.RecordBatch.from_arrays([part.column("k"), list_array(ids.astype(np.int32), offsets, pa.int32())], [key, "ids"])
+            columns = [part.column("k"), list_array(ids.astype(np.int32), offsets, pa.int32())]
+            if decoded:
+                columns.append(decoder(path).batch(ids, offsets))
+            yield pa.RecordBatch.from_arrays(columns, [key, "ids", "decoded"][: len(columns)])
 
     kind = docs.select(key).schema[0].dataType.simpleString()
-    return docs.select(docs[key].alias("k"), docs[text].alias("text")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    schema = f"`{key}` {kind}, ids array<int>" + (", decoded binary" if decoded else "")
+    return docs.select(docs[key].alias("k"), docs[text].cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
-    """Rows (key, ids, decoded binary) by the inverse mapping; null ids decode to nothing."""
+def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+    """Rows (key, ids, decoded binary) of rows with ids, by the inverse mapping; null ids decode to nothing."""
     ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = spm_encoder(path, pattern)
-        for part in batches:
-            decoded = [own.decode(x or []) for x in part.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*part.schema.names, "decoded"])
+        own = decoder(path)
+        for batch in batches:
+            sizes = offsets_of(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:  # a bounded number of ids at a time, or one list
+                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + (1 << 20), "right")) - 1)
+                part = batch.slice(at, to - at)
+                ids = part.column("ids").flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*part.columns, own.batch(ids, sizes[at : to + 1] - sizes[at])], [*part.schema.names, "decoded"])
+                at = to
 
     kind = encoded.select(key).schema[0].dataType.simpleString()
     return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded binary")
