@@ -124,6 +124,73 @@ def test_switches_are_learned():
     assert [model.labels[i] for i in mean.argmax(1)] == ["en"] * 4 + ["de"] * 4
 
 
+def test_gradient_equals_finite_differences():
+    rng = np.random.default_rng(8)
+    vocabulary = ["house", "haus", "maison", "water", "wasser", "eau", "x", "yy"]
+    runs = [(int(rng.integers(3)), [vocabulary[i] for i in rng.integers(0, 8, rng.integers(1, 7))]) for _ in range(14)]
+    chain = crf_langid.Chain(runs, 3, {"water": (0,), "x": (0, 2)})
+    weights, moves, first = rng.normal(0, 0.3, (1 << crf_langid.BITS, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+
+    def likelihood(weights, moves, first):
+        emit, total = chain.emissions(weights), 0.0
+        cuts = [*np.flatnonzero(chain.starts), len(emit)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            truth = chain.gold[a:b].argmax(1)
+            own = first[truth[0]] + emit[a + np.arange(b - a), truth].sum() + moves[truth[:-1], truth[1:]].sum()
+            reach = first + emit[a]
+            for t in range(a + 1, b):
+                reach = np.log(np.exp(reach[:, None] + moves).sum(0)) + emit[t]
+            total += own - np.log(np.exp(reach).sum())
+        return total
+
+    steps = chain.gradient(weights, moves, first)
+    for which, step in enumerate(steps):
+        places = zip(*np.nonzero(step), strict=True) if which == 0 else np.ndindex(step.shape)
+        for place in list(places)[:12]:
+            pair = []
+            for d in (1e-5, -1e-5):
+                moved = [weights, moves, first]
+                moved[which] = moved[which].copy()
+                moved[which][place] += d
+                pair.append(likelihood(*moved))
+            assert math.isclose((pair[0] - pair[1]) / 2e-5, step[place], rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_prediction_and_fit_share_features():
+    runs = [(0, ["house", "internationalisation" * 4, "x"]), (1, ["haus"])]
+    chain = crf_langid.Chain(runs, 2, {"haus": (1,)})
+    weights = np.random.default_rng(0).normal(size=(1 << crf_langid.BITS, 2))
+    model = crf_langid.Model(["a", "b"], weights, np.eye(2), np.zeros(2), {"haus": (1,)})
+    names = [w for _, run in runs for w in run]
+    assert np.allclose(model.emissions(names)[0], chain.emissions(weights), atol=1e-5)
+    model.held = 1 << 40  # a full cache is emptied
+    assert np.allclose(model.emissions(names[::-1])[0], chain.emissions(weights)[::-1], atol=1e-5) and len(model.rows) == 4
+
+
+def test_word_runs(spark):
+    model = crf_langid.fit([(" ".join(["house", "water", "green"] * 40), "en"), (" ".join(["haus", "wasser", "gruen"] * 40), "de")])
+    texts = ["house water 12 green house\n\n haus wasser gruen! wasser", "é ½ house", "", None, "...", "haus"]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, score double")
+    out = {r.doc_id: r for r in crf_langid.predict(docs, model, keep=("doc_id", "score"), names=("l", "s"), runs="runs").collect()}
+    assert [(texts[0][r.start : r.end], r["lang"]) for r in out[0].runs] == [("house water 12 green house", "en"), ("haus wasser gruen! wasser", "de")]
+    assert [(texts[1][r.start : r.end], len(r["lang"])) for r in out[1].runs][-1][0].endswith("house") and all(out[i].runs == [] for i in (2, 3, 4))
+    assert [tuple(r) for r in out[5].runs] == [(0, 4, "de")] and out[5].l == "de" and out[5].score == 0.5
+
+
+def test_places_of_words():
+    texts = ["", " a  béc\t", "日本 x", "\n", "abc"]
+    low, high = crf_langid.places(common.texts_of(pa.record_batch({"text": texts})))
+    want = [m.span() for t in texts for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+    assert list(zip(low.tolist(), high.tolist(), strict=True)) == want
+
+
+def test_language_stage_keeps_clashing_columns(spark):
+    rows = [(i, w * 30, lang, 7.0, "mine", None) for i, (w, lang) in enumerate([("house water green ", "en"), ("haus wasser gruen ", "de")] * 8)] + [(90, None, "en", 1.0, "x", "y"), (91, "", None, None, None, None), (None, "house water " * 20, None, 2.0, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, __text string")
+    kept = crf_langid.drop_unclear(docs, crf_langid.learn(docs), 0.4)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id not in (90, 91))
+
+
 def test_lanes_equal_plain_forward_backward():
     rng = np.random.default_rng(5)
     for n, k, share in ((1, 2, 1.0), (70, 3, 0.1), (900, 4, 0.01), (900, 4, 0.0), (400, 2, 0.6)):
