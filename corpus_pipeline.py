@@ -17,12 +17,11 @@ LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters, and those in which no language stands out, if any language was learned."""
-    model = crf_langid.learn(docs)
-    if not model.labels:
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    out = crf_langid.predict(docs, model, keep=tuple(docs.columns))
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Drops documents without letters (null and empty texts too), and those in which no language stands out, if any language was learned.
+
+    Repeated rows stay or go together; an empty table stays empty; other columns are kept, whatever their names.
+    """
+    return crf_langid.drop_unclear(docs, crf_langid.learn(docs), LEAST_SCORE)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
