@@ -495,6 +495,29 @@ def test_near_groups(spark, docs, empty):
     assert superminhash.near_groups(empty).count() == 0 and superminhash.drop_near_copies(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("small", [16, 2])
+def test_near_groups_of_repeated_keys(spark, small, monkeypatch):
+    monkeypatch.setattr(superminhash, "SMALL", small)
+    near = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(1, near("a")), (1, near("b")), (2, near("a") + " x"), (3, near("b") + " y"), (4, near("c")), (5, near("c")), (5, near("d")), (6, near("d") + " z")]
+    rows += [(7, None), (8, ""), (None, near("a")), (9, near("e")), (9, None), (10, near("e"))] + [(11, near("f"))] * 40 + [(20 + i, near("a") + f" u{i}") for i in range(30)]
+    df = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in rows], "doc_id long, text string, k int, id int, __keep_id int")
+    out = superminhash.near_groups(df, 85).collect()
+    assert len(out) == len(rows)
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, None: None, 9: 9, 10: 9, 11: 11} | {20 + i: 1 for i in range(30)}
+    assert {(r.doc_id, r.component_id) for r in out} == set(want.items()) and all(r.kept == (r.doc_id == r.component_id) for r in out)
+    kept = superminhash.drop_near_copies(df)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "1", "4", "7", "8", "9", "9", "None"] + ["11"] * 40)
+
+
+def test_exact_groups_of_repeated_keys(spark):
+    rows = [(1, "a b"), (1, "c"), (2, "ab"), (None, "c"), (None, None), (3, ""), (3, " " * 70000)] + [(4, "hot")] * 300
+    df = spark.createDataFrame([(k, t, 0, "x") for k, t in rows], "doc_id long, text string, k int, doc string")
+    out = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect()}
+    assert out == {(1, 1, 2, True), (1, 1, 2, True), (2, 1, 2, False), (None, 1, 2, False), (None, 3, 3, False), (3, 3, 3, True), (4, 4, 300, True)}
+    assert exact_dedup.drop_copies(df).columns == df.columns and exact_dedup.drop_copies(df).where("doc_id = 1").count() == 2
+
+
 # pipeline
 
 

@@ -19,8 +19,8 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
     Of rows whose normalised texts are identical the one with the most code points in the original text
     stays, then the smallest key; a null key sorts last. Null text counts as empty, and empty texts are one
-    group. Rows that repeat a key within a group are one document and are kept or dropped together. Other
-    columns are ignored, whatever their names.
+    group. Rows that repeat a key within a group are one document and are kept or dropped together. Very long
+    texts are compared whole; an empty table gives no rows. Other columns are ignored, whatever their names.
 
     The grouping key is (MD5, bytes): rows meet by hash and are told apart by their bytes, so a collision
     makes two groups. Copies are combined before the shuffle, so a text that fills a third of the table
@@ -41,6 +41,11 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that exact_groups keeps, columns unchanged."""
-    keep = exact_groups(docs, text, key).where("kept").select(F.col(key).alias("__keep_id")).distinct()
-    return docs.join(keep, docs[key].eqNullSafe(keep["__keep_id"]), "left_semi")
+    """The rows of docs whose key exact_groups keeps. Columns are unchanged, whatever their names.
+
+    A key that repeats with other texts stays whole if any of its texts is one that stays.
+    """
+    keep = exact_groups(docs, text, key).where("kept").select(F.col(key).alias("k")).distinct()
+    rows = docs.select(docs[key].alias("k"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    rows = rows.alias("r").join(keep.alias("s"), F.col("r.k").eqNullSafe(F.col("s.k")), "left_semi")
+    return rows.select(*[F.col("doc")[c].alias(c) for c in docs.columns])

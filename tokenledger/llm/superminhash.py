@@ -16,13 +16,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, gather, list_array, ship, stored, text_slices, texts_of, words_of
+from .common import components, forest, gather, list_array, often_keys, ship, spread_join, stored, text_slices, texts_of, words_of
 
 WORDS, PLACES, ROWS = 5, 80, 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Buckets up to this size give all their pairs; larger ones go through tiles of blocks of so many shingles, exactly.
 SMALL, BLOCK = 16, 150_000
+#: Bytes of text shingled at once.
+SLICE = 4 << 20
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -166,94 +168,104 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, text: str = "text", key
     """Rows (key, n_shingles, component_id, kept), one for each row of docs.
 
     Sets are distinct shingles of WORDS words (shingle_sets). Documents with equal sets are linked; others are
-    linked if 100 * intersection >= percent * union, checked on the full sets of every candidate pair that
-    isn't already in one component. component_id is the smallest key reachable by links. A text that is
-    null, empty or without words links with nothing. Keys must be integers; a row whose key is null has a
-    null component and is kept. Rows that repeat a key are the same vertex. Other columns are ignored.
+    linked if 100 * intersection >= percent * union, checked on the full sets of every candidate pair.
+    component_id is the smallest key reachable by links. A text that is null, empty or without words links with
+    nothing. Keys must be integers; a row whose key is null has a null component and is kept. Rows that repeat a
+    key, with equal or other texts, are one vertex with the links of all its texts. A very long text is one
+    set. An empty table gives no rows. Other columns are ignored, whatever their names.
 
     Equal sets are collapsed first, so exact copies cost one row each. Band buckets of up to SMALL sets give
     all pairs; larger ones give each member's pair with the bucket's first set. Larger buckets that are then in
     several components are merged where they overlap, dealt into blocks of BLOCK shingles, and compared block
     by block on the full sets; such a tile sends a spanning forest of its links, never its pairs. With 20 bands
-    of 4 places a pair at similarity 0.85 is missed with probability (1 - 0.85**4)**20 < 1e-6.
+    of 4 places a pair at similarity 0.85 is missed with probability (1 - 0.85**4)**20 < 1e-6. Bands and sets
+    with more than one in OFTEN of all rows are joined by broadcast, so no key holds up a task.
     """
     spark = docs.sparkSession
     ship(spark)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text", 4 << 20):
+        for part in text_slices(batches, "text", SLICE):
             sets = shingle_sets(texts_of(part))
             content = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             key_rows = bands(signatures(sets))
-            columns = [part.column("k"), pa.array([len(s) for s in sets], pa.int64()), pa.array(content, pa.binary())]
+            columns = [part.column("k"), part.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(content, pa.binary())]
             offsets = np.arange(len(sets) + 1) * key_rows.shape[1]
-            yield pa.RecordBatch.from_arrays([*columns, list_array(key_rows.ravel(), offsets, pa.int64())], ["k", "n", "content", "bands"])
+            yield pa.RecordBatch.from_arrays([*columns, list_array(key_rows.ravel(), offsets, pa.int64())], ["k", "h", "n", "content", "bands"])
 
-    base = docs.select(docs[key].cast("long").alias("k"), docs[text].cast("string").alias("text"))
-    sketches = stored(base.mapInArrow(sketch, "k long, n long, content binary, bands array<long>"), "sketches")
+    base = docs.select(docs[key].cast("long").alias("k"), docs[text].cast("string").alias("text")).select("k", F.xxhash64("text").alias("h"), "text")
+    sketches = stored(base.mapInArrow(sketch, "k long, h long, n long, content binary, bands array<long>"), "sketches")
     some = sketches.where("n > 0 AND k IS NOT NULL")
-    reps = stored(some.groupBy("content").agg(F.min(F.struct("k", "n", "bands")).alias("x")).select("content", "x.k", "x.n", "x.bands"), "reps")
-    entries = reps.select("k", "n", F.explode("bands").alias("band"))
-    sizes = entries.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("n", "k")).alias("first")).where("members > 1")
-    buckets = stored(entries.join(sizes, "band").select("band", "k", "n", "members", F.col("first.k").alias("hub"), F.col("first.n").alias("hub_n")), "buckets")
-    fits = f"100 * least(n, m) >= {int(percent)} * greatest(n, m)"
-    small = buckets.where(f"members <= {SMALL}").groupBy("band").agg(F.collect_list(F.struct("k", "n")).alias("xs"))
-    small = small.select(F.explode("xs").alias("a"), "xs").select("a", F.explode("xs").alias("b")).where("a.k < b.k")
-    small = small.selectExpr("a.k AS a", "b.k AS b", "a.n AS n", "b.n AS m").where(fits).select("a", "b")
-    star = buckets.where(f"members > {SMALL} AND hub <> k").selectExpr("least(hub, k) AS a", "greatest(hub, k) AS b", "n", "hub_n AS m")
-    pairs = stored(small.unionByName(star.where(fits).select("a", "b")).distinct(), "pairs")
-    wanted = stored(buckets.select("k").distinct(), "wanted")
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text", 4 << 20):
-            sets = shingle_sets(texts_of(part))
-            yield pa.RecordBatch.from_arrays([part.column("k"), pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "s"])
-
-    texts = base.where("k IS NOT NULL").join(wanted, "k").dropDuplicates(["k"])
-    sets = stored(texts.mapInArrow(to_sets, "k long, s binary"), "sets") if pairs.limit(1).count() else None
+    # one row for each set: its smallest key is its vertex, (k, h) finds its text again, id tells sets apart
+    reps = some.groupBy("content").agg(F.min(F.struct("k", "h", "n", "bands")).alias("x"), F.count("*").alias("copies"))
+    reps = stored(reps.select(F.monotonically_increasing_id().alias("id"), "content", "copies", "x.k", "x.h", "x.n", "x.bands"), "reps")
+    entries = reps.select("id", "k", "n", F.explode("bands").alias("band"))
+    hub = F.min(F.struct("n", "id", "k"))
+    sizes = stored(entries.groupBy("band").agg(F.count("*").alias("members"), hub.alias("hub")).where("members > 1"), "sizes")
+    often = often_keys(sizes, "band", "members")
+    buckets = stored(spread_join(entries, sizes, often, "band"), "buckets")
+    fits = f"100 * least(a.n, b.n) >= {int(percent)} * greatest(a.n, b.n)"
+    small = buckets.where(f"members <= {SMALL}").groupBy("band").agg(F.collect_list(F.struct("n", "id", "k")).alias("xs"))
+    small = small.select(F.explode("xs").alias("a"), "xs").select("a", F.explode("xs").alias("b")).where("a.id < b.id")
+    star = buckets.where(f"members > {SMALL} AND hub.id <> id").select(F.struct("n", "id", "k").alias("a"), F.col("hub").alias("b"))
+    pairs = small.unionByName(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).where(fits)
+    pairs = stored(pairs.selectExpr("a.id AS a", "b.id AS b", "a.k AS ka", "b.k AS kb").distinct(), "pairs")
+    sets = _sets(base, reps, buckets) if pairs.limit(1).count() else None
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
             good = [linked(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.selectExpr("k AS a", "s AS x"), "a").select("a", "b", "x")
-        both = left.join(sets.selectExpr("k AS b", "s AS y"), "b").select("a", "b", "x", "y")
-        return both.mapInArrow(verify, "a long, b long")
+            yield pa.RecordBatch.from_arrays([batch.column("ka"), batch.column("kb")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    named = spread_join(some.select("k", "content"), reps.select("content", F.col("k").alias("rep")), often_keys(reps, "content", "copies"), "content").select("k", "rep")
+    # keys that repeat with other texts tie their sets' vertices together
+    tied = named.groupBy("k").agg(F.min("rep").alias("b"), F.max("rep").alias("other")).where("b < other").select("k", "b")
+    edges = stored(named.join(tied, "k").selectExpr("rep AS a", "b").distinct(), "tied")
     roots = None
     if sets is not None:
-        edges = stored(links(pairs), "links")
+        left = pairs.join(sets.selectExpr("id AS a", "s AS x"), "a").select("a", "b", "ka", "kb", "x")
+        both = left.join(sets.selectExpr("id AS b", "s AS y"), "b").select("ka", "kb", "x", "y")
+        edges = stored(both.mapInArrow(verify, "a long, b long").unionByName(edges), "links")
         roots = stored(components(edges), "roots")
-        tiles = _tiled(buckets.where(f"members > {SMALL}"), roots, sets, percent)
+        tiles = _tiled(buckets.where(f"members > {SMALL}"), often, roots, sets, percent)
         if tiles is not None:
             roots = components(edges.unionByName(tiles))
-    named = some.select("k", "content").join(reps.selectExpr("content", "k AS rep"), "content")
+    elif not edges.isEmpty():
+        roots = components(edges)
+    named = named.groupBy("k").agg(F.min("rep").alias("rep"))
     if roots is not None:
-        named = named.join(roots, named.rep == roots.v, "left").select("k", F.coalesce("root", "rep").alias("component_id"))
-    else:
-        named = named.selectExpr("k", "rep AS component_id")
-    named = named.groupBy("k").agg(F.min("component_id").alias("component_id"))
+        named = named.join(roots, named.rep == roots.v, "left").select("k", F.coalesce("root", "rep").alias("rep"))
     out = sketches.select("k", "n").join(named, "k", "left")
-    component = F.coalesce("component_id", "k")
+    component = F.coalesce("rep", "k")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("k")).alias("kept"))
 
 
-def _tiled(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _sets(base: DataFrame, reps: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows (id, s binary): the full sets of all members of buckets, from one text of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text", SLICE):
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(texts_of(part))], pa.binary())], ["id", "s"])
+
+    wanted = reps.join(buckets.select("id").distinct(), "id").select("id", "k", "h")
+    texts = base.where("k IS NOT NULL").join(wanted, ["k", "h"]).dropDuplicates(["k", "h"])
+    return stored(texts.select("id", "text").mapInArrow(run, "id long, s binary"), "sets")
+
+
+def _tiled(large: DataFrame, often: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) that join components inside large buckets, as spanning forests; None if there is nothing to compare."""
-    named = large.join(roots, large.k == roots.v, "left").select("band", "k", "n", F.coalesce("root", "k").alias("root"))
-    split = named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("k").alias("hub")).where("x < y")
-    open_ = stored(named.join(split.select("band", "hub"), "band").select("hub", "k", "n"), "open")
-    if open_.isEmpty():
+    named = large.join(roots, large.k == roots.v, "left").select("band", "id", "k", "n", F.coalesce("root", "k").alias("root"))
+    split = stored(named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("id").alias("low")).where("x < y"), "split")
+    if split.isEmpty():
         return None
-    clusters = components(open_.selectExpr("k AS a", "hub AS b"))
-    members = open_.select("k", "n").distinct().join(clusters, F.col("k") == clusters.v, "left").select("k", "n", F.coalesce("root", "k").alias("c"))
+    open_ = stored(spread_join(named, split.select("band", "low"), often, "band").select("low", "id", "k", "n"), "open")
+    clusters = components(open_.selectExpr("id AS a", "low AS b"))
+    members = open_.select("id", "k", "n").distinct().join(clusters, F.col("id") == clusters.v, "left").select("id", "k", "n", F.coalesce("root", "id").alias("c"))
     members = stored(members, "members")
-    counts = members.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    dealt = members.join(counts, "c").select("c", "k", "blocks", F.pmod(F.xxhash64("k"), F.col("blocks")).alias("block"))
-    dealt = dealt.join(sets, "k").select("c", "block", "blocks", "k", "s")
+    counts = stored(members.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.count("*").alias("rows")), "counts")
+    dealt = spread_join(members, counts, often_keys(counts, "c", "rows"), "c").select("c", "id", "k", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+    dealt = dealt.join(sets, "id").select("c", "block", "blocks", "k", "s")
 
     def assemble(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("s")]
@@ -278,6 +290,8 @@ def _tiled(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) ->
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay: one document of each group. Columns are unchanged."""
-    keep = near_groups(docs, percent, text, key).where("kept").select(F.col(key).alias("__keep_id")).distinct()
-    return docs.join(keep, docs[key].cast("long").eqNullSafe(keep["__keep_id"]), "left_semi")
+    """The rows of docs that stay: one document of each group, with all rows of its key, and rows without a key. Columns are unchanged, whatever their names."""
+    keep = near_groups(docs, percent, text, key).where("kept").select(F.col(key).alias("k")).distinct()
+    rows = docs.select(docs[key].cast("long").alias("k"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    rows = rows.alias("r").join(keep.alias("s"), F.col("r.k").eqNullSafe(F.col("s.k")), "left_semi")
+    return rows.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
