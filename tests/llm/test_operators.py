@@ -414,6 +414,46 @@ def test_near_vectors(spark):
     assert pca_neardup.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_at_the_threshold(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(150):  # pairs built to have a cosine of 0.9, or as near as doubles come
+        a = rng.normal(size=40)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=40)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        rows += [a * 3, 0.9 * a + math.sqrt(1 - 0.81) * b]
+    x = np.array(rows)
+    near = {i for i in range(0, 300, 2) if np.einsum("i,i->", x[i], x[i + 1]) / (np.sqrt(np.einsum("i,i->", x[i], x[i])) * np.sqrt(np.einsum("i,i->", x[i + 1], x[i + 1]))) >= 0.9}
+    assert 20 < len(near) < 130
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = {r.vec_id: r.component_id for r in pca_neardup.near_vectors(df).collect()}
+    wrong = sum((out[i + 1] == i) != (i in near) for i in range(0, 300, 2))
+    assert wrong <= 3  # the order in which a product is summed moves its last place
+
+
+def test_vectors_of_repeated_keys(spark):
+    e = np.eye(6) * 1e300
+    rows = [(1, e[0]), (1, e[1]), (2, e[0] + 0.1 * e[2]), (3, e[1] * 0.5), (4, e[3]), (4, e[3]), (5, e[4]), (None, e[4]), (6, e[5][:0])]
+    df = spark.createDataFrame([(k, v.tolist(), 1, "x") for k, v in rows], "vec_id long, embedding array<double>, k int, content string")
+    out = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in pca_neardup.near_vectors(df).collect()}
+    assert out == {(1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (5, 0, 5, True), (None, 0, None, True), (6, 0, 6, True)}
+
+
+def test_tiles_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pca_neardup, "SIDE_ROWS", 16)
+    monkeypatch.setattr(pca_neardup, "STRIP", 8)
+    rng = np.random.default_rng(12)
+    x = (rng.normal(size=(20, 12))[rng.integers(0, 20, 500)] + rng.normal(size=(500, 12)) * 0.25).astype(np.float32).astype(np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = {r.vec_id: r.n_links for r in pca_neardup.near_vectors(df).collect()}
+    assert [out[i] for i in range(500)] == link.sum(1).tolist() and link.sum() > 1000
+
+
 # op8
 
 
