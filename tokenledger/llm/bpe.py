@@ -9,18 +9,17 @@ Texts with two white-space characters in a row go through the pattern as a whole
 from __future__ import annotations
 
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from .common import gather, offsets_of
+from .common import gather, held, offsets_of
 
 #: Bytes of distinct chunks, their ids and the table's own cells that a worker remembers (checked before each batch);
 #: only speed depends on it.
-CACHE, CELL = 100 << 20, 160
+CACHE, CELL = 64 << 20, 160
 #: The pattern of the word-end vocabulary's Split step, as its JSON file has it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Two characters of white space (as the pattern languages see it, for RE2), or the mark that cuts use.
@@ -149,14 +148,12 @@ class WordEncoder(Encoder):
         return self.ids(piece[1:] if piece[:1] == MARK else piece)
 
 
-@lru_cache(maxsize=4)
 def byte_level(path: str) -> Encoder:
-    """One per worker and file."""
+    """The worker's encoder for a byte-level vocabulary."""
     from public_tokenizers import PATTERN
 
-    return Encoder(path, PATTERN, SPACE + SPACE + "|" + MARK)
+    return held(Encoder, path, PATTERN, SPACE + SPACE + "|" + MARK)
 
 
-@lru_cache(maxsize=4)
 def word_level(path: str) -> Encoder:
-    return WordEncoder(path, WORD_PATTERN, MARK)
+    return held(WordEncoder, path, WORD_PATTERN, MARK)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -89,8 +90,26 @@ def spread_join(rows: DataFrame, wanted: DataFrame, often: DataFrame, key: str)
     return rows.join(wide, key).unionByName(rows.join(F.broadcast(often), key, "left_anti").join(slim, key))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Re-cut record batches so that each holds at most `limit` bytes of `column`, or one row."""
+_HELD: dict = {}
+
+
+def held(make, *args):
+    """make(*args), made once per worker and kept until another is asked for: a worker that many operators use holds one."""
+    if (make, args) not in _HELD:
+        _HELD.clear()
+        _HELD[make, args] = make(*args)
+    return _HELD[make, args]
+
+
+def release() -> None:
+    """Give free memory back to the system, which idle workers of earlier stages would keep."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Re-cut record batches so that each holds at most `limit` bytes of `column`, or one row; free memory is released at the end."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -102,15 +121,19 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 <
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    batch = None
+    release()
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The column as one large string array of its own; null is empty.
+def texts_of(batch: pa.RecordBatch, column: str = "text", kind: pa.DataType | None = None) -> pa.Array:
+    """The column as one large string (or `kind`) array of its own; null is empty.
 
     The copy matters: ascii_lower returns wrong characters for a slice of large strings.
     """
-    texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
-    return pa.concat_arrays([texts, pa.array([""], pa.large_string())]).slice(0, len(texts))
+    kind = kind or pa.large_string()
+    empty = pa.array([b""], pa.large_binary()).cast(kind)
+    texts = pc.fill_null(batch.column(column).cast(kind), empty[0])
+    return pa.concat_arrays([texts, empty]).slice(0, len(texts))
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

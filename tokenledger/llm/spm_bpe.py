@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import MARK, SPACE, Encoder, byte_alphabet
-from .common import gather, list_array, offsets_of, ship, text_slices, texts_of
+from .common import gather, held, list_array, offsets_of, ship, text_slices, texts_of
 
 #: Fixed values of sentencepiece's model format: field numbers, and the kinds of models and pieces.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -76,9 +75,10 @@ class SpmEncoder(Encoder):
     def __init__(self, path: str, pattern: str) -> None:
         import sentencepiece
 
-        self.tokens = read_ranks(path)
-        self.ranks = {t: i for i, t in enumerate(self.tokens)}
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.tokens))
+        tokens = read_ranks(path)
+        self.ranks = {t: i for i, t in enumerate(tokens)}
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(tokens))
+        self.decoder = Decoder(path)
         self.normalizer, self.unsafe = None, SPACE + SPACE + "|" + MARK
         self.find = regex.compile(pattern, regex.V0).findall
         self.latin = dict(enumerate(byte_alphabet()))
@@ -114,17 +114,6 @@ class Decoder:
         return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(sizes[offsets]), pa.py_buffer(data)]).cast(pa.binary())
 
 
-@lru_cache(maxsize=2)
-def spm_encoder(path: str, pattern: str) -> SpmEncoder:
-    """One per worker and file."""
-    return SpmEncoder(path, pattern)
-
-
-@lru_cache(maxsize=2)
-def decoder(path: str) -> Decoder:
-    return Decoder(path)
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
     """Rows (key, ids array<int>) of whole texts, one for each row of docs; with `decoded`, also the bytes that the ids decode to.
 
@@ -135,12 +124,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = spm_encoder(path, pattern)
+        own = held(SpmEncoder, path, pattern)
         for part in text_slices(batches, "text", SLICE):
             ids, offsets = own.batch(texts_of(part))
             columns = [part.column("k"), list_array(ids.astype(np.int32), offsets, pa.int32())]
             if decoded:
-                columns.append(decoder(path).batch(ids, offsets))
+                columns.append(own.decoder.batch(ids, offsets))
             yield pa.RecordBatch.from_arrays(columns, [key, "ids", "decoded"][: len(columns)])
 
     kind = docs.select(key).schema[0].dataType.simpleString()
@@ -153,7 +142,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = decoder(path)
+        own = held(Decoder, path)
         for batch in batches:
             sizes = offsets_of(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
