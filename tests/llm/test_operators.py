@@ -280,6 +280,50 @@ def test_repeated_spans(docs, keep, large):
         assert (bytes(rows[k].kept), rows[k].n_removed) == (left, int(gone.sum())), k
 
 
+def test_suffix_order_and_smaller_places_equal_brute_force():
+    rng = np.random.default_rng(1)
+    for length in (16, 21):
+        data = np.tile(rng.integers(0, 3, 12), 500).astype(np.uint8)
+        data[rng.integers(0, 6000, 40)] = 7
+        m = 60
+        lead, count = rng.integers(0, 9, m), np.empty(m, np.int64)
+        count[:] = [rng.integers(1, x + 2) for x in lead]
+        offset, bucket = np.sort(rng.choice(5900, m, replace=False)), rng.integers(0, 4, m)
+        context, inner = lpf_dedup.sorted_suffixes(bucket, lead, offset, count, data, length)
+        assert sorted(zip(context, inner, strict=True)) == [(c, j) for c in range(m) for j in range(count[c])]
+        at, group = offset[context] + inner, bucket[context] * length + lead[context] - inner
+        text = [bytes(data[p : p + length]) for p in at]
+        for g in set(group):
+            own = [text[i] for i in np.flatnonzero(group == g)]
+            assert own == sorted(own)
+        same = lpf_dedup.plateaus(at, group, data, length)
+        assert same.tolist() == [text[i] == text[i - 1] and group[i] == group[i - 1] for i in range(1, len(at))] and same.any()
+        place = context * length + inner
+        previous, following = lpf_dedup.smaller_neighbours(place, same)
+        first = {}
+        for i in np.argsort(place):
+            # the longest previous factor reaches the length if the same bytes start at a smaller place
+            assert (previous[i] or following[i]) == ((group[i], text[i]) in first)
+            first.setdefault((group[i], text[i]), i)
+
+
+def test_smaller_places_on_both_sides():
+    same = np.array([True, True, False, True])
+    previous, following = lpf_dedup.smaller_neighbours(np.array([5, 2, 9, 4, 1]), same)
+    assert previous.tolist() == [False, False, True, False, False] and following.tolist() == [True, False, False, True, False]
+
+
+def test_repeated_spans_of_long_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(lpf_dedup, "_BLOCK", 1 << 16)
+    rng = np.random.default_rng(3)
+    long = "".join(map(chr, rng.integers(97, 123, 2_000_000)))
+    part = long[65_400:66_200]
+    rows = [(1, long + part), (1, "x" + part), (None, "é" * 150), (None, "é" * 150), (3, None), (4, "short")]
+    df = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "doc_id long, text string, row int, h int").coalesce(1)
+    out = sorted(tuple(r) for r in lpf_dedup.remove_spans(lpf_dedup.repeated_spans(df)).selectExpr("coalesce(doc_id, -1)", "n_bytes", "n_removed", "n_spans").collect())
+    assert out == sorted([(1, 2_000_800, 1600, 2), (1, 801, 800, 1), (-1, 300, 300, 1), (-1, 300, 300, 1), (3, 0, 0, 0), (4, 5, 0, 0)])
+
+
 def test_repeated_spans_of_nothing(empty):
     assert lpf_dedup.remove_spans(lpf_dedup.repeated_spans(empty)).count() == 0
 

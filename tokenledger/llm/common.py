@@ -21,6 +21,8 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than one in OFTEN of all rows goes by broadcast in `spread_join`; so there are fewer than OFTEN of them.
 OFTEN = 10_000
+#: Parts that `salted_join` deals the rows of such a key to.
+SALTS = 64
 _SHIPPED: set[str] = set()
 
 
@@ -90,6 +92,18 @@ def spread_join(rows: DataFrame, wanted: DataFrame, often: DataFrame, key: str)
     return rows.join(wide, key).unionByName(rows.join(F.broadcast(often), key, "left_anti").join(slim, key))
 
 
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, n: str, by: list[str]) -> DataFrame:
+    """rows joined with facts (distinct keys with their numbers of rows n) on key, one pass over rows.
+
+    The rows of an often key are dealt by a hash of the columns `by` to SALTS parts, each with its copy of the fact.
+    """
+    often = F.broadcast(often_keys(facts, key, n).withColumn("often_", F.lit(True)))  # fewer than OFTEN rows
+    salt = F.when(F.col("often_"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)
+    left = rows.join(often, key, "left").withColumn("salt_", salt).drop("often_")
+    right = facts.join(often, key, "left").withColumn("salt_", F.explode(F.when(F.col("often_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("often_")
+    return left.join(right, [key, "salt_"]).drop("salt_")
+
+
 _HELD: dict = {}
 
 

@@ -1,10 +1,12 @@
-"""Substring dedup by longest-previous-factor reasoning over a distributed, sparse suffix order.
+"""Substring dedup by longest previous factors over a distributed, sparse suffix array.
 
 Two equal stretches of `length` bytes share an anchor: a place whose 64-byte hash is the least in a window,
-chosen by content only, at the same offset in both. Suffixes that start inside a stretch are therefore ordered
-within the bucket of their anchor: by the hash of their first `length` bytes, then by (document, place). In that
-order the previous and the next smaller place of equal prefix are a suffix's earlier and later match, i.e.
-LPF >= length means that an earlier occurrence exists, and the mirrored array tells of later ones.
+chosen by content only, at the same offset in both. So a suffix meets all its matches of `length` bytes in the
+bucket of its anchor. There, suffixes are sorted by their bytes: first the ones that start at the anchors, then,
+byte by byte to the left, those before them, each from its own first byte and the rank of the suffix that
+follows. Neighbours that agree on `length` bytes form plateaus of the longest-common-prefix array; a suffix's
+previous and next smaller places (of document, then offset) within its plateau are its earlier matches, so its
+longest previous factor reaches `length` if it has either.
 
 `keep="first"` removes what has an earlier match; `keep="none"` removes every copy.
 """
@@ -20,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gather, ship, stored, text_slices
+from .common import gather, salted_join, ship, stored, text_slices
 
 GRAM = 64
 #: Anchors' buckets above this many places are ordered by a shuffle on the prefix hash instead of in one task.
@@ -29,7 +31,7 @@ LARGE = 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WRAP = (1 << 64) - 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -55,9 +57,9 @@ def _scaled(values: np.ndarray, table: np.ndarray, base: int) -> np.ndarray:
 class Rolling:
     """Hashes of all stretches of any width of a byte string."""
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, table: int = 0) -> None:
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_scaled(_BYTES[data], _UP, _BASE), out=self.sums[1:])
+        np.cumsum(_scaled(_BYTES[table][data], _UP, _BASE), out=self.sums[1:])
 
     def of(self, width: int) -> np.ndarray:
         x = _scaled(self.sums[width:] - self.sums[:-width], _DOWN, pow(_BASE, -1, 1 << 64))
@@ -96,6 +98,60 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return np.concatenate(at), places, np.concatenate(found)[first]
 
 
+def sorted_suffixes(bucket: np.ndarray, lead: np.ndarray, offset: np.ndarray, count: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of the stretches of some contexts: (context, offset of the stretch in it), one bucket and lead after the other.
+
+    A context has `count` stretches from data[offset] on; its anchor stands at data[offset + lead]. Equal suffixes
+    keep the order of their contexts.
+    """
+    m = len(bucket)
+    low = lead - count + 1  # the anchor's offset in the last stretch, so `length - low` bytes are known from the anchor on
+    known = length - low
+    cells = np.zeros((m, 4 + length), np.uint8)
+    cells[:, :4] = bucket.astype(">u4").view(np.uint8).reshape(m, 4)
+    cells[np.repeat(np.arange(m), known), 4 + gather(np.zeros(m, np.int64), known)] = data[gather(offset + lead, known)]
+    rank = np.empty(m, np.int64)
+    rank[np.argsort(cells.view(f"S{4 + length}").ravel(), kind="stable")] = np.arange(m)
+    major, live = bucket.astype(np.int64) * 256, np.arange(m)
+    contexts, inner = [], []
+    for depth in range(int(lead.max(initial=-1)) + 1):
+        if depth:
+            live = live[lead[live] >= depth]
+        key = rank[live] if not depth else (major[live] + data[offset[live] + lead[live] - depth]) * m + rank[live]
+        order = live[np.argsort(key, kind="stable")]
+        rank[order] = np.arange(len(order))
+        order = order[low[order] <= depth]
+        contexts.append(order)
+        inner.append(lead[order] - depth)
+    return np.concatenate([np.empty(0, np.int64), *contexts]), np.concatenate([np.empty(0, np.int64), *inner])
+
+
+def plateaus(at: np.ndarray, group: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
+    """Whether each suffix but the first agrees with the one before it in suffix order, in its group, on `length` bytes."""
+    if len(at) < 2:
+        return np.zeros(0, bool)
+    windows, kind = np.lib.stride_tricks.sliding_window_view(data, length), np.uint64 if length % 8 == 0 else np.uint8
+    same = group[1:] == group[:-1]
+    for begin in range(0, len(at) - 1, 1 << 14):
+        rows = windows[at[begin : begin + (1 << 14) + 1]].view(kind)
+        same[begin : begin + len(rows) - 1] &= (rows[1:] == rows[:-1]).all(1)
+    return same
+
+
+def smaller_neighbours(place: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a previous, and a next, suffix of the same plateau has a smaller place; places are not negative."""
+    n = len(place)
+    if not n:
+        return np.zeros(0, bool), np.zeros(0, bool)
+    plateau = np.cumsum(np.append(True, ~same))
+    step = int(place.max()) + 1
+    before = np.minimum.accumulate(place - plateau * step)  # a new plateau is below all that came before
+    after = np.minimum.accumulate((place + plateau * step)[::-1])[::-1]
+    previous = np.append(False, same & (before[:-1] < (place - plateau * step)[1:]))
+    following = np.append(same & (after[1:] < (place + plateau * step)[:-1]), False)
+    return previous, following
+
+
 def unpacked(value: pa.Scalar) -> bytes:
     return zstandard.ZstdDecompressor().decompress(value.as_buffer())
 
@@ -108,9 +164,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep: str = "none", text:
     document counts, and stretches may overlap. Matches never cross documents. Null text is empty; repeated rows
     are copies of each other; keys may be null or repeat; other columns are ignored. length is 80 to 1000.
 
+    A very long text is one row; its anchors are found in blocks. An empty table gives no rows.
+
     Shuffles: the texts once (by row, read again in place), anchors' hashes for counting (combined before the
     shuffle), anchors that repeat with up to 2 * length bytes around them. Anchors that repeat too often for one
-    task go through a shuffle on prefix hashes, combined before it for keep="none".
+    task go through a shuffle on 128 bits of prefix hashes, combined before it; there, equal hashes stand for equal bytes.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -138,8 +196,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep: str = "none", text:
             yield pa.RecordBatch.from_arrays(columns, ["h", "row", "place"])
 
     every = table.where(F.col("n") >= length).select("row", "data").mapInArrow(find, "h long, row long, place long")
-    often = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    again = every.join(often, "h").select("row", "place", "h", (F.col("n") > large).alias("large"))
+    repeats = stored(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeats")
+    again = salted_join(every, repeats, "h", "n", ["row", "place"]).select("row", "place", "h", (F.col("n") > large).alias("large"))
     lists = stored(again.groupBy("row").agg(F.collect_list(F.struct("place", "h", "large")).alias("anchors")), "anchors")
 
     def contexts(large: bool) -> DataFrame:
@@ -163,44 +221,43 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep: str = "none", text:
         some = lists if not large else lists.where(F.exists("anchors", lambda x: x["large"]))
         return table.select("row", "data").join(some, "row").mapInArrow(run, "h long, row long, start long, lead int, bytes binary")
 
-    def prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(batch row, place in the document, prefix hash with the anchor's mixed in) of every stretch of the contexts."""
-        which, place, found = [], [], []
-        grams = batch.column("h").to_numpy().view(np.uint64)
-        column = batch.column("bytes").cast(pa.large_binary())
+    def laid_out(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(all contexts' bytes in a row, where each begins and the last ends)."""
+        column = pa.concat_arrays([batch.column("bytes").cast(pa.large_binary())])
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.empty(0, np.uint8)
-        if len(data) < length:
-            return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
-        hashes = Rolling(data).of(length)
-        offsets = offsets - offsets[0]
+        return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+    def prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(batch row, place in the document, two hashes of the first `length` bytes with the anchor's mixed in) of every stretch."""
+        data, offsets = laid_out(batch)
+        grams = batch.column("h").to_numpy().view(np.uint64)
         counts = np.diff(offsets) - length + 1
         at = gather(offsets[:-1], counts)
         which = np.repeat(np.arange(len(counts)), counts)
         inner = at - offsets[:-1][which]
-        lead = batch.column("lead").to_numpy().astype(np.int64)[which] - inner  # the anchor's offset in the stretch
-        found = hashes[at] ^ (grams[which] * _M1) ^ (lead.astype(np.uint64) * _M2)
-        return which, batch.column("start").to_numpy()[which] + inner, found
-
-    def ordered(row: np.ndarray, place: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """Which suffixes have a match that counts, from the previous and next smaller places in suffix order."""
-        order = np.lexsort((place, row, found))
-        same = found[order][1:] == found[order][:-1]
-        earlier, later = np.append(False, same), np.append(same, False)
-        out = np.empty(len(order), bool)
-        out[order] = earlier if keep == "first" else earlier | later
-        return out
+        lead = batch.column("lead").to_numpy().astype(np.uint64)[which] - inner.astype(np.uint64)  # the anchor's offset in the stretch
+        first, second = Rolling(data).of(length)[at], Rolling(data, 1).of(length)[at]
+        return which, batch.column("start").to_numpy()[which] + inner, first ^ (grams[which] * _M1) ^ (lead * _M2), second
 
     def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches of whole buckets: sorted by anchor, cut where the anchor changes."""
         held: list[pa.RecordBatch] = []
 
         def resolve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            which, place, found = prefixes(batch)
-            row = batch.column("row").to_numpy()[which]
-            good = ordered(row, place, found)
-            return runs(row[good], place[good])
+            batch = pa.Table.from_batches(parts).combine_chunks().sort_by([("row", "ascending"), ("start", "ascending")]).combine_chunks().to_batches()[0]
+            data, offsets = laid_out(batch)
+            row, start = batch.column("row").to_numpy(), batch.column("start").to_numpy()
+            lead, count = batch.column("lead").to_numpy().astype(np.int64), np.diff(offsets) - length + 1
+            bucket = np.unique(batch.column("h").to_numpy(), return_inverse=True)[1]
+            context, inner = sorted_suffixes(bucket, lead, offsets[:-1], count, data, length)
+            same = plateaus(offsets[context] + inner, bucket[context] * length + lead[context] - inner, data, length)
+            if keep == "first":
+                previous, following = smaller_neighbours(context * length + inner, same)
+                good = previous | following
+            else:
+                good = np.append(False, same) | np.append(same, False) if len(context) else same
+            context, inner = context[good], inner[good]
+            return runs(row[context], start[context] + inner)
 
         size = 0
         for batch in batches:
@@ -233,15 +290,15 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep: str = "none", text:
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
                 part = batch.slice(at, 4000)
-                which, place, found = prefixes(part)
-                columns = [pa.array(found.view(np.int64)), pa.array(part.column("row").to_numpy()[which]), pa.array(place)]
-                yield pa.RecordBatch.from_arrays(columns, ["f", "row", "place"])
+                which, place, first, second = prefixes(part)
+                columns = [pa.array(x.view(np.int64)) for x in (first, second)] + [pa.array(part.column("row").to_numpy()[which]), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, ["f", "g", "row", "place"])
 
     found = contexts(False).repartition("h").sortWithinPartitions("h").mapInArrow(in_task, "row long, a long, b long")
     if lists.where(F.exists("anchors", lambda x: x["large"])).limit(1).count():
-        many = contexts(True).mapInArrow(spread, "f long, row long, place long")
-        groups = many.groupBy("f").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("first")).where("n > 1")
-        many = many.join(groups, "f")
+        many = contexts(True).mapInArrow(spread, "f long, g long, row long, place long")
+        groups = many.groupBy("f", "g").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("first")).where("n > 1")
+        many = salted_join(many, stored(groups.withColumnRenamed("g", "g2"), "prefixes"), "f", "n", ["row", "place"]).where("g = g2")
         if keep == "first":
             many = many.where("first.row <> row OR first.place <> place")
         found = found.unionByName(many.selectExpr("row", "place AS a", "place AS b"))
