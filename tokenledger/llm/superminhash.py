@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, gather, list_array, often_keys, ship, spread_join, stored, text_slices, texts_of, words_of
+from .common import components, forest, gather, list_array, salted_join, ship, stored, text_slices, texts_of, words_of
 
 WORDS, PLACES, ROWS = 5, 80, 4
 #: Links need 100 * intersection >= PERCENT * union.
@@ -70,7 +70,7 @@ def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     at = 0
     while at < len(order):  # a bounded number of elements at a time, or one set
         to, total = at, 0
-        while to < len(order) and (to == at or total + len(sets[order[to]]) <= 1 << 19):
+        while to < len(order) and (to == at or total + len(sets[order[to]]) <= 1 << 18):
             total += len(sets[order[to]])
             to += 1
         _fill(out, [sets[i] for i in order[at:to]], np.array(order[at:to]), places)
@@ -179,7 +179,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, text: str = "text", key
     several components are merged where they overlap, dealt into blocks of BLOCK shingles, and compared block
     by block on the full sets; such a tile sends a spanning forest of its links, never its pairs. With 20 bands
     of 4 places a pair at similarity 0.85 is missed with probability (1 - 0.85**4)**20 < 1e-6. Bands and sets
-    with more than one in OFTEN of all rows are joined by broadcast, so no key holds up a task.
+    with more than one in OFTEN of all rows are dealt to many tasks, so no key holds up one.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -202,8 +202,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, text: str = "text", key
     entries = reps.select("id", "k", "n", F.explode("bands").alias("band"))
     hub = F.min(F.struct("n", "id", "k"))
     sizes = stored(entries.groupBy("band").agg(F.count("*").alias("members"), hub.alias("hub")).where("members > 1"), "sizes")
-    often = often_keys(sizes, "band", "members")
-    buckets = stored(spread_join(entries, sizes, often, "band"), "buckets")
+    buckets = stored(salted_join(entries, sizes, "band", "members", ["id"]), "buckets")
     fits = f"100 * least(a.n, b.n) >= {int(percent)} * greatest(a.n, b.n)"
     small = buckets.where(f"members <= {SMALL}").groupBy("band").agg(F.collect_list(F.struct("n", "id", "k")).alias("xs"))
     small = small.select(F.explode("xs").alias("a"), "xs").select("a", F.explode("xs").alias("b")).where("a.id < b.id")
@@ -218,7 +217,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, text: str = "text", key
             good = [linked(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("ka"), batch.column("kb")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    named = spread_join(some.select("k", "content"), reps.select("content", F.col("k").alias("rep")), often_keys(reps, "content", "copies"), "content").select("k", "rep")
+    named = salted_join(some.select("k", "content"), reps.select("content", "copies", F.col("k").alias("rep")), "content", "copies", ["k"]).select("k", "rep")
     # keys that repeat with other texts tie their sets' vertices together
     tied = named.groupBy("k").agg(F.min("rep").alias("b"), F.max("rep").alias("other")).where("b < other").select("k", "b")
     edges = stored(named.join(tied, "k").selectExpr("rep AS a", "b").distinct(), "tied")
@@ -228,7 +227,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, text: str = "text", key
         both = left.join(sets.selectExpr("id AS b", "s AS y"), "b").select("ka", "kb", "x", "y")
         edges = stored(both.mapInArrow(verify, "a long, b long").unionByName(edges), "links")
         roots = stored(components(edges), "roots")
-        tiles = _tiled(buckets.where(f"members > {SMALL}"), often, roots, sets, percent)
+        tiles = _tiled(buckets.where(f"members > {SMALL}"), roots, sets, percent)
         if tiles is not None:
             roots = components(edges.unionByName(tiles))
     elif not edges.isEmpty():
@@ -253,18 +252,18 @@ def _sets(base: DataFrame, reps: DataFrame, buckets: DataFrame) -> DataFrame:
     return stored(texts.select("id", "text").mapInArrow(run, "id long, s binary"), "sets")
 
 
-def _tiled(large: DataFrame, often: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _tiled(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) that join components inside large buckets, as spanning forests; None if there is nothing to compare."""
     named = large.join(roots, large.k == roots.v, "left").select("band", "id", "k", "n", F.coalesce("root", "k").alias("root"))
-    split = stored(named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("id").alias("low")).where("x < y"), "split")
+    split = stored(named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("id").alias("low"), F.count("*").alias("rows")).where("x < y"), "split")
     if split.isEmpty():
         return None
-    open_ = stored(spread_join(named, split.select("band", "low"), often, "band").select("low", "id", "k", "n"), "open")
+    open_ = stored(salted_join(named, split.select("band", "low", "rows"), "band", "rows", ["id"]).select("low", "id", "k", "n"), "open")
     clusters = components(open_.selectExpr("id AS a", "low AS b"))
     members = open_.select("id", "k", "n").distinct().join(clusters, F.col("id") == clusters.v, "left").select("id", "k", "n", F.coalesce("root", "id").alias("c"))
     members = stored(members, "members")
     counts = stored(members.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.count("*").alias("rows")), "counts")
-    dealt = spread_join(members, counts, often_keys(counts, "c", "rows"), "c").select("c", "id", "k", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+    dealt = salted_join(members, counts, "c", "rows", ["id"]).select("c", "id", "k", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
     dealt = dealt.join(sets, "id").select("c", "block", "blocks", "k", "s")
 
     def assemble(table: pa.Table) -> pa.Table:
