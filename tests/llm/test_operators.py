@@ -422,7 +422,7 @@ def test_context_mixing(docs, empty):
     for i, ws in tokens.items():
         r = rows[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel_tol=1e-9) and -1e5 < r.score < 0
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel_tol=1e-9) and -1e5 < r.score < 0 and r.bits_per_byte > 0
     assert context_mixing.score(empty).count() == 0
 
 
@@ -436,6 +436,117 @@ def test_words_share_decisions():
     assert np.allclose(alone, context_mixing.word_logs(names, zeros, ones, np.full((25, 4), 0.3)))
 
 
+def test_next_bytes_add_up_to_one():
+    rng = np.random.default_rng(4)
+    zeros, ones = (rng.integers(0, 40, context_mixing._STARTS[-1]).astype(np.float32) for _ in range(2))
+    weights = rng.normal(0.3, 0.2, (25, 4))
+    for prefix in ("", "th", "wxyz"):
+        words = [prefix + chr(b) for b in range(128)]
+        nodes = context_mixing.Nodes(words)
+        x, gate = nodes.inputs(zeros, ones, False)
+        z = np.einsum("bdk,bdk->bd", x, weights[gate])
+        p = np.where(nodes.bits == 1, context_mixing.squash(z), context_mixing.squash(-z))
+        last = np.array([nodes.source[np.flatnonzero(nodes.word == i)[-2]] for i in range(128)])  # the byte before the end
+        assert math.isclose(p[last, 1:].prod(1).sum(), 1, rel_tol=1e-9)  # half of all bytes: their first bit is 0
+
+
+def test_own_words_equal_brute_force():
+    rng = np.random.default_rng(2)
+    offsets = np.array([0, 0, 1, 40, 41, 300])
+    codes = rng.integers(0, 9, 300)
+    alone, after = context_mixing.own_words(codes, offsets)
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        own = codes[a:b].tolist()
+        for i, w in enumerate(own):
+            assert math.isclose(alone[a + i], own[:i].count(w) / max(1, i))
+            pairs = list(zip(own[:i], own[1:i], strict=False))
+            starts = [x for x, _ in pairs]
+            want = pairs.count((own[i - 1], w)) / max(1, starts.count(own[i - 1])) if i else 0
+            assert math.isclose(after[a + i], want)
+
+
+def test_mixing_follows_the_better_predictor(monkeypatch):
+    monkeypatch.setattr(context_mixing, "REFINE", 2)
+    rng = np.random.default_rng(3)
+    offsets, n = np.array([0, 5, 5, 12]), 12
+    coded, parts = np.log10(rng.random(n)), tuple(np.where(rng.random(n) < 0.4, 0, rng.random(n)) for _ in range(3))
+    counted = rng.random(n) < 0.7
+    got = context_mixing.refined(coded, parts, offsets, counted)
+    for d in range(3):
+        share, total = np.array(context_mixing.START) * context_mixing.STRENGTH, 0.0
+        own = range(offsets[d], offsets[d + 1])
+        for begin in range(0, len(own), 2):
+            weight, gain = share / share.sum(), np.zeros(4)
+            for i in own[begin : begin + 2]:
+                each = weight * np.array([10 ** coded[i], *(p[i] for p in parts)])
+                total += math.log10(each.sum()) * counted[i]
+                gain += each / each.sum()
+            share = share + gain
+        assert math.isclose(got[d], total, abs_tol=1e-12)
+    assert math.isclose(context_mixing.refined(np.array([-400.0]), (np.zeros(1),) * 3, np.array([0, 1]), np.ones(1, bool))[0], -400 + math.log10(0.1))
+
+
+def test_segments_and_their_bits(monkeypatch):
+    monkeypatch.setattr(context_mixing, "SPARSE", 4)
+    rng = np.random.default_rng(9)
+    words = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    parts = [rng.integers(0, 30, n) for n in (0, 2, 3, 80, 1, 200)]
+    parts += [parts[3], np.concatenate([parts[5][:100], parts[3]])]
+    offsets, codes = np.concatenate([[0], np.cumsum([len(x) for x in parts])]), np.concatenate(parts)
+    first, end, before, found = context_mixing.segments(words[codes], offsets)
+    owner = np.searchsorted(offsets, first, "right") - 1
+    assert len(first) > 60 and (first < end).all() and (end <= offsets[owner + 1]).all() and (before % np.uint64(4) == 0).all()
+    assert all(end[i] == (first[i + 1] if i + 1 < len(first) and owner[i + 1] == owner[i] else offsets[owner[i] + 1]) for i in range(len(first)))
+    names = {}
+    for i in range(len(first)):
+        names.setdefault(tuple(codes[first[i] - 3 : end[i]]), set()).add((before[i], found[i]))
+    assert all(len(x) == 1 for x in names.values()) and len({x for v in names.values() for x in v}) == len(names) < len(first)
+
+    known, same = rng.integers(0, 6, len(first)), rng.integers(0, 3, len(first))
+    ways, same = np.minimum(known, 2), np.minimum(same, known)
+    logs, hit = context_mixing.segment_logs(owner, known, ways, same)
+    for d in set(owner.tolist()):
+        weights, won, tries, state = np.tile(context_mixing.SEGMENT_START, (12, 1)), 0, 0, 0
+        for i in np.flatnonzero(owner == d):
+            if not known[i]:
+                assert logs[i] == 0 and not hit[i]
+                continue
+            x = np.array([math.log((known[i] + 0.2) / (ways[i] + 0.2)), math.log((won + 0.4) / (tries - won + 0.4)), 1])
+            gate = min(3, int(math.log2(known[i]))) * 3 + state
+            p, bit = 1 / (1 + math.exp(-weights[gate] @ x)), bool(same[i])
+            assert math.isclose(logs[i], math.log10(p * same[i] / known[i]) if bit else math.log10(1 - p), rel_tol=1e-9) and hit[i] == bit
+            weights[gate] += context_mixing.SEGMENT_RATE * (bit - p) * x
+            won, tries, state = won + bit, tries + 1, 1 if bit else 2
+
+
+def test_spelling_tables_add_up(spark, docs, monkeypatch):
+    whole = {r.doc_id: r.score for r in context_mixing.score(docs, chunk=1 << 30).collect()}
+    import zstandard
+
+    press, rng = zstandard.ZstdCompressor(), np.random.default_rng(0)
+    tables = rng.integers(0, 1 << 40, (7, 2 * int(context_mixing._STARTS[-1])))
+    rows = [(n, i, bytearray(press.compress(x.tobytes()))) for n in range(7) for i, x in enumerate(np.array_split(tables[n], context_mixing.PARTS))]
+    rows += [(n, context_mixing.PARTS, bytearray(press.compress(np.append(np.full(100, 2.0 * n), [n, 1]).tobytes()))) for n in range(7)]
+    monkeypatch.setattr(context_mixing, "FAN", 3)
+    counts, (learned, of), weights = context_mixing._summed(spark.createDataFrame(rows, "nth long, part int, data binary"), 7)
+    assert (counts == tables.sum(0).astype(np.float32)).all() and (learned, of) == (21, 7) and (weights == 2).all()
+    assert len(whole) == len(TEXTS)
+
+
+def test_repeated_documents_score_apart(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 3000) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, texts[i]) for i in range(8)] + [(200, None), (200, ""), (None, "w1"), (300, "y" * 300_000)]
+    df = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, chunk int, word string")
+    out = [(r.doc_id, r.bits_per_byte, r.n_tokens, r.score) for r in context_mixing.score(df, chunk=20_000).collect()]
+    bits = {k: b for k, b, *_ in out}
+    alone, twice = [bits[i] for i in range(8, 40)], [bits[i] for i in range(8)] + [bits[100 + i] for i in range(8)]
+    held = {k for k in bits if k is not None and zlib.crc32(str(k).encode()) % 5 == 1}
+    learned_twin = [i for i in range(8) if 100 + i not in held] + [100 + i for i in range(8) if i not in held]
+    assert len(out) == len(rows) and max(bits[i] for i in learned_twin) < min(alone) and np.mean(twice) < np.mean(alone) / 2
+    assert sorted(n for k, _, n, _ in out if k == 200) == [1, 1] and all(s < 0 for *_, s in out)
+
+
 # op7
 
 
