@@ -24,11 +24,18 @@ OFTEN = 10_000
 #: Parts that `salted_join` deals the rows of such a key to.
 SALTS = 64
 _SHIPPED: set[str] = set()
+BATCH, _LIMIT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package: by the driver's own path in local mode, as an added archive on a cluster."""
+    """Let Python workers import this package: by the driver's own path in local mode, as an added archive on a cluster.
+
+    Unless the application has its own limit, batches for them hold BATCH bytes from now on, as rows of whole texts
+    make the default of 10,000 rows a large one on both sides.
+    """
     context, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if not context.getConf().contains(_LIMIT):
+        spark.conf.set(_LIMIT, str(BATCH))
     context.environment.setdefault("TOKENIZERS_PARALLELISM", "false")
     if context.master.startswith("local"):
         parts = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
