@@ -6,7 +6,7 @@ import pytest
 from tokenledger.plans.catalog import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("documents", "conversations", "pages", "labels", "embeddings")
+TABLES = ("documents", "conversations", "pages", "labels", "embeddings", "events")
 
 
 @pytest.fixture(scope="module")

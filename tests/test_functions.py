@@ -40,14 +40,15 @@ def test_graphemes_and_analysis_text(spark):
     assert out[0].g == 4 and out[1].x == "x  y"
 
 
-def test_contract_mutations(spark):
+def test_rules_are_typed(spark):
+    rules = [("tokenizer", "network_fallback_allowed", False), ("serving", "enabled_in_phase_0", False), ("serving", "execution_permissions.hosted_api_call_allowed", False)]
     good = {"tokenizer": {"network_fallback_allowed": False}, "serving": {"enabled_in_phase_0": False, "execution_permissions": {"hosted_api_call_allowed": False}}}
-    contracts.check_documents(spark, good)
+    contracts.check_documents(spark, good, rules)
     for value in (True, 0, None, "false"):
         bad = {**good, "serving": {**good["serving"], "execution_permissions": {"hosted_api_call_allowed": value}}}
         with pytest.raises(files.ContractValidationError, match="permission"):
-            contracts.check_documents(spark, bad)
-    seeds = files.variant_rows(spark, {"r": {"s": {"a": 1, "b": 1, "c": 4294967295, "d": -1, "e": True}}})
+            contracts.check_documents(spark, bad, rules)
+    seeds = contracts.value_rows(spark, {"r": {"s": {"a": 1, "b": 1, "c": 4294967295, "d": -1, "e": True}}})
     assert {r.seed for r in contracts.seed_violations(seeds, "r", "s", list("abcde")).collect()} == {"a", "b", "d", "e"}
 
 
@@ -62,7 +63,7 @@ def test_regression(spark):
     df = spark.range(200).selectExpr("id * 1.0D AS x", "(id % 7) * 1.0D AS z", "3 + 2.0D * id - (id % 7) + (id % 2) * 0.1D AS y", "id")
     fit = models.least_squares(df, ["x", "z"], "y")
     assert abs(fit["beta"][1] - 2) < 1e-2 and fit["r2"] > 0.999
-    assert models.block_increment(df, ["x"], ["x", "z"], "y")["f"] > 100 and models.inflation(df, ["x", "z"])["x"] < 1.1
+    assert models.block_increment(df, ["x"], ["x", "z"], "y")["f"] > 100 and models.inflation(df, ["x", "z"])[0]["vif"] < 1.1
     assert abs(models.huber(df, ["x", "z"], "y")["beta"][1] - 2) < 1e-2
 
 
@@ -72,4 +73,4 @@ def test_splits_and_morphology(spark):
     assert 0.1 < held.where("held_out").count() / 500 < 0.3
     assert splits.leaked(held.where("NOT held_out"), held.where("held_out"), "doc_id").count() == 0
     with pytest.raises(ValueError):
-        morphology.feature_block({"function_ratio", "particle_ratio"})
+        morphology.feature_block({"function_morpheme_ratio", "particle_ratio"})

@@ -14,6 +14,14 @@ ZERO_WIDTH = "[\\u200B-\\u200D\\uFEFF]"
 CONTROL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]"
 STACKED_MARKS = "\\p{M}{3,}"
 HANGUL = "[\\uAC00-\\uD7A3]"
+LATIN, HAN, LETTER = "[\\p{IsLatin}]", "[\\p{IsHan}]", "\\p{L}"
+PUNCTUATION, SYMBOL = "[!-/:-@\\[-`{-~]", "[\\p{S}]"
+CAPITALISED, WORDS = "\\p{Lu}\\p{Ll}+", "[^\\x20\\x09-\\x0D]+"
+#: What the analysis text never undergoes silently.
+FORBIDDEN = [
+    "internal_whitespace_collapse", "punctuation_ascii_substitution", "lowercasing", "fullwidth_halfwidth_unification",
+    "nfkc_normalization", "digit_substitution", "emoji_removal", "particle_ending_segmentation",
+]
 MARKUP = r"<[^<>]*>|https?://[^\s<>\"]+"
 
 
@@ -38,6 +46,11 @@ def applied_operations(raw: Column, composed: Column, analysed: Column) -> Colum
     return F.filter(steps, lambda x: x.isNotNull())
 
 
+def sensitivity_texts(raw: Column, composed: Column) -> dict[str, Column]:
+    """Variants for the separate sensitivity track: raw, composed only, white space collapsed. The analysis text is none of them."""
+    return {"raw": raw, "nfc_only": composed, "whitespace_collapsed": F.regexp_replace(analysis_text(composed), r"(?U)\s+", " ")}
+
+
 def graphemes(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\X"))
 

@@ -2,53 +2,143 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Limits of variance inflation, quantiles, and groups that a random intercept needs.
+WARNING, SEVERE = 5.0, 10.0
+QUANTILES = {"reference": 0.50, "upper_tail": 0.90, "sensitivity": 0.95}
+LEAST_GROUPS = 10
+
+
+def _complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.dropna(subset=columns)
+
+
+def _sums(columns: list[Column], weight: Column | None = None) -> list[Column]:
+    """Sums of all products of two columns, named by their places."""
+    w = weight if weight is not None else F.lit(1.0)
+    return [F.sum(w * a * b).alias(f"s{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
+
+
+def _matrix(row, k: int) -> np.ndarray:
+    return np.array([[float(row[f"s{min(i, j)}_{max(i, j)}"] or 0) for j in range(k)] for i in range(k)])
+
+
+def _columns(features: list[str], target: str) -> list[Column]:
+    return [F.lit(1.0), *[F.col(c).cast("double") for c in (*features, target)]]
+
 
-def moments(df: DataFrame, features: list[str], target: str, weight: str | None = None) -> tuple[np.ndarray, np.ndarray, float, float, int]:
+def moments(df: DataFrame, features: list[str], target: str, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, float, float, int]:
     """X'WX, X'Wy, y'Wy, sum of Wy and rows, with an intercept first; rows with a null are left out."""
-    names = ["__one", *features, target]
-    rows = df.withColumn("__one", F.lit(1.0)).dropna(subset=[*features, target])
-    w = F.col(weight) if weight else F.lit(1.0)
-    sums = [F.sum(w * F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-    r = rows.agg(F.count("*").alias("n"), *sums).first()
-    k = len(names)
-    full = np.array([[float(r[f"s{min(i, j)}_{max(i, j)}"] or 0) for j in range(k)] for i in range(k)])
+    columns = _columns(features, target)
+    r = _complete(df, [*features, target]).agg(F.count("*").alias("n"), *_sums(columns, weight)).first()
+    full = _matrix(r, len(columns))
     return full[:-1, :-1], full[:-1, -1], float(full[-1, -1]), float(full[0, -1]), r["n"]
 
 
-def least_squares(df: DataFrame, features: list[str], target: str, weight: str | None = None) -> dict:
+def within_moments(df: DataFrame, features: list[str], target: str, group: str) -> tuple[np.ndarray, np.ndarray, float, int, int]:
+    """X'X, X'y, y'y of deviations from the group's means (fixed effects), rows and groups. One aggregate per group, then one over groups."""
+    columns = _columns(features, target)
+    k = len(columns)
+    per = _complete(df, [*features, target, group]).groupBy(group).agg(F.count("*").alias("n"), *_sums(columns))
+    parts = [F.sum(F.col(f"s{i}_{j}") - F.col(f"s0_{i}") * F.col(f"s0_{j}") / F.col("n")).alias(f"s{i}_{j}") for i in range(1, k) for j in range(i, k)]
+    r = per.agg(F.sum("n").alias("n"), F.count("*").alias("groups"), *parts).first()
+    full = np.array([[float(r[f"s{min(i, j)}_{max(i, j)}"] or 0) for j in range(1, k)] for i in range(1, k)])
+    return full[:-1, :-1], full[:-1, -1], float(full[-1, -1]), int(r["n"] or 0), r["groups"]
+
+
+def least_squares(df: DataFrame, features: list[str], target: str, weight: Column | None = None) -> dict:
     xx, xy, yy, sy, n = moments(df, features, target, weight)
     beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
-    rss, tss = yy - 2 * beta @ xy + beta @ xx @ beta, yy - sy * sy / xx[0, 0]
-    return {"beta": beta, "rss": rss, "r2": 1 - rss / tss if tss > 0 else float("nan"), "n": n}
+    rss, tss = yy - 2 * beta @ xy + beta @ xx @ beta, yy - sy * sy / xx[0, 0] if xx[0, 0] else 0.0
+    return {"beta": beta, "rss": float(rss), "r2": float(1 - rss / tss) if tss > 0 else float("nan"), "n": n}
+
+
+def fixed_effects(df: DataFrame, features: list[str], target: str, group: str) -> dict:
+    """Least squares with an intercept for each group; r2 is that of the deviations from the groups' means."""
+    xx, xy, yy, n, groups = within_moments(df, features, target, group)
+    beta = np.linalg.lstsq(xx, xy, rcond=None)[0] if features else np.empty(0)
+    rss = yy - (2 * beta @ xy - beta @ xx @ beta if features else 0.0)
+    return {"beta": beta, "rss": float(rss), "r2": float(1 - rss / yy) if yy > 0 else float("nan"), "n": n, "groups": groups}
+
+
+def nested_models(df: DataFrame, blocks: dict[str, list[str]], target: str, group: str) -> list[dict]:
+    """One row for each model (M0, M1, ...), each with its block's features and all those before it, on the rows that all of them can use."""
+    every = [f for own in blocks.values() for f in own]
+    rows, out, used, before = _complete(df, [*every, target, group]), [], [], None
+    for name, own in blocks.items():
+        used = [*used, *own]
+        fit = fixed_effects(rows, used, target, group)
+        left = fit["n"] - fit["groups"] - len(used)
+        gain = fit["r2"] - before["r2"] if before else None
+        f = (before["rss"] - fit["rss"]) / len(own) / (fit["rss"] / left) if before and left > 0 and fit["rss"] > 0 else None
+        out.append({"model": name, "features": len(used), "n": fit["n"], "groups": fit["groups"], "r2": fit["r2"], "delta_r2": gain, "f": f, "p_value": f_tail(f, len(own), left) if f is not None else None})
+        before = fit
+    return out
 
 
 def block_increment(df: DataFrame, small: list[str], large: list[str], target: str) -> dict:
-    """Gain of the larger feature set on the rows that both can use: difference of R2, and F."""
-    rows = df.dropna(subset=[*large, target])
+    """Gain of the larger feature set on the rows that both can use: difference of R2, F and its tail."""
+    rows = _complete(df, [*large, target])
     a, b = least_squares(rows, small, target), least_squares(rows, large, target)
     extra, left = len(large) - len(small), b["n"] - len(large) - 1
-    return {"delta_r2": b["r2"] - a["r2"], "f": (a["rss"] - b["rss"]) / extra / (b["rss"] / left), "n": b["n"]}
+    f = (a["rss"] - b["rss"]) / extra / (b["rss"] / left)
+    return {"delta_r2": b["r2"] - a["r2"], "f": f, "p_value": f_tail(f, extra, left), "n": b["n"]}
+
+
+def f_tail(f: float, d1: int, d2: int) -> float:
+    """P(F > f), by the continued fraction of the incomplete beta function."""
+    if f <= 0:
+        return 1.0
+    return _beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
+
+
+def _beta(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function."""
+    if x <= 0 or x >= 1:
+        return min(1.0, max(0.0, x))
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c = 1e-300, 1.0
+    d = 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    total = d
+    for m in range(1, 500):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + top * d or tiny)
+            c = 1 + top / c or tiny
+            total *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * total
+
+
+def inflation(df: DataFrame, features: list[str]) -> list[dict]:
+    """Rows (feature, vif, warning, severe): the diagonal of the inverse correlation matrix. Nothing is dropped for it."""
+    columns = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
+    full = _matrix(_complete(df, features).agg(*_sums(columns)).first(), len(columns))
+    mean = full[0, 1:] / full[0, 0]
+    cov = full[1:, 1:] / full[0, 0] - np.outer(mean, mean)
+    spread = np.sqrt(np.diag(cov))
+    values = np.diag(np.linalg.pinv(cov / np.outer(spread, spread)))
+    return [{"feature": f, "vif": float(v), "warning": bool(v > WARNING), "severe": bool(v > SEVERE)} for f, v in zip(features, values, strict=True)]
 
 
-def inflation(df: DataFrame, features: list[str]) -> dict[str, float]:
-    """Variance inflation factors: the diagonal of the inverse correlation matrix."""
-    xx, *_ = moments(df.withColumn("__zero", F.lit(0.0)), features, "__zero")
-    n, mean = xx[0, 0], xx[0, 1:] / xx[0, 0]
-    cov = xx[1:, 1:] / n - np.outer(mean, mean)
-    spread = np.sqrt(np.diag(cov))
-    return dict(zip(features, np.diag(np.linalg.pinv(cov / np.outer(spread, spread))).tolist(), strict=True))
+def _line(fit: dict, features: list[str]) -> Column:
+    return sum((F.lit(float(b)) * F.col(f) for b, f in zip(fit["beta"][1:], features, strict=True)), F.lit(float(fit["beta"][0])))
 
 
-def reweighted(df: DataFrame, features: list[str], target: str, weights, rounds: int = 25, tolerance: float = 1e-8) -> dict:
-    """Iterated weighted least squares; each round is one aggregate over the rows."""
-    fit = least_squares(df, features, target)
+def reweighted(df: DataFrame, features: list[str], target: str, weights: Callable[[Column, DataFrame], Column], rounds: int = 25, tolerance: float = 1e-8) -> dict:
+    """Iterated weighted least squares; each round is one aggregate over the rows (two, if the weights need a scale)."""
+    rows = _complete(df, [*features, target])
+    fit = least_squares(rows, features, target)
     for step in range(rounds):
-        line = sum((F.lit(float(b)) * F.col(f) for b, f in zip(fit["beta"][1:], features, strict=True)), F.lit(float(fit["beta"][0])))
-        new = least_squares(df.withColumn("__w", weights(F.col(target) - line)), features, target, "__w")
+        new = least_squares(rows, features, target, weights(F.col(target) - _line(fit, features), rows))
         moved = float(np.abs(new["beta"] - fit["beta"]).max())
         fit = new
         if moved < tolerance:
@@ -56,10 +146,66 @@ def reweighted(df: DataFrame, features: list[str], target: str, weights, rounds:
     return {**fit, "converged": False, "rounds": rounds}
 
 
-def huber(df: DataFrame, features: list[str], target: str, delta: float = 1.345) -> dict:
-    return reweighted(df, features, target, lambda r: F.least(F.lit(1.0), delta / F.greatest(F.abs(r), F.lit(1e-12))))
+def huber(df: DataFrame, features: list[str], target: str, delta: float = 1.345, tolerance: float = 1e-6) -> dict:
+    """Huber regression; delta counts in units of the residuals' spread (median absolute residual / 0.6745)."""
+
+    def weights(residual: Column, rows: DataFrame) -> Column:
+        middle = rows.agg(F.percentile_approx(F.abs(residual), 0.5, 100_000).alias("m")).first()["m"] or 0.0
+        limit = delta * max(middle / 0.6745, 1e-12)
+        return F.least(F.lit(1.0), limit / F.greatest(F.abs(residual), F.lit(1e-12)))
+
+    return reweighted(df, features, target, weights, rounds=50, tolerance=tolerance)
 
 
 def quantile_regression(df: DataFrame, features: list[str], target: str, q: float) -> dict:
-    side = lambda r: F.when(r >= 0, F.lit(q)).otherwise(F.lit(1 - q))
-    return reweighted(df, features, target, lambda r: side(r) / F.greatest(F.abs(r), F.lit(1e-6)), rounds=100, tolerance=1e-6)
+    """The line below which a share q of the target lies, by weights of the inverse absolute residual."""
+
+    def weights(residual: Column, rows: DataFrame) -> Column:
+        return F.when(residual >= 0, F.lit(q)).otherwise(F.lit(1 - q)) / F.greatest(F.abs(residual), F.lit(1e-6))
+
+    return reweighted(df, features, target, weights, rounds=100, tolerance=1e-6)
+
+
+def random_intercept(df: DataFrame, features: list[str], target: str, group: str) -> dict:
+    """Linear model with a normal intercept for each group, by maximum likelihood over the groups' sums.
+
+    The driver holds one row of sums for each group (sources, not documents) and searches the ratio of the two
+    variances. `usable` needs LEAST_GROUPS groups, a search that converged, and a ratio that isn't at the border.
+    """
+    columns = _columns(features, target)
+    k = len(columns)
+    per = _complete(df, [*features, target, group]).groupBy(group).agg(F.count("*").alias("n"), *_sums(columns)).collect()
+    sizes, full = np.array([r["n"] for r in per], float), np.array([_matrix(r, k) for r in per])
+    n = sizes.sum()
+
+    def solve(ratio: float) -> tuple[float, np.ndarray, float]:
+        shrink = ratio / (1 + ratio * sizes)
+        whole = full.sum(0) - np.einsum("g,gi,gj->ij", shrink, full[:, 0], full[:, 0])
+        beta = np.linalg.lstsq(whole[:-1, :-1], whole[:-1, -1], rcond=None)[0]
+        noise = max((whole[-1, -1] - beta @ whole[:-1, -1]) / n, 1e-300)
+        return -0.5 * (n * math.log(2 * math.pi * noise) + np.log1p(ratio * sizes).sum() + n), beta, noise
+
+    low, high, golden = -14.0, 8.0, (math.sqrt(5) - 1) / 2
+    a, b = high - golden * (high - low), low + golden * (high - low)
+    fa, fb = solve(math.exp(a))[0], solve(math.exp(b))[0]
+    for _ in range(200):
+        if high - low < 1e-8:
+            break
+        if fa >= fb:
+            high, b, fb = b, a, fa
+            a = high - golden * (high - low)
+            fa = solve(math.exp(a))[0]
+        else:
+            low, a, fa = a, b, fb
+            b = low + golden * (high - low)
+            fb = solve(math.exp(b))[0]
+    ratio = math.exp((low + high) / 2)
+    value, beta, noise = solve(ratio)
+    plain = solve(0.0)
+    converged, singular = high - low < 1e-6, plain[0] >= value - 1e-9
+    if singular:
+        value, beta, noise, ratio = *plain, 0.0
+    return {
+        "beta": beta, "residual_variance": float(noise), "group_variance": float(ratio * noise), "log_likelihood": float(value), "n": int(n), "groups": len(per),
+        "converged": bool(converged), "singular": bool(singular), "usable": bool(len(per) >= LEAST_GROUPS and converged and not singular),
+    }

@@ -20,9 +20,10 @@ def measured(pairs: DataFrame, tokens=lambda t: F.regexp_count(t, F.lit("(?U)" +
 
 
 def outcomes() -> dict[str, Column]:
-    """Premium, its logarithm, difference, the three factors and what they leave over.
+    """Premium, its logarithm, difference, two of its three factors and what the logarithms of all three leave over.
 
-    The factors are ratios of code points, of bytes per code point and of tokens per byte (inferred reading).
+    The third factor, the compression penalty, is an outcome of its own (penalty_outcomes) and never reported beside
+    the premium. The factors are ratios of code points, of bytes per code point and of tokens per byte (inferred reading).
     """
     c = lambda n: F.col(n).cast("double")
     premium = c("a_tokens") / c("b_tokens")
@@ -35,6 +36,18 @@ def outcomes() -> dict[str, Column]:
         "token_difference": F.col("a_tokens") - F.col("b_tokens"),
         "point_ratio": points,
         "density_ratio": density,
-        "compression_penalty": penalty,
         "residual": F.ln(premium) - F.ln(points) - F.ln(density) - F.ln(penalty),
     }
+
+
+def penalty_outcomes() -> dict[str, Column]:
+    """The compression penalty (ratio of tokens per byte) and its logarithm."""
+    c = lambda n: F.col(n).cast("double")
+    penalty = (c("a_tokens") / c("a_bytes")) / (c("b_tokens") / c("b_bytes"))
+    return {"compression_penalty": penalty, "log_compression_penalty": F.ln(penalty)}
+
+
+def densities() -> dict[str, Column]:
+    """Tokens per byte and per code point of each side, for description only."""
+    c = lambda n: F.col(n).cast("double")
+    return {f"{s}_tokens_per_{unit}": c(f"{s}_tokens") / c(f"{s}_{of}") for s in ("a", "b") for unit, of in (("byte", "bytes"), ("codepoint", "points"))}

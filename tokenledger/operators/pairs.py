@@ -6,11 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: The allowed values of the registry's taxonomies.
+from tokenledger.functions.text import analysis_text, nfc
+
+#: The allowed values of the registry's taxonomies, and the source tiers.
 TAXONOMY = {
-    "domain": ["general", "news", "conversation", "web", "academic", "government", "legal", "technology"],
-    "direction": ["ko_to_en", "en_to_ko", "multilingual_aligned", "unknown"],
+    "domain": ["general", "administration", "legal", "news", "technology", "education", "dialogue", "other"],
+    "sentence_type": ["declarative", "interrogative", "imperative", "title", "list_item", "short_phrase", "other"],
+    "translation_direction": ["KO_TO_EN", "EN_TO_KO", "HUMAN_PARALLEL_UNKNOWN", "UNKNOWN"],
 }
+TIERS = ["A", "B", "C"]
+CURATED = ["A", "B"]
+#: Columns of the registry.
+REGISTRY = [
+    "pair_id", "source_id", "source_tier", "domain", "sentence_type", "translation_direction",
+    "ko_text_raw", "en_text_raw", "ko_text_nfc", "en_text_nfc", "ko_text_analysis", "en_text_analysis",
+    "pair_quality_status", "pair_quality_score", "pair_version", "source_license_note",
+]
+
+
+def registry(sides: DataFrame, version: str = "1") -> DataFrame:
+    """The pair registry from rows (source_id, alignment, language ko or en, text, source_tier, domain, sentence_type, translation_direction, source_license_note).
+
+    One row for each alignment that has both sides; its id is a digest of source and alignment. Raw texts stay as
+    they are; the composed and the analysis text stand beside them. Quality is `review` until it is judged.
+    """
+    key = ["source_id", "alignment"]
+    facts = ["source_tier", "domain", "sentence_type", "translation_direction", "source_license_note"]
+    ko = sides.where("language = 'ko'").select(*key, *facts, F.col("text").alias("ko_text_raw"))
+    en = sides.where("language = 'en'").select(*key, F.col("text").alias("en_text_raw"))
+    out = ko.join(en, key)
+    for side in ("ko", "en"):
+        composed = nfc(F.col(f"{side}_text_raw"))
+        out = out.withColumn(f"{side}_text_nfc", composed).withColumn(f"{side}_text_analysis", analysis_text(F.col(f"{side}_text_nfc")))
+    judged = {"pair_quality_status": F.lit("review"), "pair_quality_score": F.lit(None).cast("int"), "pair_version": F.lit(version)}
+    return out.withColumns({"pair_id": F.sha2(F.concat_ws(":", *key), 256), **judged}).select(*REGISTRY)
 
 
 def conversation_pairs(turns: DataFrame) -> DataFrame:
@@ -28,10 +57,9 @@ def quintile_breaks(df: DataFrame, length: Column, parts: int = 5) -> DataFrame:
 
 
 def with_stratum(df: DataFrame, length: Column, parts: int = 5) -> DataFrame:
-    """Adds stratum 1..parts by break points: ties stay together. The break points are one broadcast row."""
-    breaks = quintile_breaks(df, length, parts)
-    joined = df.crossJoin(F.broadcast(breaks))
-    return joined.withColumn("stratum", (F.size(F.filter("breaks", lambda b: b < length)) + 1).cast("long")).drop("breaks")
+    """Adds stratum 1..parts by break points: ties stay together. The driver holds the break points."""
+    breaks = quintile_breaks(df, length, parts).first()["breaks"]
+    return df.withColumn("stratum", sum((F.when(length > F.lit(float(b)), 1).otherwise(0) for b in breaks or []), F.lit(1)).cast("long"))
 
 
 def with_ntile(df: DataFrame, length: Column, key: str, parts: int = 5) -> DataFrame:
@@ -44,6 +72,12 @@ def tier_filter(df: DataFrame, tiers: DataFrame, allowed: list[str]) -> DataFram
     return df.join(tiers.where(F.col("tier").isin(allowed)), "source")
 
 
+def taxonomy_violations(df: DataFrame) -> DataFrame:
+    """Rows (pair_id, column, value) of registry values outside their taxonomy, null included."""
+    checks = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), F.coalesce(F.col(c).isin(v), F.lit(False)).alias("ok")) for c, v in {**TAXONOMY, "source_tier": TIERS}.items()])
+    return df.select("pair_id", F.explode(checks).alias("x")).where("NOT x.ok").select("pair_id", "x.column", "x.value")
+
+
 def outside_taxonomy(df: DataFrame, column: str, allowed: DataFrame) -> DataFrame:
     """Rows whose value isn't among the allowed ones."""
     return df.join(allowed, df[column] == allowed["value"], "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def unit_hash(key: Column, seed: int) -> Column:
@@ -27,9 +28,21 @@ def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
         fold = min(range(folds), key=lambda i: (load[i], i))
         load[fold] += n
         out.append((name, n, fold))
-    return df.sparkSession.createDataFrame(out, f"{group} string, n long, fold long")
+    kind = df.select(group).schema[0]
+    return df.sparkSession.createDataFrame(out, StructType([StructField(group, kind.dataType), StructField("n", LongType()), StructField("fold", LongType())]))
 
 
 def leaked(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
     """Training rows whose key is in the test part; none in a sound split."""
     return train.join(test.select(key).distinct(), key, "left_semi")
+
+
+def with_group_holdout(df: DataFrame, group: str, seed: int, share: float = 0.2) -> DataFrame:
+    """Adds held_out by the group's hash, so that a group is on one side as a whole."""
+    return with_holdout(df, group, seed, share)
+
+
+def leakage(df: DataFrame, group: str) -> DataFrame:
+    """Rows (group, train, held) of groups that a split has on both sides."""
+    sides = df.groupBy(group).agg(F.count_if(~F.col("held_out")).alias("train"), F.count_if("held_out").alias("held"))
+    return sides.where("train > 0 AND held > 0")

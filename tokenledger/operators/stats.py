@@ -38,8 +38,17 @@ def sign_tail(plus: int, minus: int) -> float:
     return min(1.0, math.fsum(math.exp(x) for x in logs)) if n else 1.0
 
 
+def location_tests(df: DataFrame, value: str) -> list[dict]:
+    """Signed-rank and sign test of a median over 0, as rows for the driver: test, n, statistic, one-sided p."""
+    rank, signs = signed_rank(df, value).first(), sign_counts(df, value).first()
+    return [
+        {"test": "signed_rank", "n": rank["n"], "statistic": rank["w_plus"] or 0.0, "p_value": normal_tail(rank["z"]) if rank["z"] is not None else 1.0},
+        {"test": "sign", "n": signs["n_plus"] + signs["n_minus"], "statistic": float(signs["n_plus"]), "p_value": sign_tail(signs["n_plus"], signs["n_minus"])},
+    ]
+
+
 def bootstrap_medians(df: DataFrame, value: str, key: str, resamples: int, seed: int) -> DataFrame:
-    """Rows (resample, median): draws are MD5 of seed, resample and draw, modulo n. For n * resamples rows."""
+    """Rows (resample, median): draws are MD5 of seed, resample and draw, modulo n. Takes n * resamples rows."""
     ordered = df.select((F.row_number().over(W.orderBy(key)) - 1).cast("long").alias("i"), F.col(value).alias("v"))
     n = ordered.count()
     draws = df.sparkSession.range(resamples).select(F.col("id").alias("resample"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
@@ -48,25 +57,28 @@ def bootstrap_medians(df: DataFrame, value: str, key: str, resamples: int, seed:
     return draws.join(ordered, "i").groupBy("resample").agg(F.median("v").alias("median"))
 
 
-def poisson_bootstrap_means(df: DataFrame, value: str, key: str, resamples: int, seed: int) -> DataFrame:
-    """Rows (resample, mean) in one pass for large n: each row's weight in a resample is a hashed Poisson(1) draw."""
-    steps, p, total = [], math.exp(-1), 0.0
-    for k in range(8):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    drawn = df.select(F.col(value).alias("v"), F.col(key).alias("id"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "resample", "id"), F.lit(1 << 32)) / float(1 << 32)
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps[1:]), F.when(u >= steps[0], 1).otherwise(0))
-    return drawn.withColumn("w", weight).groupBy("resample").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"))
+def bootstrap_interval(df: DataFrame, value: str, key: str, resamples: int, seed: int, level: float = 0.95) -> DataFrame:
+    """One row (low, high): the percentile interval of the resamples' medians."""
+    ends = [(1 - level) / 2, (1 + level) / 2]
+    found = F.percentile("median", F.array(*[F.lit(x) for x in ends]))
+    return bootstrap_medians(df, value, key, resamples, seed).agg(found.alias("x")).select(F.get("x", F.lit(0)).alias("low"), F.get("x", F.lit(1)).alias("high"))
+
+
+def quantiles(df: DataFrame, value: str, points: list[float], by: str | None = None) -> DataFrame:
+    """Rows (by, point, quantile), interpolated."""
+    found = F.percentile(value, F.array(*[F.lit(p) for p in points]))
+    rows = (df.groupBy(by) if by else df).agg(found.alias("q"))
+    names = F.array(*[F.lit(p) for p in points])
+    return rows.select(*([by] if by else []), F.explode(F.arrays_zip(names.alias("point"), F.col("q").alias("quantile"))).alias("x")).select(*([by] if by else []), "x.point", "x.quantile")
 
 
-def benjamini_hochberg(df: DataFrame, p: str, key: str) -> DataFrame:
-    """Adds q: the running minimum, from the largest p, of p * m / rank."""
+def benjamini_hochberg(df: DataFrame, p: str, key: str, alpha: float = 0.05) -> DataFrame:
+    """Adds rank, q and rejected (q of at most alpha) for one family of secondary hypotheses, a small table. q is the running minimum, from the largest p, of p * m / rank."""
     m = df.count()
     rank = F.row_number().over(W.orderBy(p, key))
     back = W.orderBy(F.desc(p), F.desc(key)).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("rank", rank.cast("long")).withColumn("q", F.min(F.least(F.lit(1.0), F.col(p) * m / F.col("rank"))).over(back))
+    out = df.withColumn("rank", rank.cast("long")).withColumn("q", F.min(F.least(F.lit(1.0), F.col(p) * m / F.col("rank"))).over(back))
+    return out.withColumn("rejected", F.col("q") <= alpha)
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:

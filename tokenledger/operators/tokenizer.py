@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+import os
+from functools import lru_cache, reduce
+from itertools import chain
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tokenledger.functions.canonical import canonical_json, ordered_digest, sha256_file, sha256_hex
+from tokenledger.sources.files import vocabulary
+
 
 @lru_cache(maxsize=2)
 def _encoding(path: str, pattern: str):
@@ -21,30 +27,78 @@ def _encoding(path: str, pattern: str):
 
 
 def token_count(path: str, pattern: str):
+    """Tokens of a text; a null text has none. Strings of special tokens are ordinary text (has_special finds them)."""
+
     @F.pandas_udf("long")
     def count(text: pd.Series) -> pd.Series:
         own = _encoding(path, pattern)
-        return text.map(lambda x: None if x is None else len(own.encode_ordinary(x))).astype("Int64")
+        found = text[text.notna()]
+        counts = pd.Series([len(x) for x in own.encode_ordinary_batch(found.tolist(), num_threads=1)], index=found.index)
+        return counts.reindex(text.index).astype("Int64")
 
     return count
 
 
+def has_special(text: Column, literals: list[str]) -> Column:
+    """Whether a text holds the literal of a special token; such a text is rejected as input, row by row."""
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals], F.lit(False)), F.lit(False))
+
+
 def round_trip(path: str, pattern: str):
-    """struct(token_count, ok): ids decode to the text, tokens' bytes join to its UTF-8, and there is a token."""
+    """struct(token_count, ok): tokens' bytes join to the text's UTF-8, the decoded text is the text, and there is a token."""
 
     @F.pandas_udf("token_count long, ok boolean")
     def check(text: pd.Series) -> pd.DataFrame:
         own = _encoding(path, pattern)
-        rows = []
-        for x in text:
-            ids = own.encode_ordinary(x or "")
-            parts = b"".join(own.decode_single_token_bytes(i) for i in ids)
-            rows.append((len(ids), bool(ids) and own.decode(ids) == x and parts == (x or "").encode()))
-        return pd.DataFrame(rows, columns=["token_count", "ok"])
+        texts = ["" if x is None else x for x in text]
+        ids = own.encode_ordinary_batch(texts, num_threads=1)
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
+        data, sizes, starts = _table(path)
+        lengths = sizes[flat]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        joined = data[np.repeat(starts[flat] - ends[:-1], lengths) + np.arange(ends[-1])].tobytes()
+        cuts = ends[np.concatenate([[0], np.cumsum([len(x) for x in ids])])].tolist()
+        parts = [joined[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        ok = [bool(i) and p == t.encode() and p.decode(errors="replace") == t for i, p, t in zip(ids, parts, texts, strict=True)]
+        return pd.DataFrame({"token_count": [len(x) for x in ids], "ok": ok})
 
     return check
 
 
+@lru_cache(maxsize=2)
+def _table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all tokens' bytes end to end, their sizes, where each begins) by rank."""
+    with open(path, "rb") as f:
+        tokens = [t for _, t in sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, f))]
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), sizes, np.cumsum(sizes) - sizes
+
+
+def mechanism(text: Column, pattern: str, tokens: Column) -> dict[str, Column]:
+    """Pre-token chunks, their mean length in code points, tokens per chunk and per byte; null where there is nothing to divide by."""
+    chunks = chunk_count(text, pattern).cast("long")
+    share = lambda a, b: F.when(b > 0, a.cast("double") / b)
+    return {
+        "n_chunks": chunks,
+        "chunk_length": share(F.char_length(text), chunks),
+        "tokens_per_chunk": share(tokens, chunks),
+        "tokens_per_byte": share(tokens, F.octet_length(text)),
+    }
+
+
+def manifest(spark: SparkSession, path: str, pattern: str, name: str, special: dict[str, int]) -> dict:
+    """Provenance of a vocabulary: sizes and digests of file, ranks, pattern and special tokens, and the five lowest ranks."""
+    ranks = vocabulary(spark, path)
+    digest = ordered_digest(ranks, "rank", "token").first()
+    lowest = ranks.orderBy("rank").limit(5).select("rank", F.base64("token").alias("token_base64")).collect()
+    return {
+        "schema_version": "tokenizer-artifact-v1", "tokenizer_id": name, "encoding_file_size_bytes": os.path.getsize(path),
+        "encoding_file_sha256": sha256_file(path), "mergeable_ranks_count": digest["n"], "mergeable_ranks_hash": digest["digest"],
+        "pat_str_sha256": sha256_hex(pattern.encode()), "special_tokens_count": len(special), "special_tokens_hash": sha256_hex(canonical_json(special)),
+        "audit_sample": [r.asDict() for r in lowest], "network_fallback_allowed": False,
+    }
+
+
 def chunk_count(text: Column, pattern: str) -> Column:
     """Pre-token chunks on the JVM side; (?U) makes its classes Unicode ones, as in the tokenizer."""
     return F.regexp_count(text, F.lit("(?U)" + pattern))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger.functions import canonical, text
-from tokenledger.operators import morphology, outcomes, pairs, qc, splits, stats, tokenizer
-from tokenledger.sources import files
+from tokenledger.operators import clusters, contracts, models, morphology, outcomes, pairs, qc, splits, stats, terms, tokenizer
+from tokenledger.sources import environment, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-SEED = 4263151703
+SEED, AUDIT_SEED = contracts.SEEDS["bootstrap"], contracts.SEEDS["auxiliary"]
 
 
 def query(sql: str | None = None):
@@ -77,21 +78,34 @@ def unicode_anomaly(spark, d):
     return table(spark, d, "documents").select("doc_id", text.count_of(t, text.CONTROL).cast("long").alias("n_control"), text.count_of(t, text.ZERO_WIDTH).cast("long").alias("n_zero_width"), text.anomaly_flag(t).alias("anomaly"))
 
 
-@query(r"""
-SELECT doc_id, length(text) AS n_points, round(len(regexp_extract_all(text, '\s')) / length(text), 9) AS space_density, round(len(regexp_extract_all(text, '[0-9]')) / length(text), 9) AS digit_ratio,
-  round(len(regexp_extract_all(text, '[A-Za-z]')) / length(text), 9) AS latin_ratio, round(len(regexp_extract_all(text, '[\x{AC00}-\x{D7A3}]')) / length(text), 9) AS hangul_ratio FROM documents WHERE length(text) > 0""")
+_SURFACE = {
+    "space_density": (r"\s", r"\s"), "digit_ratio": ("[0-9]", "[0-9]"), "punctuation_ratio": (text.PUNCTUATION, r"[!-/:-@\[-`{-~]"), "symbol_ratio": (text.SYMBOL, r"\p{S}"),
+    "latin_ratio": (text.LATIN, r"\p{Latin}"), "hangul_ratio": (text.HANGUL, r"[\x{AC00}-\x{D7A3}]"), "han_ratio": (text.HAN, r"\p{Han}"),
+}
+
+
+@query("SELECT doc_id, length(text) AS n_points, octet_length(encode(text)) AS n_bytes, length_grapheme(text) AS n_graphemes, "
+       + ", ".join(f"round(len(regexp_extract_all(text, '{p}')) / length(text), 9) AS {k}" for k, (_, p) in _SURFACE.items()) + " FROM documents WHERE length(text) > 0")
 def surface_features(spark, d):
     t, n = F.col("text"), F.char_length("text")
-    share = lambda p, name: F.round(text.ratio(text.count_of(t, p), n), 9).alias(name)
-    return table(spark, d, "documents").where(n > 0).select("doc_id", n.cast("long").alias("n_points"), share(r"\s", "space_density"), share("[0-9]", "digit_ratio"), share("[A-Za-z]", "latin_ratio"), share(text.HANGUL, "hangul_ratio"))
+    shares = [F.round(text.ratio(text.count_of(t, p), n), 9).alias(k) for k, (p, _) in _SURFACE.items()]
+    sizes = [n.cast("long").alias("n_points"), F.octet_length(t).cast("long").alias("n_bytes"), text.graphemes(t).cast("long").alias("n_graphemes")]
+    return table(spark, d, "documents").where(n > 0).select("doc_id", *sizes, *shares)
 
 
 @query(r"""
-SELECT doc_id, length(text) < 200 AS short_text, length(text) > 5000 AS long_text, coalesce(len(regexp_extract_all(text, '[0-9]'))::DOUBLE / nullif(length(text), 0) > 0.2, false) AS digit_heavy,
-  coalesce(len(regexp_extract_all(text, '[!-/:-@\[-`{-~]'))::DOUBLE / nullif(length(text), 0) > 0.2, false) AS punctuation_heavy, regexp_matches(text, 'https?://') AS has_url,
-  regexp_matches(text, '[\x{200B}-\x{200D}\x{FEFF}]') AS has_zero_width FROM documents""")
+WITH c AS (SELECT doc_id, text, length(text)::DOUBLE AS n, len(regexp_extract_all(text, '\p{L}'))::DOUBLE AS letters, len(regexp_extract_all(text, '\p{Latin}')) AS latin,
+  len(regexp_extract_all(text, '[\x{AC00}-\x{D7A3}]')) AS hangul, len(regexp_extract_all(text, '\p{Han}')) AS han FROM documents)
+SELECT c.doc_id, n < 200 AS short_text_flag, n > 5000 AS long_text_flag, coalesce(len(regexp_extract_all(text, '[0-9]')) / nullif(n, 0) > 0.2, false) AS high_digit_ratio_flag,
+  coalesce(len(regexp_extract_all(text, '[!-/:-@\[-`{-~]')) / nullif(n, 0) > 0.2, false) AS high_punctuation_ratio_flag,
+  coalesce(list_sort([latin, hangul, han, letters - latin - hangul - han], 'DESC')[2] / nullif(letters, 0) > 0.1, false) AS script_mix_flag,
+  regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]|[\x{200B}-\x{200D}\x{FEFF}]|\p{M}{3,}') AS unicode_anomaly_flag, coalesce(quality + toxic = 1, false) AS translation_quality_review_flag,
+  coalesce(len(regexp_extract_all(text, '\p{Lu}\p{Ll}+')) / nullif(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::DOUBLE > 0.3, false) AS named_entity_heavy_flag
+FROM c LEFT JOIN labels l ON l.doc_id = c.doc_id""")
 def soft_flags(spark, d):
-    return table(spark, d, "documents").select("doc_id", *[v.alias(k) for k, v in qc.soft_flags(F.col("text"), 200, 5000).items()])
+    docs = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels"), "doc_id", "left")
+    flags = qc.soft_flags(F.col("text"), 200, 5000, review=F.col("quality") + F.col("toxic") == 1)
+    return docs.select("doc_id", *[v.alias(k) for k, v in flags.items()])
 
 
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
@@ -107,20 +121,38 @@ def markup_dominance(spark, d):
 
 
 _RULE = r"""CASE WHEN coalesce(trim(a_text), '') = '' OR coalesce(trim(b_text), '') = '' THEN 'empty' WHEN pair_id <> min(pair_id) OVER (PARTITION BY a_text, b_text) THEN 'duplicate'
-  WHEN {m} THEN 'markup' WHEN {h} THEN 'hidden' ELSE 'accepted' END"""
+  WHEN {l} THEN 'language' WHEN {m} THEN 'markup' WHEN {h} THEN 'hidden' WHEN contains(a_text, chr(65533)) OR contains(b_text, chr(65533)) THEN 'round_trip' WHEN quality + toxic = 0 THEN 'meaning' ELSE 'accepted' END"""
+_SCRIPT = r"coalesce(len(regexp_extract_all({t}, '\p{{Latin}}'))::DOUBLE / nullif(len(regexp_extract_all({t}, '\p{{L}}')), 0) < 0.5, false)"
 _SHARE = r"(length({t}) - length(regexp_replace({t}, '<[^<>]*>|https?://[^\s<>\"]+', '', 'g')))::DOUBLE / nullif(length({t}), 0) > 0.5"
 _HIDDEN = r"(len(regexp_extract_all({t}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]')) + len(regexp_extract_all({t}, '[\x{{200B}}-\x{{200D}}\x{{FEFF}}]')))::DOUBLE / nullif(length({t}), 0) > 0.01"
+_BROKEN = {k: " OR ".join(p.format(t=t) for t in ("a_text", "b_text")) for k, p in (("l", _SCRIPT), ("m", _SHARE), ("h", _HIDDEN))}
+_FLOW = _PAIRS + ", r AS (SELECT p.*, " + _RULE.format(**_BROKEN) + " AS rule FROM p LEFT JOIN labels l ON l.doc_id = p.conv_id)"
+
+
+def _judged(spark, d):
+    """Pairs with their rule; labels of a conversation's number stand in for audit scores."""
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("conv_id"), (F.col("quality") + F.col("toxic")).alias("audit"))
+    rows = pairs.conversation_pairs(table(spark, d, "conversations")).join(labels, "conv_id", "left")
+    return qc.exclusion_rule(rows, "a_text", "b_text", "pair_id", audit=F.col("audit"))
 
 
-@query(_PAIRS + ", r AS (SELECT " + _RULE.format(m=" OR ".join(_SHARE.format(t=t) for t in ("a_text", "b_text")), h=" OR ".join(_HIDDEN.format(t=t) for t in ("a_text", "b_text"))) + " AS rule FROM p) SELECT rule, count(*) AS n FROM r GROUP BY rule")
+@query(_FLOW + " SELECT rule, count(*) AS n FROM r GROUP BY rule")
 def hard_exclusion_flow(spark, d):
-    out = qc.exclusion_rule(pairs.conversation_pairs(table(spark, d, "conversations")), "a_text", "b_text", "pair_id")
-    return out.groupBy("rule").agg(F.count("*").alias("n"))
+    return _judged(spark, d).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT lang, doc_id, audit_rank FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256(concat('{SEED}', ':', doc_id)), doc_id) AS audit_rank FROM documents) WHERE audit_rank <= 25")
+@query(f"SELECT lang, doc_id, audit_rank FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256(concat('{AUDIT_SEED}', ':', doc_id)), doc_id) AS audit_rank FROM documents) WHERE audit_rank <= 25")
 def audit_sample(spark, d):
-    return qc.audit_sample(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", SEED, 25).select("lang", "doc_id", "audit_rank")
+    return qc.audit_sample(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", AUDIT_SEED, 25).select("lang", "doc_id", "audit_rank")
+
+
+@query(f"""WITH s AS (SELECT lang, count(*) AS size FROM documents GROUP BY lang), t AS (SELECT sum(size)::BIGINT AS total, least(500, sum(size))::BIGINT AS n FROM s),
+q AS (SELECT lang, size * n // total AS whole, (size * n) % total AS left_over, n FROM s, t),
+o AS (SELECT lang, whole + CASE WHEN row_number() OVER (ORDER BY left_over DESC, lang) <= n - sum(whole) OVER () THEN 1 ELSE 0 END AS quota FROM q),
+r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256(concat('{AUDIT_SEED}', ':', doc_id)), doc_id) AS audit_rank FROM documents)
+SELECT lang, doc_id, audit_rank FROM r JOIN o USING (lang) WHERE audit_rank <= quota""")
+def audit_sample_500(spark, d):
+    return qc.proportional_sample(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", AUDIT_SEED).select("lang", "doc_id", "audit_rank")
 
 
 @query("SELECT CASE quality + toxic WHEN 2 THEN 'primary' WHEN 1 THEN 'partial' ELSE 'mismatch' END AS cohort, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1")
@@ -215,13 +247,23 @@ def _measured(spark, d):
 
 
 @query(_MEASURED + """SELECT pair_id, round(tp, 9) AS token_premium, round(lp, 9) AS log_premium, (ta - tb)::BIGINT AS token_difference, round(ac / bc, 9) AS point_ratio,
-  round((ab / ac) / (bb / bc), 9) AS density_ratio, round((ta / ab) / (tb / bb), 9) AS compression_penalty FROM o""")
+  round((ab / ac) / (bb / bc), 9) AS density_ratio FROM o""")
 def regex_token_premium(spark, d):
     cols = outcomes.outcomes()
     rounded = [F.round(v, 9).alias(k) if k != "token_difference" else v.cast("long").alias(k) for k, v in cols.items() if k != "residual"]
     return _measured(spark, d).select("pair_id", *rounded)
 
 
+@query(_MEASURED + "SELECT pair_id, round((ta / ab) / (tb / bb), 9) AS compression_penalty, round(ln((ta / ab) / (tb / bb)), 9) AS log_compression_penalty FROM o")
+def log_compression_penalty(spark, d):
+    return _measured(spark, d).select("pair_id", *[F.round(v, 9).alias(k) for k, v in outcomes.penalty_outcomes().items()])
+
+
+@query(_MEASURED + "SELECT pair_id, round(ta / ab, 9) AS a_tokens_per_byte, round(ta / ac, 9) AS a_tokens_per_codepoint, round(tb / bb, 9) AS b_tokens_per_byte, round(tb / bc, 9) AS b_tokens_per_codepoint FROM o")
+def token_density_by_side(spark, d):
+    return _measured(spark, d).select("pair_id", *[F.round(v, 9).alias(k) for k, v in outcomes.densities().items()])
+
+
 @query(_MEASURED + "SELECT count(*) AS n, max(abs(lp - ln(ac / bc) - ln((ab / ac) / (bb / bc)) - ln((ta / ab) / (tb / bb)))) <= 1e-10 AS passed FROM o")
 def identity_gate(spark, d):
     return _measured(spark, d).select(outcomes.outcomes()["residual"].alias("r")).agg(F.count("*").alias("n"), (F.max(F.abs("r")) <= outcomes.TOLERANCE).alias("passed"))
@@ -233,11 +275,20 @@ def strata_grouping_sets(spark, d):
     return docs.groupingSets([["lang"], ["source"], ["lang", "source"], []], "lang", "source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
 
 
-@query(_MEASURED + """, k AS (SELECT lp, rank() OVER (ORDER BY abs(lp)) + (count(*) OVER (PARTITION BY abs(lp)) - 1) / 2.0::DOUBLE AS r FROM o WHERE lp <> 0)
-SELECT count(*) AS n, sum(CASE WHEN lp > 0 THEN r::DOUBLE ELSE 0 END)::DOUBLE AS w_plus FROM k""")
+@query(_MEASURED + """, k AS (SELECT lp, rank() OVER (ORDER BY abs(lp)) + (count(*) OVER (PARTITION BY abs(lp)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY abs(lp)) AS t FROM o WHERE lp <> 0),
+w AS (SELECT count(*)::DOUBLE AS n, sum(CASE WHEN lp > 0 THEN r::DOUBLE ELSE 0 END)::DOUBLE AS w, sum(t::DOUBLE * t - 1)::DOUBLE AS ties FROM k)
+SELECT n::BIGINT AS n, w AS w_plus, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 9) AS z FROM w""")
 def signed_rank(spark, d):
-    value = _measured(spark, d).select(outcomes.outcomes()["log_premium"].alias("v"))
-    return stats.signed_rank(value, "v").select("n", "w_plus")
+    return stats.signed_rank(_log_premium(spark, d), "v").select("n", "w_plus", F.round("z", 9).alias("z"))
+
+
+def _log_premium(spark, d):
+    return _measured(spark, d).select("pair_id", outcomes.outcomes()["log_premium"].alias("v"))
+
+
+@query()
+def rq1_tests(spark, d):
+    return spark.createDataFrame(stats.location_tests(_log_premium(spark, d), "v"), "test string, n long, statistic double, p_value double")
 
 
 @query(_MEASURED + "SELECT count(*) FILTER (lp > 0) AS n_plus, count(*) FILTER (lp < 0) AS n_minus, count(*) FILTER (lp = 0) AS n_zero FROM o")
@@ -245,20 +296,30 @@ def sign_test(spark, d):
     return stats.sign_counts(_measured(spark, d).select(outcomes.outcomes()["log_premium"].alias("v")), "v")
 
 
-@query(_MEASURED + f""", q AS (SELECT row_number() OVER (ORDER BY pair_id) - 1 AS i, lp FROM o), n AS (SELECT count(*) AS n FROM q),
-x AS (SELECT b, ('0x' || substr(md5(concat('{SEED}', ':', b, ':', k)), 1, 8))::BIGINT % n AS i FROM n, range(200) AS t(b), range(10000) AS u(k) WHERE k < n)
-SELECT b AS resample, round(median(lp), 9) AS median FROM x JOIN q USING (i) GROUP BY b""")
+@query(_MEASURED + f""", q AS (SELECT row_number() OVER (ORDER BY pair_id) - 1 AS i, lp FROM o), n AS (SELECT count(*) AS n FROM q), k AS (SELECT n, unnest(range(n)) AS k FROM n), t AS (SELECT unnest(range(5000)) AS b),
+x AS (SELECT b, ('0x' || substr(md5(concat('{SEED}', ':', b, ':', k)), 1, 8))::BIGINT % n AS i FROM k, t), med AS (SELECT b, median(lp) AS v FROM x JOIN q USING (i) GROUP BY b)
+SELECT round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high FROM med""")
 def bootstrap_median_ci(spark, d):
-    value = _measured(spark, d).select("pair_id", outcomes.outcomes()["log_premium"].alias("v"))
-    return stats.bootstrap_medians(value, "v", "pair_id", 200, SEED).select("resample", F.round("median", 9).alias("median"))
+    found = stats.bootstrap_interval(_log_premium(spark, d), "v", "pair_id", 5000, SEED)
+    return found.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query("""WITH p AS (SELECT source, count(*) FILTER (lang = 'en')::DOUBLE / count(*) AS p FROM documents GROUP BY source),
-r AS (SELECT *, row_number() OVER (ORDER BY p, source) AS rank, count(*) OVER () AS m FROM p)
-SELECT source, rank, round(min(least(1.0::DOUBLE, p * m / rank)) OVER (ORDER BY p DESC, source DESC ROWS UNBOUNDED PRECEDING), 9) AS q FROM r""")
+r AS (SELECT *, row_number() OVER (ORDER BY p, source) AS rank, count(*) OVER () AS m FROM p),
+q AS (SELECT source, rank, min(least(1.0::DOUBLE, p * m / rank)) OVER (ORDER BY p DESC, source DESC ROWS UNBOUNDED PRECEDING) AS q FROM r)
+SELECT source, rank, round(q, 9) AS q, q <= 0.05 AS rejected FROM q""")
 def bh_fdr(spark, d):
     p = table(spark, d, "documents").groupBy("source").agg((F.count_if(F.col("lang") == "en").cast("double") / F.count("*")).alias("p"))
-    return stats.benjamini_hochberg(p, "p", "source").select("source", "rank", F.round("q", 9).alias("q"))
+    return stats.benjamini_hochberg(p, "p", "source").select("source", "rank", F.round("q", 9).alias("q"), "rejected")
+
+
+_POINTS = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+@query(f"SELECT lang, unnest({_POINTS}) AS point, unnest(list_transform(quantile_cont(n_chars::DOUBLE, {_POINTS}), lambda x: round(x, 6))) AS quantile FROM documents GROUP BY lang")
+def quantiles(spark, d):
+    out = stats.quantiles(table(spark, d, "documents"), "n_chars", _POINTS, "lang")
+    return out.select("lang", "point", F.round("quantile", 6).alias("quantile"))
 
 
 @query("SELECT DISTINCT n_chars, round(cume_dist() OVER (ORDER BY n_chars), 9) AS share FROM documents")
@@ -271,10 +332,46 @@ def holdout_split(spark, d):
     return splits.with_holdout(table(spark, d, "documents"), "doc_id", 17).select("doc_id", "held_out")
 
 
-@query("SELECT DISTINCT doc_id FROM documents WHERE false")
+_HELD = "('0x' || substr(sha256(concat({key}, ':', 1456095166)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2"
+
+
+def _sides(of: str) -> str:
+    return f"""WITH d AS (SELECT *, sha256(text) AS digest FROM documents), s AS (SELECT digest, {_HELD.format(key=of)} AS held_out FROM d)
+SELECT digest, count(*) FILTER (NOT held_out) AS train, count(*) FILTER (held_out) AS held FROM s GROUP BY digest HAVING train > 0 AND held > 0"""
+
+
+@query(_sides("doc_id"))
 def leakage_check(spark, d):
-    docs = splits.with_holdout(table(spark, d, "documents"), "doc_id", 17)
-    return splits.leaked(docs.where("NOT held_out"), docs.where("held_out"), "doc_id").select("doc_id")
+    """Texts that a split by document has on both sides."""
+    docs = table(spark, d, "documents").withColumn("digest", F.sha2("text", 256))
+    return splits.leakage(splits.with_holdout(docs, "doc_id", contracts.SEEDS["split"]), "digest").select("digest", "train", "held")
+
+
+@query(_sides("digest"))
+def leakage_check_grouped(spark, d):
+    """The same for a split by text: none."""
+    docs = table(spark, d, "documents").withColumn("digest", F.sha2("text", 256))
+    return splits.leakage(splits.with_group_holdout(docs, "digest", contracts.SEEDS["split"]), "digest").select("digest", "train", "held")
+
+
+_SETS = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+r AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+  HAVING count(*) >= 0.8::DOUBLE * ((SELECT n FROM n WHERE n.doc_id = a.doc_id) + (SELECT n FROM n WHERE n.doc_id = b.doc_id) - count(*)) - 1e-9),
+c(v, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.v)
+"""
+
+
+@query(_SETS + "SELECT v AS doc_id, min(root) AS cluster FROM c GROUP BY v")
+def near_duplicate_clusters(spark, d):
+    return clusters.near_duplicate_clusters(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def group_kfold_clusters(spark, d):
+    """Folds that keep near-duplicate clusters together."""
+    return splits.group_folds(clusters.near_duplicate_clusters(table(spark, d, "documents"), "doc_id", "text"), "cluster", 5)
 
 
 @query("SELECT round(regr_slope(octet_length(encode(text))::DOUBLE, n_chars::DOUBLE), 6) AS slope, round(regr_r2(octet_length(encode(text))::DOUBLE, n_chars::DOUBLE), 6) AS r2 FROM documents")
@@ -304,7 +401,8 @@ def bpe_premium(spark, d):
 
 @query()
 def chunk_features(spark, d):
-    return table(spark, d, "documents").select("doc_id", tokenizer.chunk_count(F.col("text"), _ranks()[1]).cast("long").alias("n_chunks"))
+    counted = table(spark, d, "documents").select("doc_id", "text", tokenizer.token_count(*_ranks())("text").alias("n_tokens"))
+    return counted.select("doc_id", "n_tokens", *[v.alias(k) for k, v in tokenizer.mechanism(F.col("text"), _ranks()[1], F.col("n_tokens")).items()])
 
 
 @query()
@@ -322,3 +420,384 @@ def morphology_ratios(spark, d):
     tags = ["NNP", "NNG", "NNG", "NNG", "XSN", "JKO", "NNG", "XSV", "EF", "SF"]
     rows = spark.createDataFrame([("s1", [("", t, 0, 0) for t in tags]), ("s2", [])], f"pair_id string, seq {morphology.SEQUENCE}")
     return rows.select("pair_id", *[v.alias(k) for k, v in morphology.measures(F.col("seq")).items()])
+
+
+# models: regressions on documents, sources as groups
+
+_MODEL = """WITH t AS (SELECT source, ln(1 + len(regexp_extract_all(text, '{p}')))::DOUBLE AS y, length(text) / 1000.0::DOUBLE AS n_points, len(regexp_extract_all(text, '\\s')) / length(text)::DOUBLE AS space_density,
+  len(regexp_extract_all(text, '[0-9]')) / length(text)::DOUBLE AS digit_ratio FROM documents WHERE length(text) > 0)""".format(p=_TOKENS)
+_BLOCKS = {"M0": ["n_points"], "M1": ["space_density", "digit_ratio"]}
+
+
+def _modelled(spark, d):
+    t, n = F.col("text"), F.char_length("text")
+    share = lambda p: text.count_of(t, p).cast("double") / n
+    tokens = F.regexp_count(t, F.lit("(?U)" + outcomes.PLAIN_TOKENS))
+    return table(spark, d, "documents").where(n > 0).select("source", F.log1p(tokens).alias("y"), (n / 1000.0).alias("n_points"), share(r"\s").alias("space_density"), share("[0-9]").alias("digit_ratio"))
+
+
+@query(_MODEL + """, w AS (SELECT y - avg(y) OVER g AS y, n_points - avg(n_points) OVER g AS x FROM t WINDOW g AS (PARTITION BY source))
+SELECT 'M0' AS model, 1::BIGINT AS features, count(*) AS n, round(power(sum(x * y), 2) / (sum(x * x) * sum(y * y)), 6) AS r2 FROM w""")
+def fixed_effects_m0(spark, d):
+    fit = models.nested_models(_modelled(spark, d), {"M0": ["n_points"]}, "y", "source")[0]
+    return spark.createDataFrame([(fit["model"], fit["features"], fit["n"], round(fit["r2"], 6))], "model string, features long, n long, r2 double")
+
+
+_MODEL_ROW = "model string, features long, n long, groups long, r2 double, delta_r2 double, f double, p_value double"
+
+
+@query()
+def ols_blocks(spark, d):
+    return spark.createDataFrame(models.nested_models(_modelled(spark, d), _BLOCKS, "y", "source"), _MODEL_ROW)
+
+
+@query(_MODEL + """, r AS (SELECT power(corr(y, n_points), 2) AS small, corr(y, n_points) AS r1, corr(y, digit_ratio) AS r2, corr(n_points, digit_ratio) AS r12 FROM t)
+SELECT round((r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12) - small, 6) AS delta_r2 FROM r""")
+def block_increment(spark, d):
+    gain = models.block_increment(_modelled(spark, d), ["n_points"], ["n_points", "digit_ratio"], "y")
+    return spark.createDataFrame([(round(gain["delta_r2"], 6),)], "delta_r2 double")
+
+
+@query(_MODEL + """, v AS (SELECT 1 / (1 - power(corr(space_density, digit_ratio), 2)) AS v FROM t)
+SELECT unnest(['space_density', 'digit_ratio']) AS feature, round(v, 6) AS vif, v > 5 AS warning, v > 10 AS severe FROM v""")
+def vif(spark, d):
+    rows = [{**r, "vif": round(r["vif"], 6)} for r in models.inflation(_modelled(spark, d), ["space_density", "digit_ratio"])]
+    return spark.createDataFrame(rows, "feature string, vif double, warning boolean, severe boolean")
+
+
+_FIT_ROW = "model string, intercept double, slope double, converged boolean"
+
+
+@query()
+def huber(spark, d):
+    fit = models.huber(_modelled(spark, d), ["n_points"], "y")
+    return spark.createDataFrame([("huber", float(fit["beta"][0]), float(fit["beta"][1]), fit["converged"])], _FIT_ROW)
+
+
+@query()
+def quantile_reg(spark, d):
+    rows = _modelled(spark, d)
+    fits = [(f"quantile {q:.2f}", models.quantile_regression(rows, ["n_points"], "y", q)) for q in models.QUANTILES.values()]
+    return spark.createDataFrame([(k, float(f["beta"][0]), float(f["beta"][1]), f["converged"]) for k, f in fits], _FIT_ROW)
+
+
+@query()
+def random_intercept(spark, d):
+    fit = models.random_intercept(_modelled(spark, d), ["n_points"], "y", "source")
+    row = (fit["n"], fit["groups"], float(fit["beta"][0]), float(fit["beta"][1]), fit["group_variance"], fit["residual_variance"], fit["converged"], fit["singular"], fit["usable"])
+    return spark.createDataFrame([row], "n long, groups long, intercept double, slope double, group_variance double, residual_variance double, converged boolean, singular boolean, usable boolean")
+
+
+@query(r"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM r GROUP BY ALL),
+i AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM c GROUP BY term), x AS (SELECT doc_id, term, tf * idf AS w FROM c JOIN i USING (term))
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM x""")
+def tfidf(spark, d):
+    return terms.tfidf(table(spark, d, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
+
+
+# strata, sensitivity, tables and figures
+
+_STRATA = _MEASURED + ", s AS (SELECT lp, 's' || (conv_id % 3) AS source, CASE WHEN bc < 200 THEN 'short' WHEN bc < 1000 THEN 'middle' ELSE 'long' END AS stratum FROM o)"
+
+
+def _strata(spark, d):
+    stratum = F.when(F.col("b_points") < 200, "short").when(F.col("b_points") < 1000, "middle").otherwise("long")
+    return _measured(spark, d).select("pair_id", outcomes.outcomes()["log_premium"].alias("v"), F.concat(F.lit("s"), F.col("conv_id") % 3).alias("source"), stratum.alias("stratum"))
+
+
+@query(_STRATA + " SELECT source, stratum, count(*) AS n, round(median(lp), 9) AS median, round(avg(lp), 9) AS mean FROM s GROUP BY GROUPING SETS ((source), (stratum), (source, stratum))")
+def premium_by_stratum(spark, d):
+    rows = _strata(spark, d).groupingSets([["source"], ["stratum"], ["source", "stratum"]], "source", "stratum")
+    return rows.agg(F.count("*").alias("n"), F.round(F.median("v"), 9).alias("median"), F.round(F.avg("v"), 9).alias("mean"))
+
+
+@query(_STRATA + """, i AS (SELECT source, stratum, avg(lp) AS m, count(*) AS n FROM s GROUP BY ALL), a AS (SELECT source, avg(lp) AS ms FROM s GROUP BY source), b AS (SELECT stratum, avg(lp) AS mt FROM s GROUP BY stratum)
+SELECT source, stratum, n, round(m - ms - mt + (SELECT avg(lp) FROM s), 9) AS interaction FROM i JOIN a USING (source) JOIN b USING (stratum)""")
+def strata_interactions(spark, d):
+    """What a cell of two strata has beyond its two margins."""
+    rows = _strata(spark, d)
+    sets = rows.groupingSets([["source", "stratum"], ["source"], ["stratum"], []], "source", "stratum").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.avg("v").alias("m"))
+    cells, sources, strata = (sets.where(F.col("g") == g) for g in (0, 1, 2))
+    whole = F.broadcast(sets.where("g = 3").select(F.col("m").alias("all")))  # one row
+    out = cells.join(F.broadcast(sources.select("source", F.col("m").alias("ms"))), "source").join(F.broadcast(strata.select("stratum", F.col("m").alias("mt"))), "stratum").join(whole)
+    return out.select("source", "stratum", "n", F.round(F.col("m") - F.col("ms") - F.col("mt") + F.col("all"), 9).alias("interaction"))
+
+
+_VARIANTS = {
+    "accepted_cohort": ("rule = 'accepted'", "rule = 'accepted'"),
+    "curated_only": ("rule = 'accepted' AND conv_id % 3 < 2", "rule = 'accepted' AND conv_id % 3 < 2"),
+    "without_anomalies": ("rule = 'accepted' AND NOT anomaly", "rule = 'accepted' AND NOT anomaly"),
+    "without_extreme_lengths": ("rule = 'accepted' AND b_points >= 200 AND b_points < 5000", "rule = 'accepted' AND bc >= 200 AND bc < 5000"),
+    "known_direction": ("rule = 'accepted' AND turn_a % 2 = 0", "rule = 'accepted' AND turn_a % 2 = 0"),
+}
+_ODD = r"regexp_matches({t}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]|[\x{{200B}}-\x{{200D}}\x{{FEFF}}]|\p{{M}}{{3,}}')"
+_TRIMMED = r"regexp_replace(regexp_replace(nfc_normalize({t}), '^\x{{FEFF}}', ''), '^[\s\x{{85}}\p{{Z}}]+|[\s\x{{85}}\p{{Z}}]+\z', '', 'g')"
+
+
+def _variant_sql() -> str:
+    count = lambda t: f"len(regexp_extract_all({t}, '{_TOKENS}'))::DOUBLE"
+    head = _FLOW + f", x AS (SELECT *, length(b_text) AS bc, {_ODD.format(t='a_text')} OR {_ODD.format(t='b_text')} AS anomaly, "
+    texts = {"raw_text": "{t}", "nfc_only": "nfc_normalize({t})", "analysis_text": _TRIMMED}
+    head += ", ".join(f"ln({count(f.format(t='a_text'))} / nullif({count(f.format(t='b_text'))}, 0)) AS {k}" for k, f in texts.items()) + " FROM r)"
+    rows = [f"SELECT '{k}' AS variant, {k} AS v FROM x WHERE rule = 'accepted'" for k in texts]
+    rows += [f"SELECT '{k}', analysis_text FROM x WHERE {c}" for k, (_, c) in _VARIANTS.items()]
+    return head + f", u AS ({' UNION ALL '.join(rows)}) SELECT variant, count(*) AS n, round(median(v), 9) AS median_log_premium, count(*) FILTER (v > 0) AS n_plus FROM u WHERE isfinite(v) GROUP BY variant"
+
+
+@query(_variant_sql())
+def sensitivity_variants(spark, d):
+    """One measure of the premium under each cohort and text variant; sources by conversation number and turns stand in for tiers and directions."""
+    count = lambda t: F.regexp_count(t, F.lit("(?U)" + outcomes.PLAIN_TOKENS)).cast("double")
+    ratio = lambda a, b: F.when((a > 0) & (b > 0), F.ln(a / b))
+    rows = _judged(spark, d).withColumns({f"{s}_nfc": text.nfc(f"{s}_text") for s in "ab"})
+    every = {
+        "raw_text": ratio(count(F.col("a_text")), count(F.col("b_text"))),
+        "nfc_only": ratio(count(F.col("a_nfc")), count(F.col("b_nfc"))),
+        "analysis_text": ratio(count(text.analysis_text(F.col("a_nfc"))), count(text.analysis_text(F.col("b_nfc")))),
+    }
+    rows = rows.select("conv_id", "turn_a", "rule", F.char_length("b_text").alias("b_points"), (text.anomaly_flag(F.col("a_text")) | text.anomaly_flag(F.col("b_text"))).alias("anomaly"), *[v.alias(k) for k, v in every.items()])
+    parts = [F.struct(F.lit(k).alias("variant"), F.when(F.expr("rule = 'accepted'"), F.col(k)).alias("v")) for k in every]
+    parts += [F.struct(F.lit(k).alias("variant"), F.when(F.expr(c), F.col("analysis_text")).alias("v")) for k, (c, _) in _VARIANTS.items()]
+    out = rows.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where("v IS NOT NULL")
+    return out.groupBy("variant").agg(F.count("*").alias("n"), F.round(F.median("v"), 9).alias("median_log_premium"), F.count_if(F.col("v") > 0).alias("n_plus"))
+
+
+@query()
+def sensitivity_models(spark, d):
+    """The slope of length under other models: least squares, Huber, quantiles, fixed and random source intercepts."""
+    rows = _modelled(spark, d)
+    fits = {"ols": models.least_squares(rows, ["n_points"], "y"), "huber": models.huber(rows, ["n_points"], "y")}
+    fits |= {f"quantile_{q:.2f}": models.quantile_regression(rows, ["n_points"], "y", q) for q in models.QUANTILES.values()}
+    out = [(k, float(f["beta"][1])) for k, f in fits.items()]
+    out.append(("source_fixed", float(models.fixed_effects(rows, ["n_points"], "y", "source")["beta"][0])))
+    out.append(("source_random", float(models.random_intercept(rows, ["n_points"], "y", "source")["beta"][1])))
+    return spark.createDataFrame(out, "variant string, slope double")
+
+
+@query(_MEASURED + """, l AS (SELECT unnest(['a', 'b']) AS side, unnest([ta, tb]) AS t, unnest([ab, bb]) AS y, unnest([ac, bc]) AS c FROM o)
+SELECT side, count(*) AS n, sum(t)::BIGINT AS tokens, round(avg(t), 6) AS mean_tokens, median(t) AS median_tokens, round(sum(t) / sum(y), 9) AS tokens_per_byte, round(sum(t) / sum(c), 9) AS tokens_per_codepoint FROM l GROUP BY side""")
+def table_t02(spark, d):
+    """T02: what each side takes."""
+    sides = [F.struct(F.lit(s).alias("side"), *[F.col(f"{s}_{x}").cast("double").alias(x) for x in ("tokens", "bytes", "points")]) for s in "ab"]
+    rows = _measured(spark, d).select(F.explode(F.array(*sides)).alias("x")).select("x.*")
+    total = F.sum("tokens")
+    return rows.groupBy("side").agg(F.count("*").alias("n"), total.cast("long").alias("tokens"), F.round(F.avg("tokens"), 6).alias("mean_tokens"), F.median("tokens").alias("median_tokens"), F.round(total / F.sum("bytes"), 9).alias("tokens_per_byte"), F.round(total / F.sum("points"), 9).alias("tokens_per_codepoint"))
+
+
+@query(_MEASURED + """, l AS (SELECT unnest(['point_ratio', 'density_ratio']) AS factor, unnest([ln(ac / bc), ln((ab / ac) / (bb / bc))]) AS v FROM o)
+SELECT factor, count(*) AS n, round(median(v), 9) AS median, round(avg(v), 9) AS mean FROM l GROUP BY factor""")
+def table_t03(spark, d):
+    """T03: the factors of the premium on the logarithmic scale; the penalty is reported by itself."""
+    cols = outcomes.outcomes()
+    parts = [F.struct(F.lit(k).alias("factor"), F.ln(cols[k]).alias("v")) for k in ("point_ratio", "density_ratio")]
+    rows = _measured(spark, d).select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+    return rows.groupBy("factor").agg(F.count("*").alias("n"), F.round(F.median("v"), 9).alias("median"), F.round(F.avg("v"), 9).alias("mean"))
+
+
+@query()
+def table_t04(spark, d):
+    """T04: nested models with source effects."""
+    return ols_blocks(spark, d)
+
+
+@query()
+def table_t05(spark, d):
+    """T05: what pre-token chunks add to M1; they come after treatment, so this describes a mechanism and controls nothing."""
+    t, n = F.col("text"), F.char_length("text")
+    chunks = tokenizer.chunk_count(t, _ranks()[1])
+    share = lambda p: text.count_of(t, p).cast("double") / n
+    counted = table(spark, d, "documents").where(n > 0).select("source", "text", tokenizer.token_count(*_ranks())("text").alias("tokens"))
+    rows = counted.select("source", F.log1p("tokens").alias("y"), (n / 1000.0).alias("n_points"), share(r"\s").alias("space_density"), share("[0-9]").alias("digit_ratio"), (n / F.greatest(chunks, F.lit(1))).alias("chunk_length"))
+    return spark.createDataFrame(models.nested_models(rows, {**_BLOCKS, "M3": ["chunk_length"]}, "y", "source"), _MODEL_ROW)
+
+
+@query(_MEASURED + "SELECT pair_id, ta::BIGINT AS a_tokens, tb::BIGINT AS b_tokens FROM o")
+def figure_f01(spark, d):
+    """scatter of both sides' tokens."""
+    return _measured(spark, d).select("pair_id", F.col("a_tokens").cast("long").alias("a_tokens"), F.col("b_tokens").cast("long").alias("b_tokens"))
+
+
+@query(_MEASURED + ", x AS (SELECT round(tp, 9) AS token_premium FROM o) SELECT DISTINCT token_premium, round(cume_dist() OVER (ORDER BY token_premium), 9) AS share FROM x")
+def figure_f02(spark, d):
+    """distribution of the premium."""
+    rows = _measured(spark, d).select(F.round(outcomes.outcomes()["token_premium"], 9).alias("token_premium"))
+    return stats.ecdf(rows, "token_premium").select("token_premium", F.round("share", 9).alias("share"))
+
+
+@query(_STRATA + """ SELECT source, count(*) AS n, round(avg(lp), 9) AS mean, round(avg(lp) - 1.96 * stddev_samp(lp) / sqrt(count(*)), 9) AS low, round(avg(lp) + 1.96 * stddev_samp(lp) / sqrt(count(*)), 9) AS high FROM s GROUP BY source""")
+def figure_f08(spark, d):
+    """forest of sources, mean and its interval."""
+    mean, half = F.avg("v"), F.lit(1.96) * F.stddev_samp("v") / F.sqrt(F.count("*"))
+    return _strata(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.round(mean, 9).alias("mean"), F.round(mean - half, 9).alias("low"), F.round(mean + half, 9).alias("high"))
+
+
+@query(_MEASURED + """, k AS (SELECT pair_id, round(lp, 9) AS log_premium, row_number() OVER (ORDER BY lp, pair_id) AS up, row_number() OVER (ORDER BY lp DESC, pair_id) AS down FROM o)
+SELECT pair_id, log_premium, CASE WHEN up <= 5 THEN 'lowest' ELSE 'highest' END AS panel FROM k WHERE up <= 5 OR down <= 5""")
+def figure_f07(spark, d):
+    """the pairs with the five lowest and the five highest premiums."""
+    rows = _log_premium(spark, d)
+    low, high = (rows.orderBy(o, "pair_id").limit(5).withColumn("panel", F.lit(p)) for o, p in ((F.asc("v"), "lowest"), (F.desc("v"), "highest")))
+    both = low.unionByName(high.join(low.select("pair_id"), "pair_id", "left_anti"))
+    return both.select("pair_id", F.round("v", 9).alias("log_premium"), "panel")
+
+
+#: Question, data, estimand, method, outputs.
+TRACEABILITY = [
+    ("RQ1", "D-01,D-04", "median logTP", "signed-rank + bootstrap", "T01,F01-F03"),
+    ("RQ2", "D-02,D-04", "exact decomposition identity", "distribution", "T02,F04-F05"),
+    ("RQ3", "D-02,D-04", "logTP / logCompressionPenalty", "M1 regression", "T03,F06"),
+    ("RQ4", "D-03,D-04", "incremental morphology value", "M2 vs M1", "T04,coefficient plot"),
+    ("RQ5", "D-05,D-04", "chunk/token mechanism", "M3 mechanism audit", "T05,extreme audit"),
+    ("RQ6", "D-01,D-02,D-03,D-04,D-05", "strata-specific effects", "interactions / forest plot", "T06,F08"),
+    ("RQ7", "D-06,D-07", "request/output/latency/cost ratios", "paired serving analysis", "T07,F09"),
+]
+#: Which query gives which table or figure; those of RQ7 are deferred.
+OUTPUTS = {
+    "T01": "hard_exclusion_flow", "T02": "table_t02", "T03": "table_t03", "T04": "table_t04", "T05": "table_t05", "T06": "premium_by_stratum", "T08": "sensitivity_variants",
+    "F01": "figure_f01", "F02": "figure_f02", "F03": "premium_by_stratum", "F04": "regex_token_premium", "F05": "log_compression_penalty", "F06": "morphology_ratios", "F07": "figure_f07", "F08": "figure_f08",
+}
+
+
+def _values(rows, names: str) -> str:
+    """A literal table in SQL."""
+    cell = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS t({names})"
+
+
+@query("SELECT rq, unnest(string_split(data, ',')) AS data, estimand, method, outputs FROM " + _values(TRACEABILITY, "rq, data, estimand, method, outputs"))
+def traceability(spark, d):
+    rows = spark.createDataFrame(TRACEABILITY, "rq string, data string, estimand string, method string, outputs string")
+    return rows.withColumn("data", F.explode(F.split("data", ",")))
+
+
+# contracts and documents
+
+#: Documents that break some rules: a permission is open, a zero stands for false, a version differs, a value is missing; two seeds are equal.
+_DOCUMENTS = {
+    "tokenizer": {"track": "A", "tokenizer_id": "o200k_base", "implementation": "tiktoken", "package_version": "0.12.0", "network_fallback_allowed": 0},
+    "serving": {
+        "track": "B", "execution_status": "deferred", "enabled_in_phase_0": False, "deployment": {"baseline_if_reactivated": "hugging_face_hosted_api"},
+        "research_contract": {"serving_seed_path": "seed_policy.serving", "track_b_status_path": "track_b_status.status"},
+        "execution_permissions": {"model_download_allowed": False, "local_inference_allowed": False, "hosted_api_call_allowed": True, "serving_benchmark_allowed": False},
+    },
+    "morphology": {"analyzer": {"primary_name": "Kiwi", "primary_package": "kiwipiepy", "design_freeze_version": "0.23.2"}},
+    "research": {"track_b_status": {"status": "DEFERRED_NOT_EXECUTED"}, "seed_policy": {"master_seed": 20260816, "split": 1456095166, "bootstrap": 1456095166, "model_tuning": 4294967296, "serving": True}},
+}
+_LEAVES = _values(contracts.leaves(_DOCUMENTS), "name, path, value")
+
+
+@query(f"SELECT r.name, r.path, CASE WHEN l.value IS NULL THEN 'missing' ELSE 'different' END AS reason FROM (SELECT * FROM {_values([(n, p, json.dumps(v)) for n, p, v in contracts.RULES], 'name, path, expected')}) r "
+       f"LEFT JOIN (SELECT * FROM {_LEAVES}) l USING (name, path) WHERE l.value IS DISTINCT FROM r.expected")
+def contract_violations(spark, d):
+    return contracts.violations(contracts.value_rows(spark, _DOCUMENTS), contracts.rule_rows(spark, contracts.RULES))
+
+
+@query(f"""WITH s AS (SELECT t.seed, l.value FROM {_values([(k,) for k in contracts.SEEDS], 'seed')} LEFT JOIN (SELECT * FROM {_LEAVES}) l ON l.name = 'research' AND l.path = 'seed_policy.' || t.seed),
+k AS (SELECT *, CASE WHEN value IS NULL THEN 'missing' WHEN NOT coalesce(try_cast(value AS BIGINT) BETWEEN 0 AND 4294967295 AND regexp_full_match(value, '-?[0-9]+'), false) THEN 'no seed' WHEN count(*) OVER (PARTITION BY value) > 1 THEN 'repeated' END AS reason FROM s)
+SELECT seed, reason FROM k WHERE reason IS NOT NULL""")
+def seed_policy_check(spark, d):
+    return contracts.seed_violations(contracts.value_rows(spark, _DOCUMENTS))
+
+
+_FACTS = ([("Kiwi", "0.23.2"), ("tiktoken", "0.13.0"), ("numpy", "2")], [("Kiwi", "0.23.2"), ("tiktoken", "0.12.0"), ("scipy", "1")])
+
+
+@query(f"SELECT coalesce(a.key, b.key) AS key, a.value AS \"left\", b.value AS \"right\" FROM (SELECT * FROM {_values(_FACTS[0], 'key, value')}) a FULL JOIN (SELECT * FROM {_values(_FACTS[1], 'key, value')}) b ON a.key = b.key WHERE a.value IS DISTINCT FROM b.value")
+def cross_document_equality(spark, d):
+    a, b = (spark.createDataFrame(x, "key string, value string") for x in _FACTS)
+    return contracts.same_facts(a, b, ["key"])
+
+
+_GATES = [(f"E{i:02}", "OPEN" if i == 11 else "PASS", f"check {i}") for i in range(1, 13)]
+
+
+@query(f"SELECT count(*) AS checks, count(*) FILTER (status = 'OPEN') AS open, bool_and(status <> 'FAIL') AS passed FROM {_values(_GATES, 'check_id, status, evidence')}")
+def gate_table(spark, d):
+    rows = spark.createDataFrame(_GATES, "check_id string, status string, evidence string")
+    counts = rows.agg(F.count("*").alias("checks"), F.count_if(F.col("status") == "OPEN").alias("open"))
+    return counts.join(contracts.gate(rows))
+
+
+_REGISTRY = [
+    ("p1", "A", "news", "declarative", "KO_TO_EN"), ("p2", "B", "dialogue", "title", "UNKNOWN"), ("p3", "D", "poetry", "declarative", "EN_TO_KO"), ("p4", None, "legal", "other", "en_to_ko"),
+]
+_ALLOWED = {**pairs.TAXONOMY, "source_tier": pairs.TIERS}
+
+
+@query(f"WITH r AS (SELECT * FROM {_values(_REGISTRY, 'pair_id, source_tier, domain, sentence_type, translation_direction')}), "
+       "c AS (" + " UNION ALL ".join(f"SELECT pair_id, '{k}' AS \"column\", {k} AS value FROM r WHERE coalesce({k} NOT IN ({', '.join(repr(x) for x in v)}), true)" for k, v in _ALLOWED.items()) + ") SELECT * FROM c")
+def registry_taxonomy(spark, d):
+    rows = spark.createDataFrame(_REGISTRY, "pair_id string, source_tier string, domain string, sentence_type string, translation_direction string")
+    return pairs.taxonomy_violations(rows)
+
+
+@query("SELECT source, min(n_chars) AS low, max(n_chars) AS high, min(n_chars) = max(n_chars) AS blank FROM documents GROUP BY source")
+def extrema(spark, d):
+    low, high = F.min("n_chars"), F.max("n_chars")
+    return table(spark, d, "documents").groupBy("source").agg(low.alias("low"), high.alias("high"), (low == high).alias("blank"))
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+')) AS scheme, starts_with(url, 'https://') AS secure, list_extract(string_split(split_part(url, '?', 1), '/'), 3) AS host, replace(trim(url), '/', '|') AS flat,
+  contains(url, '?') AS has_query, array_to_string(string_split(split_part(url, '://', 2), '/'), ' > ') AS trail FROM pages""")
+def string_functions(spark, d):
+    u = F.col("url")
+    parts = F.split(F.split(u, r"\?")[0], "/")
+    return table(spark, d, "pages").select(
+        "page_id", F.lower(F.regexp_extract(u, "^[a-zA-Z]+", 0)).alias("scheme"), F.startswith(u, F.lit("https://")).alias("secure"), F.get(parts, F.lit(2)).alias("host"),
+        F.replace(F.trim(u), F.lit("/"), F.lit("|")).alias("flat"), F.contains(u, F.lit("?")).alias("has_query"), F.array_join(F.split(F.split_part(u, F.lit("://"), F.lit(2)), "/"), " > ").alias("trail"),
+    )
+
+
+@query("SELECT doc_id, sha256(base64(encode(text))) AS base64_sha256, printf('%016X', n_chars) AS n_chars_u64 FROM documents")
+def binary_encodings(spark, d):
+    """Base64 of the text's UTF-8, and a big-endian number."""
+    body = F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit(""))
+    return table(spark, d, "documents").select("doc_id", F.sha2(body, 256).alias("base64_sha256"), F.hex(canonical.big_endian(F.col("n_chars"), 8)).alias("n_chars_u64"))
+
+
+@query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, json_extract_string(props, '$.missing') IS NOT NULL AS has_missing, CASE WHEN json_valid(props) THEN 'PASS' ELSE 'FAIL' END AS status FROM events")
+def json_paths(spark, d):
+    """Dotted paths of parsed documents; what can't be parsed or found is a status or a default, not an error."""
+    doc = F.try_parse_json("props")
+    rows = table(spark, d, "events").select("event_id", doc.alias("doc"))
+    return rows.select("event_id", F.coalesce(F.try_variant_get("doc", "$.k", "long"), F.lit(-1)).cast("long").alias("k"), F.try_variant_get("doc", "$.missing", "string").isNotNull().alias("has_missing"), F.when(F.col("doc").isNull(), "FAIL").otherwise("PASS").alias("status"))
+
+
+@query("SELECT page_id, starts_with(url || '/', 'https://m.') AS inside FROM pages")
+def path_containment(spark, d):
+    return table(spark, d, "pages").select("page_id", F.startswith(F.concat("url", F.lit("/")), F.lit("https://m.")).alias("inside"))
+
+
+_SAMPLES = ["한국어 토큰화 재현성 검사", "English tokenization reproducibility check", "공백  두 개와\n줄바꿈", "NFC 한글과 emoji 😀 123"]
+
+
+@query(f"SELECT row_number() OVER () - 1 AS sample_id, octet_length(encode(t.text)) AS n_bytes, length(t.text) AS n_points, length_grapheme(t.text) AS n_graphemes FROM {_values([(x,) for x in _SAMPLES], 'text')}")
+def sample_lengths(spark, d):
+    t = F.col("text")
+    return files.numbered(spark, _SAMPLES).select("sample_id", F.octet_length(t).cast("long").alias("n_bytes"), F.char_length(t).cast("long").alias("n_points"), text.graphemes(t).cast("long").alias("n_graphemes"))
+
+
+@query("SELECT doc_id, contains(text, '<|endoftext|>') OR contains(text, '<|endofprompt|>') AS rejected FROM documents")
+def special_literals(spark, d):
+    return table(spark, d, "documents").select("doc_id", tokenizer.has_special(F.col("text"), ["<|endoftext|>", "<|endofprompt|>"]).alias("rejected"))
+
+
+@query()
+def tokenizer_manifest(spark, d):
+    path, pattern = _ranks()
+    found = tokenizer.manifest(spark, path, pattern, "byte_bpe_50k", {"<|endoftext|>": 50256})
+    return spark.createDataFrame([(k, canonical.canonical_json(v).decode().strip()) for k, v in found.items()], "field string, value string")
+
+
+@query()
+def file_inventory(spark, d):
+    """The vocabulary folder's files, with digests from the workers."""
+    import os
+
+    found = files.digests(spark, "file://" + os.path.dirname(_ranks()[0]))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size_bytes", "sha256")
+
+
+@query()
+def package_inventory(spark, d):
+    return environment.package_versions(spark, ["numpy", "pandas", "pyarrow", "pyspark", "duckdb", "NumPy", "no-such-package"])

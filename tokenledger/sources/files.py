@@ -73,6 +73,21 @@ def file_inventory(spark: SparkSession, paths: list[Path], base: str | Path) ->
     return spark.createDataFrame(rows, "path string, size_bytes long, sha256 string").orderBy(F.split("path", "/"))
 
 
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (path, size_bytes, sha256) of files below a path that Spark can read, digested on the workers.
+
+    Each file is one cell, so it must be below 2 GiB. Names that begin with `_` or `.` are left out by the reader;
+    file_inventory has them.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def numbered(spark: SparkSession, samples: list[str]) -> DataFrame:
+    """Rows (sample_id, text); ids are places in the list, from 0."""
+    return spark.createDataFrame(list(enumerate(samples)), "sample_id long, text string")
+
+
 def round_trip_equal(df: DataFrame, path: str) -> bool:
     """Write as Parquet, read, and compare schema and rows, duplicates included."""
     df.coalesce(1).write.mode("overwrite").parquet(path)
@@ -82,12 +97,17 @@ def round_trip_equal(df: DataFrame, path: str) -> bool:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_csv wrote; quoted values may hold line breaks."""
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
 def write_lines(df: DataFrame, column: str, path: str) -> None:
-    """Sorted lines of text in one file."""
-    df.select(column).orderBy(F.lower(column), column).coalesce(1).write.mode("overwrite").text(path)
+    """Distinct lines of text in one file, in order without case."""
+    df.select(column).distinct().orderBy(F.lower(column), column).coalesce(1).write.mode("overwrite").text(path)
 
 
 def checksum_line(path: str | Path) -> str:
