@@ -163,9 +163,14 @@ def word_logs(words: list[str] | pa.Array, zeros: np.ndarray, ones: np.ndarray,
 
 
 def earlier(key: np.ndarray) -> np.ndarray:
-    """How many earlier places have the same key."""
-    order = np.argsort(key, kind="stable")
-    ordered, at = key[order], np.arange(len(key))
+    """How many earlier places have the same key (integers from 0 on)."""
+    at, bits = np.arange(len(key)), max(1, int(len(key)).bit_length())
+    if len(key) and key.dtype == np.int64 and int(key.max()) < 1 << (62 - bits):  # place and key in one number: plain sorting keeps the order
+        both = np.sort(key << bits | at)
+        order, ordered = both & ((1 << bits) - 1), both >> bits
+    else:
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
     fresh = np.append(True, ordered[1:] != ordered[:-1]) if len(key) else np.empty(0, bool)
     out = np.empty(len(key), np.int64)
     out[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
@@ -181,7 +186,7 @@ def own_words(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     alone = owner * many + codes
     last = np.append(many - 1, codes[:-1])
     last[offsets[:-1][np.diff(offsets) > 0]] = many - 1  # no word stands before the first
-    after = owner * many + last
+    after = np.unique(owner * many + last, return_inverse=True)[1]
     pair, times = earlier(after * many + codes), earlier(after)
     return earlier(alone) / np.maximum(before, 1), np.where(last < many - 1, pair / np.maximum(times, 1), 0.0)
 
@@ -395,11 +400,24 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk: int =
     shape = "chunk int, word string, segment long, triple long, times long, occurs long, part int, data binary"
     counted = stored(dealt.groupBy("chunk").applyInArrow(count, shape), "counts")
     words = counted.where("word IS NOT NULL").select("chunk", "word", "times")
-    totals = stored(words.groupBy("word").agg(F.sum("times").alias("c"), F.count("*").alias("rows")), "totals")
-    sums = totals.where("c > 0").agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     zeros_ones, (learned, ends), weights = _summed(counted.where("part IS NOT NULL").selectExpr("cast(chunk AS long) AS nth", "part", "data"), n_chunks)
+    sent = spark.sparkContext.broadcast((zstandard.ZstdCompressor(level=3).compress(zeros_ones.tobytes()), weights))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words with the log10 of their spelling's probability; null for digests of long words, whose chunks know them."""
+        both, weights = np.frombuffer(zstandard.ZstdDecompressor().decompress(sent.value[0]), np.float32), sent.value[1]
+        for table in _gathered(batches, 100_000):
+            table = table.sort_by("word")
+            words = table.column("word").combine_chunks().cast(pa.large_string())
+            logs = word_logs(words, both[: _STARTS[-1]], both[_STARTS[-1] :], weights)
+            long_ = pc.starts_with(words, "\x1f")
+            yield from table.append_column("coded", pa.array(logs.astype(np.float32), mask=long_.to_numpy(zero_copy_only=False))).combine_chunks().to_batches()
+
+    totals = words.groupBy("word").agg(F.sum("times").alias("c"), F.count("*").alias("rows"))
+    totals = stored(totals.mapInArrow(spell, "word string, c long, rows long, coded float"), "totals")
+    sums = totals.where("c > 0").agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     n_train, v_train = (sums.n or 0) + ends, sums.v + (1 if ends else 0)
-    mine = salted_join(words.select("chunk", "word"), totals, "word", "rows", ["chunk"]).select("chunk", "word", "c")
+    mine = salted_join(words.select("chunk", "word"), totals, "word", "rows", ["chunk"]).select("chunk", "word", "c", "coded")
     # a triple that occurs once in all rows tells nothing
     found = counted.where("segment IS NOT NULL")
     by_segment = found.groupBy("segment").agg(F.first("triple").alias("triple"), F.sum("times").alias("same"), F.sum("occurs").alias("occurs"), F.count("*").alias("rows"))
@@ -409,23 +427,23 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk: int =
     told = stored(salted_join(by_segment.select("segment", "triple", "same", "rows"), by_triple, "triple", "parts", ["segment"]).select("segment", "rows", "known", "ways", "same"), "told")
     told = salted_join(found.select("chunk", "segment"), told, "segment", "rows", ["chunk"]).select("chunk", "segment", "known", "ways", "same")
     nothing = lambda *names: [F.lit(None).cast("long").alias(x) for x in names]
-    facts = mine.select("chunk", "word", "c", *nothing("segment", "known", "ways", "same")).unionByName(told.select("chunk", F.lit(None).cast("string").alias("word"), *nothing("c"), "segment", "known", "ways", "same"))
-    sent = spark.sparkContext.broadcast((zstandard.ZstdCompressor(level=3).compress(zeros_ones.tobytes()), weights))
+    blank = [F.lit(None).cast("string").alias("word"), *nothing("c"), F.lit(None).cast("float").alias("coded")]
+    facts = mine.select("chunk", "word", "c", "coded", *nothing("segment", "known", "ways", "same")).unionByName(told.select("chunk", *blank, "segment", "known", "ways", "same"))
     unit = n_train + 0.5 * (v_train + 1)
     log_end = math.log10((ends + 0.5) / (n_train + 1))
     log_word = math.log10(1 - min(0.999999, (ends + 0.5) / (n_train + 1)))
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         codes, offsets, words, _ = _words(left)
-        packed, weights = sent.value
-        both = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.float32)
         of_words, of_segments = right.filter(pc.is_valid(right.column("word"))), right.filter(pc.is_valid(right.column("segment")))
         at = pc.index_in(_short(words), of_words.column("word").combine_chunks().cast(pa.string()))
-        c = np.zeros(len(words))
-        found = at.is_valid().to_numpy(zero_copy_only=False)
-        c[found] = of_words.column("c").to_numpy()[at.drop_null().to_numpy()]
-        coded = word_logs(words, both[: _STARTS[-1]], both[_STARTS[-1] :], weights)
-        del both
+        at = at.to_numpy(zero_copy_only=False).astype(np.int64)  # all words have a total
+        c, coded = of_words.column("c").to_numpy()[at].astype(np.float64), of_words.column("coded").to_numpy()[at].astype(np.float64)
+        long_ = np.flatnonzero(np.isnan(coded))
+        if len(long_):
+            both = np.frombuffer(zstandard.ZstdDecompressor().decompress(sent.value[0]), np.float32)
+            coded[long_] = word_logs(words.take(pa.array(long_)), both[: _STARTS[-1]], both[_STARTS[-1] :], sent.value[1])
+            del both
         known, plain = c / max(1, n_train - ends), np.log10((c + 0.5) / unit)
         hashes, widths = _hashes(words), pc.binary_length(words).to_numpy() + 1
         names = of_segments.column("segment").to_numpy()
@@ -452,6 +470,18 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk: int =
     return dealt.groupBy("chunk").cogroup(facts.groupBy("chunk")).applyInArrow(judge, schema)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of at least `rows` rows, and the rest."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
 def _some(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of documents with TOKENS words each, or one longer document."""
     begin = 0
