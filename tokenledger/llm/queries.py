@@ -100,7 +100,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_crf_language_id, op2_repair_token_file, op3_lpf_substring_dedup, op4_exact_dedup, op5_pii_disclosure, op6_context_mixing, op7_pca_near_vectors, op8_spm_byte_bpe, op9_hilbert_packing, op10_superminhash)
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: The patterns as the contract has them, with the places that the split leaves between matches.
+_SPANS = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+p(kind, name, pattern) AS (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+  (2, 'card', '[0-9]([\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
+m AS (SELECT row, kind, name, unnest(f) AS v, unnest(range(1, len(f) + 1)) AS i, f, string_split_regex(t, pattern) AS s FROM (SELECT row, t, kind, name, pattern, regexp_extract_all(t, pattern) AS f FROM d, p) WHERE len(f) > 0),
+x AS (SELECT *, list_sum(list_transform(s[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda g: length(g))), 0) AS a, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM m),
+base AS (SELECT row, kind, name, v, a::BIGINT AS a, (a + length(v))::BIGINT AS b FROM x WHERE CASE kind
+  WHEN 1 THEN list_bool_and(list_transform(string_split(v, '.'), lambda g: length(ltrim(g, '0')) <= 3 AND coalesce(try_cast(ltrim(g, '0') AS INTEGER), 0) <= 255))
+  WHEN 2 THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN (length(digits) - i) % 2 = 0 THEN digits[i]::INTEGER ELSE digits[i]::INTEGER * 2 - CASE WHEN digits[i]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+  WHEN 3 THEN length(digits) BETWEEN 9 AND 15 ELSE true END),
+w AS (SELECT row, unnest(f) AS w, unnest(range(len(f))) AS i, unnest(list_transform(s[1:len(f)], lambda g: length(g))) AS gap FROM (SELECT row, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS f, string_split_regex(t, '[^\x20\x09-\x0D]+') AS s FROM d) WHERE len(f) > 0),
+term AS (SELECT row, regexp_replace(lower(w), '^[^\p{L}]+|[^\p{L}]+$', '', 'g') AS term, sum(gap + length(w)) OVER (PARTITION BY row ORDER BY i) AS b, length(w) AS n FROM w),
+once AS (SELECT min(row) AS row FROM d GROUP BY t), total AS (SELECT count(*) AS n FROM once),
+held AS (SELECT DISTINCT row, term FROM term JOIN once USING (row) WHERE term <> ''), by_term AS (SELECT term, count(*) AS n_term FROM held GROUP BY term HAVING count(*) >= 2),
+entity AS (SELECT DISTINCT row, v AS entity FROM base JOIN once USING (row)), by_entity AS (SELECT entity, count(*) AS n_entity FROM entity GROUP BY entity HAVING count(*) >= 2),
+both_ AS (SELECT entity, term, count(*) AS n_both FROM entity JOIN by_entity USING (entity) JOIN held USING (row) JOIN by_term USING (term) GROUP BY entity, term),
+telling AS (SELECT DISTINCT term FROM both_ JOIN by_entity USING (entity) JOIN by_term USING (term), total
+  WHERE n_both >= 2 AND n_entity < n AND log2(n_both * n::DOUBLE / (n_term * n_entity)) >= 0.9::DOUBLE * log2(n::DOUBLE / n_entity)),
+extra AS (SELECT t.row, 4 AS kind, 'term' AS name, t.b - t.n AS a, t.b AS b FROM term t JOIN telling USING (term) WHERE NOT EXISTS (SELECT 1 FROM base s WHERE s.row = t.row AND s.a < t.b AND t.b - t.n < s.b)),
+every AS (SELECT row, kind, name, a, b FROM base UNION ALL SELECT row, kind, name, a, b FROM extra),
+j AS (SELECT row, coalesce(string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) FILTER (kind < 4), '') AS base, string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) AS spans,
+  count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone FROM every GROUP BY row)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (row)
+"""
+
+_VECTORS = """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+c(v, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.v),
+r AS (SELECT v, min(root) AS root FROM c GROUP BY v)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, root AS component_id, vec_id = root AS kept FROM embeddings JOIN r ON r.v = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+_SHINGLES = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(""" + _LOWER + r""", '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT b.a, b.b FROM b JOIN n x ON x.doc_id = b.a JOIN n y ON y.doc_id = b.b WHERE 100 * b.n >= 85 * (x.n + y.n - b.n)),
+c(v, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.v),
+r AS (SELECT v, min(root) AS root FROM c GROUP BY v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.root AS component_id, d.doc_id = r.root AS kept FROM documents d JOIN r ON r.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_pii_disclosure": _SPANS,
+    "op7_pca_near_vectors": _VECTORS,
+    "op10_superminhash": _SHINGLES,
     "op4_exact_dedup": r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
