@@ -25,21 +25,30 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without white space one stays, the longest; null and empty texts are equal to each other.
+
+    Rows that repeat a kept key stay; an empty table stays empty; other columns are kept, whatever their names.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at a similarity of 0.8 or more stays."""
+    """One document of each group at a similarity of 0.8 or more stays.
+
+    Texts without words are like none and stay, as do rows without a key; rows that repeat a kept key stay; an empty
+    table stays empty; other columns are kept, whatever their names.
+    """
     return superminhash.drop_near_copies(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data generalised; n_chars follows the text."""
+    """Texts with personal data generalised; n_chars follows the text. Null and empty texts stay as they are, and so do all other columns; no row is dropped."""
     clean = pii_disclosure.sanitised(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences; a null or empty text has the end id only, a long one many pieces, and repeated rows stay apart. No rows from an empty table."""
     from public_tokenizers import path
 
     out = hilbert_pack.pack(docs, path("word_bpe_49k.json"))
