@@ -48,8 +48,8 @@ def shingle_sets(texts: pa.Array, width: int = WORDS) -> list[np.ndarray]:
     table = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in names], np.uint64)
     hashed = table[codes]
     total = np.zeros(len(hashed), np.uint64)
-    for j in range(width):
-        total[: len(hashed) - j or None] += mixed(hashed[j:] + _step(j))
+    for j in range(min(width, len(hashed))):
+        total[: len(hashed) - j] += mixed(hashed[j:] + _step(j))
     total = mixed(total)
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
