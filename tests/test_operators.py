@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenledger.functions import canonical, text
-from tokenledger.operators import clusters, contracts, models, morphology, pairs, qc, splits, stats, tokenizer
+from tokenledger.operators import clusters, contracts, models, morphology, pairs, qc, ranks, splits, stats, tokenizer
 from tokenledger.plans import catalog
 from tokenledger.sources import environment, files
 
@@ -140,6 +140,16 @@ def test_proportional_sample(spark):
     assert qc.proportional_sample(df, "s", "k", 7, 5000).count() == 1000 and qc.proportional_sample(df.where("false"), "s", "k", 7).count() == 0
 
 
+def test_running_totals_over_ranges(spark):
+    rng = np.random.default_rng(7)
+    v = rng.permutation(500)
+    df = spark.createDataFrame([(int(x), int(x) % 5, "z") for x in v], "k long, v long, part string").repartition(7)
+    out = {r.k: (r.total, r.part) for r in ranks.running(df, ["k"], F.col("v"), "total").collect()}
+    assert all(out[k] == (sum(i % 5 for i in range(k + 1)), "z") for k in range(500))
+    assert {r.k: r.rank for r in ranks.numbered(df.select("k"), ["k"]).collect()} == {k: k + 1 for k in range(500)}
+    assert ranks.numbered(df.where("false"), ["k"]).count() == 0
+
+
 # text and pairs
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tokenledger.functions.text import analysis_text, nfc
+from tokenledger.operators.ranks import numbered
 
 #: The allowed values of the registry's taxonomies, and the source tiers.
 TAXONOMY = {
@@ -63,8 +63,13 @@ def with_stratum(df: DataFrame, length: Column, parts: int = 5) -> DataFrame:
 
 
 def with_ntile(df: DataFrame, length: Column, key: str, parts: int = 5) -> DataFrame:
-    """Adds stratum by rank, which splits ties by key. One ordered pass over (length, key) in a single task."""
-    return df.withColumn("stratum", F.ntile(parts).over(W.orderBy(length, F.col(key))).cast("long"))
+    """Adds stratum by rank, which splits ties by key; the first strata have one row more if n is no multiple of parts. Keys must be unique."""
+    ranked = numbered(df.select(F.col(key).alias("key_"), length.alias("length_")), ["length_", "key_"], "rank_")
+    n = ranked.count()
+    small, more = divmod(n, parts)
+    place = F.col("rank_") - 1
+    stratum = F.when(place < more * (small + 1), F.floor(place / (small + 1))).otherwise(more + F.floor((place - more * (small + 1)) / max(1, small)))
+    return df.join(ranked.select("key_", (stratum + 1).cast("long").alias("stratum")), df[key] == F.col("key_")).drop("key_")
 
 
 def tier_filter(df: DataFrame, tiers: DataFrame, allowed: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tokenledger.operators.ranks import numbered, running
+
 
 def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
@@ -19,8 +21,7 @@ def signed_rank(df: DataFrame, value: str) -> DataFrame:
     Mid-ranks come from counts per distinct magnitude and running counts over those, so rows aren't ordered.
     """
     sizes = df.where(F.col(value) != 0).groupBy(F.abs(value).alias("m")).agg(F.count("*").alias("t"), F.sum((F.col(value) > 0).cast("long")).alias("p"))
-    below = F.coalesce(F.sum("t").over(W.orderBy("m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = sizes.withColumn("mid", below + (F.col("t") + 1) / 2.0)
+    ranked = running(sizes, ["m"], F.col("t"), "upto").withColumn("mid", F.col("upto") - (F.col("t") - 1) / 2.0)
     out = ranked.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.sum(F.col("p") * F.col("mid")).alias("w_plus"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
@@ -49,7 +50,7 @@ def location_tests(df: DataFrame, value: str) -> list[dict]:
 
 def bootstrap_medians(df: DataFrame, value: str, key: str, resamples: int, seed: int) -> DataFrame:
     """Rows (resample, median): draws are MD5 of seed, resample and draw, modulo n. Takes n * resamples rows."""
-    ordered = df.select((F.row_number().over(W.orderBy(key)) - 1).cast("long").alias("i"), F.col(value).alias("v"))
+    ordered = numbered(df.select(F.col(key).alias("k"), F.col(value).alias("v")), ["k"], "nth").select((F.col("nth") - 1).alias("i"), "v")
     n = ordered.count()
     draws = df.sparkSession.range(resamples).select(F.col("id").alias("resample"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     name = F.md5(F.concat_ws(":", F.lit(str(seed)), "resample", "k"))
@@ -84,5 +85,5 @@ def benjamini_hochberg(df: DataFrame, p: str, key: str, alpha: float = 0.05) ->
 def ecdf(df: DataFrame, value: str) -> DataFrame:
     """Rows (value, n, share at or below), one per distinct value; running sums over distinct values only."""
     counts = df.groupBy(value).agg(F.count("*").alias("n"))
-    running = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return counts.select(value, "n", (F.sum("n").over(running) / F.sum("n").over(W.partitionBy())).alias("share"))
+    ranked = running(counts, [value], F.col("n"), "upto")
+    return ranked.select(value, "n", (F.col("upto") / F.lit(df.count())).alias("share"))
