@@ -126,8 +126,10 @@ def _places(texts: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (row, key, base, spans), one for each row of docs; span kinds 0 to 3 are base ones, 4 is a term.
 
-    Null text counts as empty and has no spans. Keys may be null or repeat: rows stay apart by their own
-    numbers. Other columns are ignored. Exact copies of a text count once as evidence. An entity meets only
+    A null or empty text has no spans; an empty table gives no rows. Keys may be null or repeat: rows stay apart by
+    their own numbers, and equal rows have equal spans. Patterns and places take time in proportion to a text, however
+    long. Other columns are ignored, whatever their names. docs must give the same rows in the same order each time
+    that it is read, as a table does. Exact copies of a text count once as evidence. An entity meets only
     those terms of its documents that are rare enough to tell it: n_both is at most n_entity, so a term in more
     than n_entity * (n / n_entity) ** (1 - threshold) texts never reaches the threshold. A text with many rare
     entities and many rare terms still compares each with each.

@@ -2,8 +2,9 @@
 
 A shard's sequence shrinks in rounds until no pair occurs `min_uses` times. In each round the adjacent pairs
 inside documents are counted where they overlap none of their own, every pair that outranks both pairs it
-overlaps is a candidate, and candidates that occur often enough become nonterminals. Rules keep their expansion lengths, and documents keep their
-places in the shrunken sequence, so a document or a range of it is decoded without the rest of its shard.
+overlaps is a candidate, and candidates that occur often enough become nonterminals. Rules keep their expansion
+lengths, and documents keep their places in the shrunken sequence, so a document or a range of it is decoded
+without the rest of its shard.
 
 Blob layout, little-endian: 4 bytes `RPG1`; uint32 counts: documents, rules, rounds, symbols, first
 nonterminal; then uint32 arrays: rules' left and right symbols, expansion lengths, last rule of each round,
@@ -151,7 +152,8 @@ class Shard:
 def write_shards(docs: DataFrame, path: str, end_id: int = 0, text: str = "text", key: str = "doc_id", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode whole texts, append end_id, and write shards in ascending key order (null first).
 
-    Null text is empty and has the end id only. Rows with the same key stay apart. Other columns are ignored.
+    A null or empty text has the end id only; a very long one has a shard of its own. Rows with the same key stay
+    apart, also if they are equal. An empty table gives no shards. Other columns are ignored, whatever their names.
     One range shuffle of the texts; a task holds one shard (shard_tokens, or one longer document) at a time.
     Returns the written table: pid (range), nth, before (ids before the shard in its range), n_tokens,
     keys array, blob.
