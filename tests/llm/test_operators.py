@@ -68,10 +68,13 @@ def test_encoders_equal_the_library(path, make):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("little", [0, 3, common.LITTLE])
+def test_components(spark, little):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (9, 8), (7, 7), (30, 9)], "a long, b long")
-    assert sorted(map(tuple, common.components(edges).collect())) == [(2, 1), (3, 1), (9, 8), (30, 8)]
-    assert common.components(edges.where("false")).count() == 0
+    assert sorted(map(tuple, common.components(edges, little).collect())) == [(2, 1), (3, 1), (9, 8), (30, 8)]
+    chain = spark.range(100, 160).selectExpr("id AS a", "id + 1 AS b").repartition(5, "b")
+    assert sorted(map(tuple, common.components(chain, little).collect())) == [(v, 100) for v in range(101, 161)]
+    assert common.components(edges.where("false"), little).count() == 0
 
 
 # op1

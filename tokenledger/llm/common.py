@@ -229,11 +229,23 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges that one task can join up (4 MB).
+LITTLE = 1 << 18
+
+
+def _whole_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in ("a", "b")) for batch in batches]
+    if held:
+        a, b = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["v", "root"])
+
+
+def components(edges: DataFrame, little: int = LITTLE) -> DataFrame:
     """Connected components of edges (a long, b long): rows (v, root) for every vertex that isn't its own root.
 
     Local spanning forests shrink the edges, then large-star and small-star rounds run as joins until
-    nothing changes. Each round is cut off by a written table; no vertex set reaches the driver.
+    nothing changes, or until at most `little` edges are left, which one task joins up. Each round is cut off by a
+    written table; no vertex set reaches the driver.
     """
     ship(edges.sparkSession)
     edges = edges.where("a <> b").mapInArrow(_local_forest, "a long, b long")
@@ -243,6 +255,8 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum("b")).first()
         if tuple(seen) == mark or not seen[0]:
             return now.selectExpr("a AS v", "b AS root")
+        if seen[0] <= little:
+            return now.coalesce(1).mapInArrow(_whole_forest, "v long, root long")
         mark = tuple(seen)
         both = now.unionByName(now.selectExpr("b AS a", "a AS b"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")

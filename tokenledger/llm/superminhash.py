@@ -229,7 +229,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, text: str = "text", key
         roots = stored(components(edges), "roots")
         tiles = _tiled(buckets.where(f"members > {SMALL}"), roots, sets, percent)
         if tiles is not None:
-            roots = components(edges.unionByName(tiles))
+            roots = components(roots.selectExpr("v AS a", "root AS b").unionByName(tiles))
     elif not edges.isEmpty():
         roots = components(edges)
     named = named.groupBy("k").agg(F.min("rep").alias("rep"))
