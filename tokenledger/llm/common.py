@@ -24,7 +24,7 @@ OFTEN = 10_000
 #: Parts that `salted_join` deals the rows of such a key to.
 SALTS = 64
 _SHIPPED: set[str] = set()
-BATCH, _LIMIT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH, _LIMIT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:

@@ -28,7 +28,7 @@ from .common import fresh, offsets_of, ship, text_slices, texts_of, words_of
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LANGS = 150, 4000, 64
 BITS, GRAMS, LEXICON, EPOCHS, RUN, DECAY = 17, (2, 3, 4), 300, 12, 24, 1e-2
 #: Bytes of text labelled at once (or one text), and bytes of emission scores that a worker remembers.
-SLICE, CACHE = 2 << 20, 32 << 20
+SLICE, CACHE = 1 << 20, 24 << 20
 _LETTERS = regex.compile(r"\PL+")
 
 
