@@ -15,6 +15,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from tokenledger.llm import bpe, common, context_mixing, crf_langid, exact_dedup, hilbert_pack, lpf_dedup, pca_neardup, pii_disclosure, repair, spm_bpe, superminhash
 
@@ -77,6 +78,17 @@ def test_components(spark, little):
     assert common.components(edges.where("false"), little).count() == 0
 
 
+@pytest.mark.parametrize("often", [1, 3, 10_000])
+def test_joins_that_spread_often_keys(spark, often, monkeypatch):
+    monkeypatch.setattr(common, "OFTEN", often)
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 14}" if i % 3 else None) for i in range(400)], "i long, k string")
+    facts = rows.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n")).where("k <> 'k2'").withColumn("v", F.length("k"))
+    want = sorted(map(str, rows.join(facts, "k").select("k", "i", "n", "v").collect()))
+    assert sorted(map(str, common.salted_join(rows, facts, "k", "n", ["i"]).select("k", "i", "n", "v").collect())) == want
+    assert sorted(map(str, common.spread_join(rows, facts, common.often_keys(facts, "k", "n"), "k").select("k", "i", "n", "v").collect())) == want and len(want) > 200
+    assert common.salted_join(rows.where("false"), facts.where("false"), "k", "n", ["i"]).count() == 0
+
+
 # op1
 
 
