@@ -45,7 +45,7 @@ SPARSE, SEGMENT_RATE, SEGMENT_START = 32, 0.05, (0.5, 0.5, 0.0)
 PARTS, FAN = 16, 32
 #: Words whose decisions are held at once, and while learning (more are mixed better); bytes of text split at
 #: once; tokens refined at once (or one document's).
-PART, LEARN, SLICE, TOKENS = 8_000, 20_000, 2 << 20, 1 << 19
+PART, LEARN, SLICE, TOKENS = 8_000, 20_000, 2 << 20, 1 << 18
 _SIZES = [1 << b for b in TABLE_BITS]
 _STARTS = np.concatenate([[0], np.cumsum(_SIZES)])
 
@@ -326,8 +326,8 @@ def _words(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarra
     names = whole.chunk(0).dictionary
     codes = np.concatenate([c.indices.to_numpy() for c in whole.chunks])
     order = pc.array_sort_indices(names)
-    place = np.empty(len(names), np.int64)
-    place[order.to_numpy()] = np.arange(len(names))
+    place = np.empty(len(names), np.int32)
+    place[order.to_numpy()] = np.arange(len(names), dtype=np.int32)
     return place[codes], offsets_of(np.concatenate(counts)), names.take(order), np.array(n_bytes, np.int64)
 
 
@@ -375,13 +375,15 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk: int =
         learned, every = np.bincount(which, taught, len(names)).astype(np.int64), np.bincount(which, minlength=len(names))
         del codes, train, hashes, parts
         seen = np.flatnonzero(times)
-        zeros, ones = np.zeros(_STARTS[-1]), np.zeros(_STARTS[-1])
+        both = np.zeros(2 * int(_STARTS[-1]))
+        zeros, ones = np.split(both, 2)
         known = words.take(pa.array(seen))
         for begin in range(0, len(seen), PART):
             Nodes(known[begin : begin + PART]).add(zeros, ones, times[seen[begin : begin + PART]])
         weights = learn_weights(known, times[seen], zeros.astype(np.float32), ones.astype(np.float32))
         press = zstandard.ZstdCompressor(level=3)
-        tables = [press.compress(x.tobytes()) for x in np.array_split(np.concatenate([zeros, ones]).astype("<i8"), PARTS)]
+        tables = [press.compress(x.astype("<i8").tobytes()) for x in np.array_split(both, PARTS)]
+        del both, zeros, ones
         tables.append(press.compress(np.concatenate([weights.ravel() * times.sum(), [times.sum(), (~held).sum()]]).tobytes()))
         blank = lambda n, t: pa.nulls(n, t)
         n, m, r = len(words), len(names), PARTS + 1
