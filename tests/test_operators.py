@@ -269,13 +269,17 @@ def test_morphology(spark):
 # contracts, documents, surroundings
 
 
-def test_contract_mutations(spark):
-    sound = {
+@pytest.fixture(scope="module")
+def sound():
+    return {
         "tokenizer": {"track": "A", "tokenizer_id": "o200k_base", "implementation": "tiktoken", "package_version": "0.13.0", "network_fallback_allowed": False},
         "serving": {**catalog._DOCUMENTS["serving"], "execution_permissions": {p.split(".")[1]: False for n, p, _ in contracts.RULES if p.startswith("execution_permissions")}},
         "morphology": catalog._DOCUMENTS["morphology"],
         "research": {"track_b_status": {"status": "DEFERRED_NOT_EXECUTED"}, "seed_policy": dict(contracts.SEEDS)},
     }
+
+
+def test_contract_mutations(spark, sound):
     contracts.check_documents(spark, sound, seeds=True)
     for name, path, wrong, word in [
         ("serving", "execution_permissions.hosted_api_call_allowed", True, "permission"), ("serving", "enabled_in_phase_0", 0, "different"), ("tokenizer", "network_fallback_allowed", "false", "different"),
@@ -291,12 +295,18 @@ def test_contract_mutations(spark):
             contracts.check_documents(spark, broken, seeds=True)
 
 
-def test_contract_files(spark, tmp_path):
-    with pytest.raises(FileNotFoundError):
-        contracts.check_files(spark, tmp_path, ["src/x"])
-    contracts.check_namespace({"tool": {"hatch": {"build": {"targets": {"wheel": {"packages": ["src/x"]}}}}}}, ["src/x"])
+def test_contract_files(spark, sound, tmp_path):
+    paths = {k: tmp_path / f"{k}.yaml" for k in sound}
+    for k, path in paths.items():
+        path.write_text(json.dumps(sound[k]))  # JSON is YAML
+    (tmp_path / "project.toml").write_text('[tool.hatch.build.targets.wheel]\npackages = ["src/x"]\n')
+    assert contracts.check_files(spark, paths, tmp_path / "project.toml", ["src/x"]) == {k: canonical.sha256_file(p) for k, p in paths.items()}
+    with pytest.raises(contracts.ContractValidationError):
+        contracts.check_files(spark, paths, tmp_path / "project.toml", ["src/x", "src/y"])
     with pytest.raises(contracts.ContractValidationError):
         contracts.check_namespace({"tool": {}}, ["src/x"])
+    with pytest.raises(FileNotFoundError):
+        contracts.check_files(spark, {"tokenizer": tmp_path / "none.yaml"}, tmp_path / "project.toml", [])
 
 
 def test_documents_of_all_kinds(spark, tmp_path):

@@ -44,7 +44,6 @@ SEEDS = {
     "serving": 2218276919,
     "auxiliary": 2995913794,
 }
-FILES = {name: f"configs/{name}_v1.yaml" for name in ("research", "morphology", "tokenizer", "serving")}
 
 
 def required(document: dict[str, Any], path: str) -> Any:
@@ -122,11 +121,10 @@ def check_namespace(document: dict[str, Any], packages: list[str], path: str = "
         raise ContractValidationError(f"{path}: {found!r}")
 
 
-def check_files(spark: SparkSession, root: str | Path, packages: list[str]) -> dict[str, str]:
-    """All contracts of a project folder, and its namespace; digests of the contract files if everything holds."""
-    paths = {name: Path(root) / file for name, file in FILES.items()}
+def check_files(spark: SparkSession, paths: dict[str, str | Path], project: str | Path, packages: list[str]) -> dict[str, str]:
+    """All contracts of YAML files by document name, and the namespace in a project's TOML file; digests of the contract files if everything holds."""
     check_documents(spark, {name: read_yaml(path) for name, path in paths.items()}, seeds=True)
-    check_namespace(read_toml(Path(root) / "pyproject.toml"), packages)
+    check_namespace(read_toml(project), packages)
     return {name: sha256_file(path) for name, path in paths.items()}
 
 
