@@ -9,6 +9,8 @@ Texts with two white-space characters in a row go through the pattern as a whole
 from __future__ import annotations
 
 from array import array
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from .common import gather, held, offsets_of
 
 #: Bytes of distinct chunks, their ids and the table's own cells that a worker remembers (checked before each batch);
 #: only speed depends on it.
-CACHE, CELL = 64 << 20, 160
+CACHE, CELL = 96 << 20, 160
 #: The pattern of the word-end vocabulary's Split step, as its JSON file has it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Two characters of white space (as the pattern languages see it, for RE2), or the mark that cuts use.
@@ -72,12 +74,25 @@ class Encoder:
             return self.pretoken(" " + piece)
         return self.ids(piece[1:] if piece[:1] == MARK else " " + piece)
 
-    def add(self, key: str, ids: list[int]) -> int:
-        """Append ids to the table of chunks; their row."""
-        self.held += CELL + len(key) + 4 * len(ids)
-        self.flat.extend(ids)
-        self.ends.append(len(self.flat))
-        return len(self.ends) - 2
+    def add(self, every: list[list[int]]) -> range:
+        """Append lists of ids to the table of chunks; their rows."""
+        sizes = np.fromiter(map(len, every), np.int64, len(every))
+        begin, end = len(self.ends) - 1, self.ends[-1]
+        self.flat.extend(chain.from_iterable(every))
+        self.ends.frombytes((np.cumsum(sizes) + end).tobytes())
+        return range(begin, begin + len(every))
+
+    def rows(self, keys: list[str], make: Callable[[str], list[int]]) -> list[int]:
+        """Rows of chunks in the table; `make` gives the ids of those that aren't there yet."""
+        rows = list(map(self.chunks.get, keys))
+        new = [i for i, row in enumerate(rows) if row is None]
+        if new:
+            names, known = [keys[i] for i in new], len(self.flat)
+            for i, row in zip(new, self.add([make(x) for x in names]), strict=True):
+                rows[i] = row
+            self.chunks.update(zip(names, [rows[i] for i in new], strict=True))
+            self.held += CELL * len(new) + sum(map(len, names)) + 4 * (len(self.flat) - known)
+        return rows
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row as uint32, offsets of the texts)."""
@@ -101,29 +116,19 @@ class Encoder:
         later[offsets[:-1]] = False
         inner = np.zeros(len(names), bool)
         inner[index[later]] = True
-        chunks, rows = self.chunks, np.zeros(len(names), np.int64)
-        for i in np.flatnonzero(inner).tolist():
-            name = names[i]
-            row = chunks.get(name)
-            if row is None:
-                row = chunks[name] = self.add(name, self.word(name))
-            rows[i] = row
+        rows, wanted = np.zeros(len(names), np.int64), np.flatnonzero(inner)
+        rows[wanted] = self.rows([names[i] for i in wanted.tolist()], self.word)
         codes = rows[index]
         # the first chunk of a line follows a line break, or nothing at the start of a text
         at_start = np.zeros(len(offsets) - 1, bool)
         at_start[of_text[:-1]] = True
         heads, which = np.unique(index[offsets[:-1]].astype(np.int64) * 2 + at_start, return_inverse=True)
-        head_rows = np.empty(len(heads), np.int64)
-        for i, head in enumerate(heads.tolist()):
-            key = ("\n\n" if head & 1 else "\n") + names[head >> 1]
-            row = chunks.get(key)
-            if row is None:
-                row = chunks[key] = self.add(key, self.ids(names[head >> 1] if head & 1 else key))
-            head_rows[i] = row
-        codes[offsets[:-1]] = head_rows[which]
+        # two line breaks mark the start of a text, which is no part of the chunk
+        keys = [("\n\n" if head & 1 else "\n") + names[head >> 1] for head in heads.tolist()]
+        head_rows = self.rows(keys, lambda key: self.ids(key[2:] if key[:2] == "\n\n" else key))
+        codes[offsets[:-1]] = np.array(head_rows, np.int64)[which]
         kept_flat, kept_rows = len(self.flat), len(self.ends)
-        for i in whole.tolist():
-            codes[offsets[of_text[i]]] = self.add("", self.ids(texts[i].as_py()))
+        codes[offsets[of_text[whole]]] = self.add([self.ids(texts[i].as_py()) for i in whole.tolist()])
         table, ends = np.frombuffer(self.flat, np.uint32) if self.flat else np.empty(0, np.uint32), np.array(self.ends, np.int64)
         lengths = np.diff(ends)[codes]
         ids = table[gather(ends[codes], lengths)]

@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_level
-from .common import gather, offsets_of, ship, stored, text_slices, texts_of
+from .common import gather, merged, offsets_of, ship, stored, text_slices, texts_of
 
 MAGIC = b"RPG1"
 SHARD_TOKENS = 1 << 20
 #: A rule takes 12 bytes in the blob and saves 4 at each use: from 4 uses on it pays.
 MIN_USES = 4
 _SLOTS = 1 << 20
+#: Bytes of text encoded at once: the more, the fewer of its distinct chunks are looked up again.
+SLICE = 10 << 20
 
 
 def compress(ids: np.ndarray, offsets: np.ndarray, min_uses: int = MIN_USES) -> bytes:
@@ -39,11 +41,12 @@ def compress(ids: np.ndarray, offsets: np.ndarray, min_uses: int = MIN_USES) ->
     seq, ends = ids.astype(np.uint32), offsets.astype(np.int64)
     left, right, stops, made = [], [], [], 0
     lengths = np.ones(first, np.uint32)
-    # where a pair may be frequent: one found rare stays so, but beside new symbols there are new pairs
-    live, stuck = np.ones(len(seq), bool), False
-    while True:
-        live[ends[1:][ends[1:] > 0] - 1] = False
-        place = np.flatnonzero(live)
+    # places whose pair may be frequent: one found rare stays so, but beside new symbols there are new pairs
+    inner = np.ones(len(seq), bool)
+    inner[ends[1:][ends[1:] > 0] - 1] = False
+    live, stuck = np.flatnonzero(inner), False
+    while len(live):
+        place = live
         pair = seq[place].astype(np.uint64) << np.uint64(32) | seq[place + 1]
         exact = stuck or len(place) <= 1 << 16
         mixed = pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)
@@ -51,23 +54,27 @@ def compress(ids: np.ndarray, offsets: np.ndarray, min_uses: int = MIN_USES) ->
             slot = (mixed >> np.uint64(20)).astype(np.int64)
             times = np.bincount(slot, minlength=_SLOTS)[slot]
             enough = times >= min_uses
-            live[place[~enough]] = False
             place, pair, mixed, times = place[enough], pair[enough], mixed[enough], times[enough]
+            live = place
         if not len(place):
             break
         # every second pair in a run of one symbol overlaps the one before
         fresh = np.ones(len(place), bool)
         fresh[1:] = (place[1:] != place[:-1] + 1) | (pair[1:] != pair[:-1])
-        apart = (np.arange(len(place)) - np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))) % 2 == 0
+        apart = fresh
+        if not fresh.all():
+            apart = (np.arange(len(place)) - np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))) % 2 == 0
         if exact:
             names, which = np.unique(pair, return_inverse=True)
             times = np.bincount(which[apart], minlength=len(names))[which]
-            live[place[times < min_uses]] = False
+            live = place[times >= min_uses]
         best = apart & (times >= min_uses)
         place, pair, rank = place[best], pair[best], times[best].astype(np.uint64) << np.uint64(40) | mixed[best]
-        order = np.zeros(len(seq) + 2, np.uint64)  # padded by one on both sides
-        order[place + 1] = rank
-        best = (rank > order[place]) & (rank >= order[place + 2])
+        # a candidate outranks the pairs that it overlaps
+        best = np.ones(len(place), bool)
+        beside = place[1:] == place[:-1] + 1
+        best[1:] = ~beside | (rank[1:] > rank[:-1])
+        best[:-1] &= ~beside | (rank[:-1] >= rank[1:])
         at = place[best]
         pairs, which, uses = np.unique(pair[best], return_inverse=True, return_counts=True)
         good = uses >= min_uses
@@ -79,15 +86,15 @@ def compress(ids: np.ndarray, offsets: np.ndarray, min_uses: int = MIN_USES) ->
         stuck = False
         at = at[good[which]]
         symbols = (np.cumsum(good) - 1 + first + made).astype(np.uint32)
-        seq = seq.copy()
         seq[at] = symbols[which[good[which]]]
-        keep = np.ones(len(seq), bool)
+        keep, inner = np.ones(len(seq), bool), np.zeros(len(seq), bool)
         keep[at + 1] = False
-        live[at] = True
-        live[np.maximum(at - 1, 0)] = True
-        live = live[keep]
-        ends = offsets_of(keep)[ends]
-        seq = seq[keep]
+        for some in (live, at, np.maximum(at - 1, 0)):
+            inner[some] = True
+        ends = ends - np.searchsorted(at + 1, ends)
+        seq, inner = seq[keep], inner[keep]
+        inner[ends[1:][ends[1:] > 0] - 1] = False
+        live = np.flatnonzero(inner)
         x, y = (pairs[good] >> np.uint64(32)).astype(np.uint32), (pairs[good] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         lengths = np.concatenate([lengths, lengths[x] + lengths[y]])
         left.append(x)
@@ -179,7 +186,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, text: str = "text"
             nth, before, held, keys, ids, sizes = nth + 1, before + len(every), 0, [], [], []
             return pa.RecordBatch.from_arrays(row, ["pid", "nth", "before", "n_tokens", "keys", "blob"])
 
-        for part in text_slices(batches, "text"):
+        for part in text_slices(merged(batches, "text", SLICE), "text", SLICE):
             flat, offsets = own.batch(texts_of(part))
             at = 0
             flat = np.insert(flat, offsets[1:], end_id).astype(np.uint32)
