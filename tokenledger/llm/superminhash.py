@@ -24,7 +24,7 @@ PERCENT = 80
 #: Buckets up to this size give all their pairs; larger ones go through tiles of blocks of so many shingles, exactly.
 SMALL, BLOCK = 16, 150_000
 #: Bytes of text shingled at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
