@@ -21,7 +21,7 @@ from .common import gather, held, offsets_of
 
 #: Bytes of distinct chunks, their ids and the table's own cells that a worker remembers (checked before each batch);
 #: only speed depends on it.
-CACHE, CELL = 96 << 20, 160
+CACHE, CELL = 64 << 20, 160
 #: The pattern of the word-end vocabulary's Split step, as its JSON file has it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Two characters of white space (as the pattern languages see it, for RE2), or the mark that cuts use.
@@ -45,6 +45,8 @@ class Encoder:
     Strings of special tokens inside a text are ordinary text (encode_special_tokens).
     """
 
+    cache = CACHE
+
     def __init__(self, path: str, pattern: str, unsafe: str) -> None:
         from tokenizers import Tokenizer
 
@@ -96,7 +98,7 @@ class Encoder:
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row as uint32, offsets of the texts)."""
-        if self.held > CACHE:
+        if self.held > self.cache:
             self.clear()
         texts = self.prepared(texts)
         unsafe = pc.match_substring_regex(texts, self.unsafe)
@@ -111,11 +113,8 @@ class Encoder:
         encoded = pieces.flatten().dictionary_encode()
         names = encoded.dictionary.to_pylist()
         index = encoded.indices.to_numpy(zero_copy_only=False)
-        later = np.zeros(int(np.diff(offsets).sum()), bool)
-        later[:] = True
-        later[offsets[:-1]] = False
-        inner = np.zeros(len(names), bool)
-        inner[index[later]] = True
+        # chunks that stand elsewhere than at the front of a line
+        inner = np.bincount(index, minlength=len(names)) > np.bincount(index[offsets[:-1]], minlength=len(names))
         rows, wanted = np.zeros(len(names), np.int64), np.flatnonzero(inner)
         rows[wanted] = self.rows([names[i] for i in wanted.tolist()], self.word)
         codes = rows[index]

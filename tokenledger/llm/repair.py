@@ -30,8 +30,8 @@ SHARD_TOKENS = 1 << 20
 #: A rule takes 12 bytes in the blob and saves 4 at each use: from 4 uses on it pays.
 MIN_USES = 4
 _SLOTS = 1 << 20
-#: Bytes of text encoded at once: the more, the fewer of its distinct chunks are looked up again.
-SLICE = 10 << 20
+#: Bytes of text encoded at once, and of chunks remembered: the more, the fewer are looked up or encoded again.
+SLICE, CACHE = 10 << 20, 192 << 20
 
 
 def compress(ids: np.ndarray, offsets: np.ndarray, min_uses: int = MIN_USES) -> bytes:
@@ -52,9 +52,9 @@ def compress(ids: np.ndarray, offsets: np.ndarray, min_uses: int = MIN_USES) ->
         mixed = pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)
         if not exact:  # a hashed count is never below the pair's own
             slot = (mixed >> np.uint64(20)).astype(np.int64)
-            times = np.bincount(slot, minlength=_SLOTS)[slot]
-            enough = times >= min_uses
-            place, pair, mixed, times = place[enough], pair[enough], mixed[enough], times[enough]
+            table = np.bincount(slot, minlength=_SLOTS)
+            enough = np.flatnonzero((table >= min_uses)[slot])
+            place, pair, mixed, times = place[enough], pair[enough], mixed[enough], table[slot[enough]]
             live = place
         if not len(place):
             break
@@ -171,6 +171,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, pid = byte_level(path), TaskContext.get().partitionId()
+        own.cache = CACHE
         nth = before = held = 0
         keys: list[pa.Array] = []
         ids: list[np.ndarray] = []
@@ -189,9 +190,13 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, text: str = "text"
         for part in text_slices(merged(batches, "text", SLICE), "text", SLICE):
             flat, offsets = own.batch(texts_of(part))
             at = 0
-            flat = np.insert(flat, offsets[1:], end_id).astype(np.uint32)
             counts = np.diff(offsets) + 1
             places = offsets_of(counts)
+            every = np.full(places[-1], end_id, np.uint32)
+            inner = np.ones(len(every), bool)
+            inner[places[1:] - 1] = False
+            every[inner] = flat
+            flat = every
             while at < part.num_rows:
                 to = max(at + (not held), int(np.searchsorted(places, places[at] + shard_tokens - held, "right")) - 1)
                 if to > at:
