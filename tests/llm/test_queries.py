@@ -44,7 +44,7 @@ def library(name):
 @pytest.mark.parametrize("folder", [SMALL, MIDDLE])
 def test_same_as_sql(spark, name, folder):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     want = con.execute(ORACLE_SQL[name])
     columns = sorted(c[0] for c in want.description)

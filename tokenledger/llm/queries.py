@@ -114,11 +114,22 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turn_repair import damaged, repair
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = repair(damaged(rows))[0].withColumnRenamed("conv_id", "conv")
+    every = rows.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    out = every.join(found, every.conv_id.eqNullSafe(F.col("conv")), "left")
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_crf_language_id, op2_repair_token_file, op3_lpf_substring_dedup, op4_exact_dedup, op5_pii_disclosure, op6_context_mixing, op7_pca_near_vectors, op8_spm_byte_bpe, op9_hilbert_packing, op10_superminhash,
-        op11_periodic_runs,
+        op11_periodic_runs, op12_turn_repair,
     )
 }
 
@@ -170,7 +181,34 @@ r AS (SELECT v, min(root) AS root FROM c GROUP BY v)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.root AS component_id, d.doc_id = r.root AS kept FROM documents d JOIN r ON r.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+#: CRC-32 bit by bit, edits as audit strings: of each conversation's first i turns the cheapest audit for each last role, then the ASCII-least.
+_TURNS = r"""
+WITH RECURSIVE x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS name FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_transform(range(1, length(name) + 1), lambda i: ascii(name[i])::BIGINT), lambda c, b: list_reduce(range(8), lambda v, j: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295) % 20 AS what FROM x),
+r AS (SELECT conv_id, turn, CASE what WHEN 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE what WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE what <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(concat('=' || conv_id, chr(0), role, chr(0), text))) AS i, regexp_replace(text, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS inner_ FROM r),
+f AS (SELECT *, CASE WHEN inner_ = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(inner_, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  i > 1 AND lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM o),
+k AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+l(conv_id, i, s, v) AS (SELECT conv_id, 0::BIGINT, '', {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]} FROM k
+  UNION ALL SELECT conv_id, i, s2, min({'c': c, 'a': a, 't': t}) FROM (
+    SELECT conv_id, i, CASE e WHEN 'D' THEN s ELSE CASE WHEN e = 'K' AND left(role, 1) = 's' THEN 's' ELSE up END END AS s2,
+      c + CASE e WHEN 'D' THEN 3 ELSE CASE e WHEN 'R' THEN 2 ELSE 0 END + CASE fault WHEN 'truncated' THEN 1 ELSE 0 END END AS c, a || e AS a,
+      CASE e WHEN 'D' THEN t WHEN 'K' THEN list_append(t, role || ':' || text) ELSE list_append(t, CASE up WHEN 'a' THEN 'assistant:' ELSE 'user:' END || text) END AS t
+    FROM (SELECT *, CASE s WHEN 'u' THEN 'a' ELSE 'u' END AS up, unnest(['D', 'K', 'R']) AS e FROM (
+      SELECT conv_id, i, role, text, fault, unnest([s0, s1, s2]) AS s, unnest([c, c + 2, c + 4]) AS c, unnest([a, a || 'I', a || 'II']) AS a, unnest([t, list_append(t, n1), list_append(list_append(t, n1), n2)]) AS t FROM (
+        SELECT f.conv_id, f.i, role, text, fault, s AS s0, CASE s WHEN 'u' THEN 'a' ELSE 'u' END AS s1, CASE s WHEN 'u' THEN 'u' ELSE 'a' END AS s2, CASE s WHEN 'u' THEN 'assistant:' ELSE 'user:' END AS n1, CASE s WHEN 'u' THEN 'user:' ELSE 'assistant:' END AS n2, v.c AS c, v.a AS a, v.t AS t
+        FROM l JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i + 1)))
+    WHERE e = 'D' OR fault NOT IN ('blank', 'duplicate') AND (e = 'R' OR left(role, 1) = up OR left(role, 1) = 's' AND s = '')) GROUP BY conv_id, i, s2),
+z AS (SELECT l.conv_id, min({'c': v.c + CASE s WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END, 'a': v.a || CASE s WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END, 't': list_concat(v.t, CASE s WHEN 's' THEN ['user:', 'assistant:'] WHEN 'u' THEN ['assistant:'] ELSE [] END)}) AS v
+  FROM l JOIN k ON k.conv_id IS NOT DISTINCT FROM l.conv_id AND k.n = l.i GROUP BY l.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(z.v.c, 0) AS cost,
+  coalesce(z.v.a, '') AS audit, sha256(coalesce(array_to_string(z.v.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_turn_repair": _TURNS,
     "op5_pii_disclosure": _SPANS,
     "op7_pca_near_vectors": _VECTORS,
     "op10_superminhash": _SHINGLES,
