@@ -125,11 +125,17 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multi_index import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_crf_language_id, op2_repair_token_file, op3_lpf_substring_dedup, op4_exact_dedup, op5_pii_disclosure, op6_context_mixing, op7_pca_near_vectors, op8_spm_byte_bpe, op9_hilbert_packing, op10_superminhash,
-        op11_periodic_runs, op12_turn_repair,
+        op11_periodic_runs, op12_turn_repair, op13_multi_index,
     )
 }
 
@@ -207,7 +213,16 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
+#: Products are added up from the first component to the last, as the operator does.
+_NEAREST = """
+WITH e AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+p AS (SELECT q.vec_id AS query_id, e.vec_id, list_reduce(list_transform(range(1, len(e.e) + 1), lambda i: q.e[i] * e.e[i]), lambda a, b: a + b) AS score FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_multi_index": _NEAREST,
     "op12_turn_repair": _TURNS,
     "op5_pii_disclosure": _SPANS,
     "op7_pca_near_vectors": _VECTORS,
