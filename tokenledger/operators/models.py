@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenledger.operators.clusters import cut
+from tokenledger.operators.factors import dummies, identifiability
+
 #: Limits of variance inflation, quantiles, and groups that a random intercept needs.
 WARNING, SEVERE = 5.0, 10.0
 QUANTILES = {"reference": 0.50, "upper_tail": 0.90, "sensitivity": 0.95}
@@ -19,76 +23,128 @@ def _complete(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.dropna(subset=columns)
 
 
-def _sums(columns: list[Column], weight: Column | None = None) -> list[Column]:
-    """Sums of all products of two columns, named by their places."""
-    w = weight if weight is not None else F.lit(1.0)
-    return [F.sum(w * a * b).alias(f"s{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
+def _of(columns: list[str]) -> list[Column]:
+    return [F.col(c).cast("double") for c in columns]
+
+
+class Gram(NamedTuple):
+    """Rows, means, and sums of products of deviations from the means; two of them add up to that of both parts."""
+
+    n: float
+    mean: np.ndarray
+    products: np.ndarray
+
+    def __add__(self, other: Gram) -> Gram:
+        n = self.n + other.n
+        if not n:
+            return self
+        apart = other.mean - self.mean
+        return Gram(n, self.mean + apart * (other.n / n), self.products + other.products + np.outer(apart, apart) * (self.n * other.n / n))
 
+    def line(self, penalty: float = 0.0) -> tuple[np.ndarray, float]:
+        """(intercept and slopes, residual sum of squares) of the last column on the others, `penalty` times their variances added."""
+        xx, xy = self.products[:-1, :-1], self.products[:-1, -1]
+        slopes = np.linalg.lstsq(xx + penalty * np.diag(np.diag(xx)), xy, rcond=None)[0] if len(xy) else np.empty(0)
+        return np.concatenate([[self.mean[-1] - slopes @ self.mean[:-1]], slopes]), float(self.products[-1, -1] - 2 * slopes @ xy + slopes @ xx @ slopes)
 
-def _matrix(row, k: int) -> np.ndarray:
-    return np.array([[float(row[f"s{min(i, j)}_{max(i, j)}"] or 0) for j in range(k)] for i in range(k)])
+    def errors(self, beta: np.ndarray) -> float:
+        """Sum of squared residuals of a line on these rows."""
+        away = self.mean[-1] - beta[0] - beta[1:] @ self.mean[:-1]
+        slopes = np.append(-beta[1:], 1.0)
+        return float(slopes @ self.products @ slopes + self.n * away * away)
 
 
-def _columns(features: list[str], target: str) -> list[Column]:
-    return [F.lit(1.0), *[F.col(c).cast("double") for c in (*features, target)]]
+def _parts(columns: list[Column]) -> list[Column]:
+    """Aggregates of a Gram: one pass, and stable where means are large against deviations."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    return [F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[(F.covar_pop(columns[i], columns[j]) * F.count("*")).alias(f"s{i}_{j}") for i, j in pairs]]
 
 
-def moments(df: DataFrame, features: list[str], target: str, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, float, float, int]:
-    """X'WX, X'Wy, y'Wy, sum of Wy and rows, with an intercept first; rows with a null are left out."""
-    columns = _columns(features, target)
-    r = _complete(df, [*features, target]).agg(F.count("*").alias("n"), *_sums(columns, weight)).first()
-    full = _matrix(r, len(columns))
-    return full[:-1, :-1], full[:-1, -1], float(full[-1, -1]), float(full[0, -1]), r["n"]
+def _gram(row, k: int, first: int = 0) -> Gram:
+    square = [[float(row[f"s{min(i, j)}_{max(i, j)}"] or 0) for j in range(first, k)] for i in range(first, k)]
+    return Gram(float(row["n"] or 0), np.array([float(row[f"m{i}"] or 0) for i in range(first, k)]), np.array(square).reshape(k - first, k - first))
 
 
-def within_moments(df: DataFrame, features: list[str], target: str, group: str) -> tuple[np.ndarray, np.ndarray, float, int, int]:
-    """X'X, X'y, y'y of deviations from the group's means (fixed effects), rows and groups. One aggregate per group, then one over groups."""
-    columns = _columns(features, target)
+def gram(df: DataFrame, columns: list[str]) -> Gram:
+    """The Gram of all rows without a null in these columns."""
+    return _gram(_complete(df, columns).agg(*_parts(_of(columns))).first(), len(columns))
+
+
+def grams(df: DataFrame, columns: list[str], by: str) -> dict:
+    """The same for each value of `by` (folds and the like: the driver holds one row for each)."""
+    return {r[by]: _gram(r, len(columns)) for r in _complete(df, [*columns, by]).groupBy(by).agg(*_parts(_of(columns))).collect()}
+
+
+def weighted_gram(df: DataFrame, columns: list[str], weight: Column, center: np.ndarray) -> Gram:
+    """The Gram of weighted rows, summed as deviations from `center`, which should be near the means."""
+    shifted = [c - F.lit(float(m)) for c, m in zip(_of(columns), center, strict=True)]
     k = len(columns)
-    per = _complete(df, [*features, target, group]).groupBy(group).agg(F.count("*").alias("n"), *_sums(columns))
-    parts = [F.sum(F.col(f"s{i}_{j}") - F.col(f"s0_{i}") * F.col(f"s0_{j}") / F.col("n")).alias(f"s{i}_{j}") for i in range(1, k) for j in range(i, k)]
-    r = per.agg(F.sum("n").alias("n"), F.count("*").alias("groups"), *parts).first()
-    full = np.array([[float(r[f"s{min(i, j)}_{max(i, j)}"] or 0) for j in range(1, k)] for i in range(1, k)])
-    return full[:-1, :-1], full[:-1, -1], float(full[-1, -1]), int(r["n"] or 0), r["groups"]
+    sums = [F.sum(weight).alias("n"), *[F.sum(weight * c).alias(f"m{i}") for i, c in enumerate(shifted)]]
+    sums += [F.sum(weight * shifted[i] * shifted[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
+    raw = _gram(df.agg(*sums).first(), k)
+    mean = raw.mean / raw.n if raw.n else raw.mean
+    return Gram(raw.n, center + mean, raw.products - np.outer(mean, mean) * raw.n)
 
 
-def least_squares(df: DataFrame, features: list[str], target: str, weight: Column | None = None) -> dict:
-    xx, xy, yy, sy, n = moments(df, features, target, weight)
-    beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
-    rss, tss = yy - 2 * beta @ xy + beta @ xx @ beta, yy - sy * sy / xx[0, 0] if xx[0, 0] else 0.0
-    return {"beta": beta, "rss": float(rss), "r2": float(1 - rss / tss) if tss > 0 else float("nan"), "n": n}
+def within_gram(df: DataFrame, columns: list[str], group: str) -> tuple[Gram, int]:
+    """(products of deviations from the group's means, groups): fixed effects. One aggregate per group, then one over groups."""
+    k = len(columns)
+    per = _complete(df, [*columns, group]).groupBy(group).agg(*_parts(_of(columns)))
+    sums = [F.sum(f"s{i}_{j}").alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
+    r = per.agg(F.sum("n").alias("n"), F.count("*").alias("groups"), *[F.lit(0.0).alias(f"m{i}") for i in range(k)], *sums).first()
+    return _gram(r, k), r["groups"]
+
+
+def _fit(g: Gram) -> dict:
+    beta, rss = g.line()
+    total = float(g.products[-1, -1])
+    return {"beta": beta, "rss": rss, "r2": 1 - rss / total if total > 0 else float("nan"), "n": int(g.n)}
+
+
+def _some(g: Gram, k: int) -> Gram:
+    """The Gram of the first k columns and the last."""
+    pick = [*range(k), len(g.mean) - 1]
+    return Gram(g.n, g.mean[pick], g.products[np.ix_(pick, pick)])
+
+
+def least_squares(df: DataFrame, features: list[str], target: str) -> dict:
+    return _fit(gram(df, [*features, target]))
 
 
 def fixed_effects(df: DataFrame, features: list[str], target: str, group: str) -> dict:
     """Least squares with an intercept for each group; r2 is that of the deviations from the groups' means."""
-    xx, xy, yy, n, groups = within_moments(df, features, target, group)
-    beta = np.linalg.lstsq(xx, xy, rcond=None)[0] if features else np.empty(0)
-    rss = yy - (2 * beta @ xy - beta @ xx @ beta if features else 0.0)
-    return {"beta": beta, "rss": float(rss), "r2": float(1 - rss / yy) if yy > 0 else float("nan"), "n": n, "groups": groups}
+    g, groups = within_gram(df, [*features, target], group)
+    fit = _fit(g)
+    return {**fit, "beta": fit["beta"][1:], "groups": groups}
 
 
 def nested_models(df: DataFrame, blocks: dict[str, list[str]], target: str, group: str) -> list[dict]:
-    """One row for each model (M0, M1, ...), each with its block's features and all those before it, on the rows that all of them can use."""
+    """One row for each model (M0, M1, ...), each with its block's features and all those before it, on the rows that all of them can use.
+
+    One pass: the Gram of the last model holds those of the others.
+    """
     every = [f for own in blocks.values() for f in own]
-    rows, out, used, before = _complete(df, [*every, target, group]), [], [], None
+    g, groups = within_gram(df, [*every, target], group)
+    out, used, before = [], 0, None
     for name, own in blocks.items():
-        used = [*used, *own]
-        fit = fixed_effects(rows, used, target, group)
-        left = fit["n"] - fit["groups"] - len(used)
+        used += len(own)
+        fit = _fit(_some(g, used))
+        left = fit["n"] - groups - used
         gain = fit["r2"] - before["r2"] if before else None
         f = (before["rss"] - fit["rss"]) / len(own) / (fit["rss"] / left) if before and left > 0 and fit["rss"] > 0 else None
-        out.append({"model": name, "features": len(used), "n": fit["n"], "groups": fit["groups"], "r2": fit["r2"], "delta_r2": gain, "f": f, "p_value": f_tail(f, len(own), left) if f is not None else None})
+        out.append({"model": name, "features": used, "n": fit["n"], "groups": groups, "r2": fit["r2"], "delta_r2": gain, "f": f, "p_value": f_tail(f, len(own), left) if f is not None else None})
         before = fit
     return out
 
 
 def block_increment(df: DataFrame, small: list[str], large: list[str], target: str) -> dict:
-    """Gain of the larger feature set on the rows that both can use: difference of R2, F and its tail."""
-    rows = _complete(df, [*large, target])
-    a, b = least_squares(rows, small, target), least_squares(rows, large, target)
-    extra, left = len(large) - len(small), b["n"] - len(large) - 1
-    f = (a["rss"] - b["rss"]) / extra / (b["rss"] / left)
-    return {"delta_r2": b["r2"] - a["r2"], "f": f, "p_value": f_tail(f, extra, left), "n": b["n"]}
+    """Gain of the larger feature set (the smaller one and more) on the rows that it can use: difference of R2, F and its tail. One pass."""
+    more = [f for f in large if f not in small]
+    g = gram(df, [*small, *more, target])
+    a, b = _fit(_some(g, len(small))), _fit(g)
+    left = b["n"] - len(large) - 1
+    f = (a["rss"] - b["rss"]) / len(more) / (b["rss"] / left)
+    return {"delta_r2": b["r2"] - a["r2"], "f": f, "p_value": f_tail(f, len(more), left), "n": b["n"]}
 
 
 def f_tail(f: float, d1: int, d2: int) -> float:
@@ -120,10 +176,7 @@ def _beta(a: float, b: float, x: float) -> float:
 
 def inflation(df: DataFrame, features: list[str]) -> list[dict]:
     """Rows (feature, vif, warning, severe): the diagonal of the inverse correlation matrix. Nothing is dropped for it."""
-    columns = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
-    full = _matrix(_complete(df, features).agg(*_sums(columns)).first(), len(columns))
-    mean = full[0, 1:] / full[0, 0]
-    cov = full[1:, 1:] / full[0, 0] - np.outer(mean, mean)
+    cov = gram(df, features).products
     spread = np.sqrt(np.diag(cov))
     values = np.diag(np.linalg.pinv(cov / np.outer(spread, spread)))
     return [{"feature": f, "vif": float(v), "warning": bool(v > WARNING), "severe": bool(v > SEVERE)} for f, v in zip(features, values, strict=True)]
@@ -134,11 +187,14 @@ def _line(fit: dict, features: list[str]) -> Column:
 
 
 def reweighted(df: DataFrame, features: list[str], target: str, weights: Callable[[Column, DataFrame], Column], rounds: int = 25, tolerance: float = 1e-8) -> dict:
-    """Iterated weighted least squares; each round is one aggregate over the rows (two, if the weights need a scale)."""
-    rows = _complete(df, [*features, target])
-    fit = least_squares(rows, features, target)
+    """Iterated weighted least squares on rows that are written once; each round is one aggregate over them (two, if the weights need a scale)."""
+    columns = [*features, target]
+    rows = cut(_complete(df, columns).select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    start = gram(rows, columns)
+    fit = _fit(start)
     for step in range(rounds):
-        new = least_squares(rows, features, target, weights(F.col(target) - _line(fit, features), rows))
+        new = _fit(weighted_gram(rows, columns, weights(F.col(target) - _line(fit, features), rows), start.mean))
+        new["n"] = fit["n"]
         moved = float(np.abs(new["beta"] - fit["beta"]).max())
         fit = new
         if moved < tolerance:
@@ -166,23 +222,39 @@ def quantile_regression(df: DataFrame, features: list[str], target: str, q: floa
     return reweighted(df, features, target, weights, rounds=100, tolerance=1e-6)
 
 
-def random_intercept(df: DataFrame, features: list[str], target: str, group: str) -> dict:
-    """Linear model with a normal intercept for each group, by maximum likelihood over the groups' sums.
+def random_intercept(df: DataFrame, features: list[str], target: str, group: str, fixed: tuple[str, ...] = ()) -> dict:
+    """Linear model with a normal intercept for each group, by maximum likelihood over the groups' sums; factors in `fixed` have an effect for each level.
 
     The driver holds one row of sums for each group (sources, not documents) and searches the ratio of the two
-    variances. `usable` needs LEAST_GROUPS groups, a search that converged, and a ratio that isn't at the border.
+    variances. `usable` needs LEAST_GROUPS groups, an identified model (features that don't depend on each other, and
+    groups that every fixed factor's levels connect), a search that converged, and a ratio that isn't at the border.
     """
-    columns = _columns(features, target)
-    k = len(columns)
-    per = _complete(df, [*features, target, group]).groupBy(group).agg(F.count("*").alias("n"), *_sums(columns)).collect()
-    sizes, full = np.array([r["n"] for r in per], float), np.array([_matrix(r, k) for r in per])
-    n = sizes.sum()
+    rows = _complete(df, [*features, target, group, *fixed])
+    connected = all(identifiability(rows, group, f)["identified"] for f in fixed)
+    for f in fixed:
+        rows, names = dummies(rows, f)
+        features = [*features, *names]
+    columns = [*features, target]
+    k = len(columns) + 1
+    found = rows.groupBy(group).agg(*_parts(_of(columns))).collect()
+    per = [_gram(r, k - 1) for r in found]
+    whole = sum(per[1:], per[0]) if per else Gram(0, np.zeros(k - 1), np.zeros((k - 1, k - 1)))
+    sizes = np.array([g.n for g in per])
+    # sums of products of each group about the means of all, a one first
+    full = np.zeros((len(per), k, k))
+    for i, g in enumerate(per):
+        away = np.append(1.0, g.mean - whole.mean)
+        full[i] = np.outer(away, away) * g.n
+        full[i, 1:, 1:] += g.products
+    n = whole.n
+    scale = np.sqrt(np.maximum(np.diag(whole.products)[:-1], 1e-300))
+    identified = connected and (not len(scale) or np.linalg.matrix_rank(whole.products[:-1, :-1] / np.outer(scale, scale), tol=1e-10) == len(scale))
 
     def solve(ratio: float) -> tuple[float, np.ndarray, float]:
         shrink = ratio / (1 + ratio * sizes)
-        whole = full.sum(0) - np.einsum("g,gi,gj->ij", shrink, full[:, 0], full[:, 0])
-        beta = np.linalg.lstsq(whole[:-1, :-1], whole[:-1, -1], rcond=None)[0]
-        noise = max((whole[-1, -1] - beta @ whole[:-1, -1]) / n, 1e-300)
+        sums = full.sum(0) - np.einsum("g,gi,gj->ij", shrink, full[:, 0], full[:, 0])
+        beta = np.linalg.lstsq(sums[:-1, :-1], sums[:-1, -1], rcond=None)[0]
+        noise = max((sums[-1, -1] - beta @ sums[:-1, -1]) / n, 1e-300)
         return -0.5 * (n * math.log(2 * math.pi * noise) + np.log1p(ratio * sizes).sum() + n), beta, noise
 
     low, high, golden = -14.0, 8.0, (math.sqrt(5) - 1) / 2
@@ -205,7 +277,9 @@ def random_intercept(df: DataFrame, features: list[str], target: str, group: str
     converged, singular = high - low < 1e-6, plain[0] >= value - 1e-9
     if singular:
         value, beta, noise, ratio = *plain, 0.0
+    beta = np.append(whole.mean[-1] + beta[0] - beta[1:] @ whole.mean[:-1], beta[1:])
     return {
         "beta": beta, "residual_variance": float(noise), "group_variance": float(ratio * noise), "log_likelihood": float(value), "n": int(n), "groups": len(per),
-        "converged": bool(converged), "singular": bool(singular), "usable": bool(len(per) >= LEAST_GROUPS and converged and not singular),
+        "converged": bool(converged), "singular": bool(singular), "identified": bool(identified),
+        "usable": bool(len(per) >= LEAST_GROUPS and identified and converged and not singular),
     }

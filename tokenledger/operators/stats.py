@@ -4,17 +4,26 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenledger.operators.ranks import numbered, running
+from tokenledger.operators.ranks import falling, numbered, running
 
 
 def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def two_sided(z: Column) -> Column:
+    """P(a standard normal lies farther from 0 than z), without leaving the JVM: by Horner's scheme near 0, by the continued fraction beyond."""
+    x = F.abs(z) / F.lit(math.sqrt(2))
+    steps = F.array(*[F.lit(float(k)) for k in range(60, 0, -1)])
+    near = F.aggregate(steps, F.lit(1.0), lambda s, k: 1.0 + 2.0 * x * x / (2.0 * k + 1.0) * s)
+    far = F.aggregate(steps, F.lit(0.0), lambda t, k: k / 2.0 / (x + t))
+    scale = F.exp(-x * x) / F.lit(math.sqrt(math.pi))
+    return F.when(x < 2, 1.0 - 2.0 * scale * x * near).otherwise(scale / (x + far))
+
+
 def signed_rank(df: DataFrame, value: str) -> DataFrame:
     """One row: n (zeros left out), w_plus, z by the normal approximation with tie correction.
 
@@ -73,13 +82,17 @@ def quantiles(df: DataFrame, value: str, points: list[float], by: str | None = N
     return rows.select(*([by] if by else []), F.explode(F.arrays_zip(names.alias("point"), F.col("q").alias("quantile"))).alias("x")).select(*([by] if by else []), "x.point", "x.quantile")
 
 
-def benjamini_hochberg(df: DataFrame, p: str, key: str, alpha: float = 0.05) -> DataFrame:
-    """Adds rank, q and rejected (q of at most alpha) for one family of secondary hypotheses, a small table. q is the running minimum, from the largest p, of p * m / rank."""
-    m = df.count()
-    rank = F.row_number().over(W.orderBy(p, key))
-    back = W.orderBy(F.desc(p), F.desc(key)).rowsBetween(W.unboundedPreceding, 0)
-    out = df.withColumn("rank", rank.cast("long")).withColumn("q", F.min(F.least(F.lit(1.0), F.col(p) * m / F.col("rank"))).over(back))
-    return out.withColumn("rejected", F.col("q") <= alpha)
+def benjamini_hochberg(df: DataFrame, p: str, key: str, alpha: float = 0.05, family: str | None = None) -> DataFrame:
+    """Adds rank, q and rejected (q of at most alpha) within each family of secondary hypotheses. q is the running minimum, from the largest p, of p * m / rank.
+
+    Rows with a null p are no hypotheses and are left out; a null family is one. Families may be many and of any size:
+    no task holds a whole one. Keys must be unique within a family.
+    """
+    by = [family] if family else ["family_"]
+    rows = df.where(F.col(p).isNotNull())
+    rows = rows if family else rows.withColumn("family_", F.lit(0))
+    out = falling(rows, by, [p, key], F.least(F.lit(1.0), F.col(p) * F.col("size_") / F.col("rank")), "rank", "size_", "q")
+    return out.drop("size_", "family_").withColumn("rejected", F.col("q") <= alpha)
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger.functions import canonical, text
-from tokenledger.operators import clusters, contracts, models, morphology, outcomes, pairs, qc, splits, stats, terms, tokenizer
+from tokenledger.operators import clusters, contracts, effects, factors, models, morphology, outcomes, pairs, qc, splits, stats, terms, tokenizer, tuning
 from tokenledger.sources import environment, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,15 +304,6 @@ def bootstrap_median_ci(spark, d):
     return found.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
-@query("""WITH p AS (SELECT source, count(*) FILTER (lang = 'en')::DOUBLE / count(*) AS p FROM documents GROUP BY source),
-r AS (SELECT *, row_number() OVER (ORDER BY p, source) AS rank, count(*) OVER () AS m FROM p),
-q AS (SELECT source, rank, min(least(1.0::DOUBLE, p * m / rank)) OVER (ORDER BY p DESC, source DESC ROWS UNBOUNDED PRECEDING) AS q FROM r)
-SELECT source, rank, round(q, 9) AS q, q <= 0.05 AS rejected FROM q""")
-def bh_fdr(spark, d):
-    p = table(spark, d, "documents").groupBy("source").agg((F.count_if(F.col("lang") == "en").cast("double") / F.count("*")).alias("p"))
-    return stats.benjamini_hochberg(p, "p", "source").select("source", "rank", F.round("q", 9).alias("q"), "rejected")
-
-
 _POINTS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
@@ -424,7 +415,7 @@ def morphology_ratios(spark, d):
 
 # models: regressions on documents, sources as groups
 
-_MODEL = """WITH t AS (SELECT source, ln(1 + len(regexp_extract_all(text, '{p}')))::DOUBLE AS y, length(text) / 1000.0::DOUBLE AS n_points, len(regexp_extract_all(text, '\\s')) / length(text)::DOUBLE AS space_density,
+_MODEL = """WITH t AS (SELECT doc_id, lang, source, sha256(text) AS digest, ln(1 + len(regexp_extract_all(text, '{p}')))::DOUBLE AS y, length(text) / 1000.0::DOUBLE AS n_points, len(regexp_extract_all(text, '\\s')) / length(text)::DOUBLE AS space_density,
   len(regexp_extract_all(text, '[0-9]')) / length(text)::DOUBLE AS digit_ratio FROM documents WHERE length(text) > 0)""".format(p=_TOKENS)
 _BLOCKS = {"M0": ["n_points"], "M1": ["space_density", "digit_ratio"]}
 
@@ -433,7 +424,30 @@ def _modelled(spark, d):
     t, n = F.col("text"), F.char_length("text")
     share = lambda p: text.count_of(t, p).cast("double") / n
     tokens = F.regexp_count(t, F.lit("(?U)" + outcomes.PLAIN_TOKENS))
-    return table(spark, d, "documents").where(n > 0).select("source", F.log1p(tokens).alias("y"), (n / 1000.0).alias("n_points"), share(r"\s").alias("space_density"), share("[0-9]").alias("digit_ratio"))
+    measured = [F.log1p(tokens).alias("y"), (n / 1000.0).alias("n_points"), share(r"\s").alias("space_density"), share("[0-9]").alias("digit_ratio")]
+    return table(spark, d, "documents").where(n > 0).select("doc_id", "lang", "source", F.sha2(t, 256).alias("digest"), *measured)
+
+
+def _swept(rows: str, columns: list[str], pivots: int) -> str:
+    """CTEs q0, q1, ... over `rows`: sums of products of the columns' deviations, then swept on one of the first `pivots` columns after the other.
+
+    After that, the last column's entries hold the coefficients and the residual sum of squares, the diagonal the
+    negated inverse. A column without variance of its own is passed over.
+    """
+    k = len(columns)
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    name = lambda i, j: f"s{min(i, j)}_{max(i, j)}"
+    parts = ["q0 AS (SELECT count(*) AS n, " + ", ".join(f"covar_pop({columns[i]}, {columns[j]}) * count(*) AS s{i}_{j}" for i, j in cells) + f" FROM {rows})"]
+    for p in range(pivots):
+        d = name(p, p)
+
+        def cell(i: int, j: int, p=p, d=d) -> str:
+            if i == p and j == p:
+                return f"-1 / {d}"
+            return f"{name(i, j)} / {d}" if p in (i, j) else f"{name(i, j)} - {name(i, p)} * {name(p, j)} / {d}"
+
+        parts.append(f"q{p + 1} AS (SELECT n, " + ", ".join(f"CASE WHEN {d} > 1e-9 THEN {cell(i, j)} ELSE {name(i, j)} END AS s{i}_{j}" for i, j in cells) + f" FROM q{p})")
+    return ", ".join(parts)
 
 
 @query(_MODEL + """, w AS (SELECT y - avg(y) OVER g AS y, n_points - avg(n_points) OVER g AS x FROM t WINDOW g AS (PARTITION BY source))
@@ -443,6 +457,104 @@ def fixed_effects_m0(spark, d):
     return spark.createDataFrame([(fit["model"], fit["features"], fit["n"], round(fit["r2"], 6))], "model string, features long, n long, r2 double")
 
 
+_FEATURES = ["n_points", "space_density", "digit_ratio"]
+_LANGS = ["de", "es", "fr"]
+#: Deviations from the source's means of columns for three of the four languages, the features and the target, then swept on all but the last.
+_CROSSED = _MODEL + ", u AS (SELECT *, " + ", ".join(f"(lang = '{x}')::DOUBLE AS lang_{x}" for x in _LANGS) + " FROM t WHERE lang IS NOT NULL AND source IS NOT NULL), w AS (SELECT " + ", ".join(
+    f"{c} - avg({c}) OVER (PARTITION BY source) AS {c}" for c in [*(f"lang_{x}" for x in _LANGS), *_FEATURES, "y"]) + " FROM u), " + _swept("w", [*(f"lang_{x}" for x in _LANGS), *_FEATURES, "y"], 6) + """,
+l AS (SELECT n - count(DISTINCT lang) - count(DISTINCT source) + 1 - 3 AS left_ FROM u, q0 GROUP BY n)
+SELECT unnest(['n_points', 'space_density', 'digit_ratio']) AS feature, unnest([q6.s3_6, q6.s4_6, q6.s5_6]).round(6) AS coefficient, unnest([sqrt(-q6.s3_3 * q6.s6_6 / left_), sqrt(-q6.s4_4 * q6.s6_6 / left_), sqrt(-q6.s5_5 * q6.s6_6 / left_)]).round(6) AS std_error,
+  round(1 - q6.s6_6 / q3.s6_6, 6) AS r2, left_ AS degrees FROM q3, q6, l"""
+
+
+@query(_CROSSED)
+def crossed_effects(spark, d):
+    """M0 with crossed factors: effects of languages and of sources, both absorbed."""
+    fit = effects.crossed_effects(_modelled(spark, d), _FEATURES, "y", ["lang", "source"])
+    rows = [(f, round(float(b), 6), round(float(e), 6), round(fit["r2"], 6), fit["left"]) for f, b, e in zip(_FEATURES, fit["beta"], fit["errors"], strict=True)]
+    return spark.createDataFrame(rows, "feature string, coefficient double, std_error double, r2 double, degrees long")
+
+
+_GRAPHS = [("documents", "lang", "source"), ("documents", "source", "digest"), ("conversations", "conv_id", "role"), ("conversations", "conv_id", "digest")]
+
+
+def _graph_sql() -> str:
+    edges = " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{a}' AS fa, '{b}' AS fb, 'a:' || {a} AS a, 'b:' || {b} AS b FROM (SELECT *, sha256(text) AS digest FROM {t}) WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for t, a, b in _GRAPHS)
+    return f"""WITH RECURSIVE e AS ({edges}), u AS (SELECT t, fa, fb, a AS v, b AS w FROM e UNION ALL SELECT t, fa, fb, b, a FROM e),
+c(t, fa, fb, v, root) AS (SELECT DISTINCT t, fa, fb, v, v FROM u UNION SELECT u.t, u.fa, u.fb, u.w, c.root FROM c JOIN u ON u.t = c.t AND u.fa = c.fa AND u.fb = c.fb AND u.v = c.v WHERE c.root < u.w),
+r AS (SELECT t, fa, fb, v, min(root) AS root FROM c GROUP BY ALL)
+SELECT t AS "table", fa AS factor_a, fb AS factor_b, count(*) FILTER (starts_with(v, 'a:')) AS levels_a, count(*) FILTER (starts_with(v, 'b:')) AS levels_b, count(DISTINCT root) AS components, count(DISTINCT root) - 1 AS lost, count(DISTINCT root) = 1 AS identified FROM r GROUP BY t, fa, fb"""
+
+
+@query(_graph_sql())
+def identifiability_gate(spark, d):
+    """Which pairs of factors have effects that can be told apart: components of the graph of their levels."""
+    rows = []
+    for name, a, b in _GRAPHS:
+        found = factors.identifiability(table(spark, d, name).withColumn("digest", F.sha2("text", 256)), a, b)
+        rows.append((name, a, b, *(found[k] for k in ("levels_a", "levels_b", "components", "lost", "identified"))))
+    return spark.createDataFrame(rows, "table string, factor_a string, factor_b string, levels_a long, levels_b long, components long, lost long, identified boolean")
+
+
+@query(_MODEL + """, m AS (SELECT avg(y) AS my, avg(n_points) AS mx, covar_pop(y, n_points) / var_pop(n_points) AS b FROM t WHERE source IS NOT NULL),
+g AS (SELECT source, sum((y - my) - b * (n_points - mx)) AS u0, sum(((y - my) - b * (n_points - mx)) * (n_points - mx)) AS u1 FROM t, m WHERE source IS NOT NULL GROUP BY source),
+v AS (SELECT count(*)::DOUBLE / (count(*) - 1) AS c, sum(u0 * u0) AS s00, sum(u0 * u1) AS s01, sum(u1 * u1) AS s11 FROM g), n AS (SELECT count(*)::DOUBLE AS n, var_pop(n_points) * count(*) AS sxx FROM t WHERE source IS NOT NULL),
+k AS (SELECT unnest(['intercept', 'n_points']) AS feature, unnest([my - b * mx, b]) AS coefficient, unnest([sqrt(c * (s00 / (n * n) - 2 * mx * s01 / (n * sxx) + mx * mx * s11 / (sxx * sxx))), sqrt(c * s11) / sxx]) AS std_error FROM m, v, n)
+SELECT feature, round(coefficient, 6) AS coefficient, round(std_error, 6) AS std_error, round(coefficient - 1.959963984540054 * std_error, 6) AS low, round(coefficient + 1.959963984540054 * std_error, 6) AS high FROM k""")
+def coefficient_intervals(spark, d):
+    """Coefficients with errors that hold when a source's documents depend on each other."""
+    rows = effects.coefficients(_modelled(spark, d), ["n_points"], "y", "source")
+    return spark.createDataFrame([(r["feature"], *(round(r[k], 6) for k in ("coefficient", "std_error", "low", "high"))) for r in rows], "feature string, coefficient double, std_error double, low double, high double")
+
+
+_UNIT = "('0x' || substr(sha256(concat(doc_id, ':', {seed})), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(_MODEL + f""", r AS (SELECT n_points AS x, y, floor({_UNIT.format(seed=contracts.SEEDS['model_tuning'])} * 5) AS fold FROM t WHERE NOT {_UNIT.format(seed=contracts.SEEDS['split'])} < 0.2),
+l AS (SELECT unnest({list(tuning.PATH)}::DOUBLE[]) AS penalty), f AS (SELECT DISTINCT fold FROM r),
+b AS (SELECT f.fold, penalty, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / (var_pop(x) * (1 + penalty)) AS slope FROM r JOIN f ON r.fold <> f.fold, l GROUP BY f.fold, penalty),
+e AS (SELECT penalty, avg(power(y - my - slope * (x - mx), 2)) AS error FROM r JOIN b USING (fold) GROUP BY penalty), w AS (SELECT penalty, covar_pop(x, y) / (var_pop(x) * (1 + penalty)) AS slope FROM r, l GROUP BY penalty)
+SELECT penalty, round(error, 6) AS error, round(slope, 6) AS slope, row_number() OVER (ORDER BY error, penalty DESC) = 1 AS chosen FROM e JOIN w USING (penalty)""")
+def tuned_ridge(spark, d):
+    """A ridge penalty chosen by folds of the training part."""
+    found = tuning.tuned_ridge(_modelled(spark, d), ["n_points"], "y", "doc_id", contracts.SEEDS["split"], contracts.SEEDS["model_tuning"])
+    return spark.createDataFrame([(r["penalty"], round(r["error"], 6), round(r["slopes"][1], 6), r["chosen"]) for r in found], "penalty double, error double, slope double, chosen boolean")
+
+
+def _two_sided_sql(z: str) -> str:
+    """stats.two_sided in SQL."""
+    steps, x = "list_transform(range(60, 0, -1), lambda k: k::DOUBLE)", f"(abs({z}) / sqrt(2))"
+    near = f"list_reduce({steps}, lambda s, k: 1 + 2 * {x} * {x} / (2 * k + 1) * s, 1.0::DOUBLE)"
+    far = f"list_reduce({steps}, lambda s, k: k / 2 / ({x} + s), 0.0::DOUBLE)"
+    scale = f"(exp(-{x} * {x}) / sqrt(pi()))"
+    return f"CASE WHEN {x} < 2 THEN 1 - 2 * {scale} * {x} * {near} ELSE {scale} / ({x} + {far}) END"
+
+
+_INTERACTIONS = _MODEL + """, v AS (SELECT lang AS a, source AS b, digest AS c, y FROM t WHERE lang IS NOT NULL AND source IS NOT NULL),
+cells AS (SELECT a, b, count(*) AS n, avg(y) AS m FROM v GROUP BY a, b), s AS (SELECT v.a, v.b, c, sum(y - m) / min(n) AS s FROM v JOIN cells USING (a, b) GROUP BY v.a, v.b, c),
+z AS (SELECT min(a) AS a0, min(b) AS b0, (SELECT count(DISTINCT c)::DOUBLE FROM v) AS g FROM v),
+k AS (SELECT a AS i, b AS j, n, unnest([a, a, a0, a0]) AS a, unnest([b, b0, b, b0]) AS b, unnest([1, -1, -1, 1]) AS w FROM cells, z WHERE a <> a0 AND b <> b0),
+x AS (SELECT i, j, k.n, sum(w * m) AS contrast FROM k JOIN cells USING (a, b) GROUP BY i, j, k.n HAVING count(*) = 4), u AS (SELECT i, j, c, sum(w * s) AS u FROM k JOIN s USING (a, b) GROUP BY i, j, c),
+e AS (SELECT i, j, sum(u * u) * min(g) / (min(g) - 1) AS var FROM u, z GROUP BY i, j), tests AS (SELECT i AS lang, j AS source, n, contrast, sqrt(var) AS std_error, contrast / sqrt(var) AS z FROM x JOIN e USING (i, j) WHERE var > 0),
+p AS (SELECT *, """ + _two_sided_sql("z") + " AS p FROM tests)"
+
+
+@query(_INTERACTIONS + " SELECT lang, source, n, round(contrast, 9) AS contrast, round(std_error, 9) AS std_error, round(z * z, 6) AS wald, round(p, 9) AS p_value FROM p")
+def interaction_tests(spark, d):
+    """What a language has in a source beyond both: contrasts of cells, with errors that hold for copies of a text."""
+    out = effects.interaction_tests(_modelled(spark, d), "y", "lang", "source", "digest")
+    return out.select("lang", "source", "n", *[F.round(c, 9).alias(c) for c in ("contrast", "std_error")], F.round("wald", 6).alias("wald"), F.round("p_value", 9).alias("p_value"))
+
+
+@query(_INTERACTIONS + """, r AS (SELECT lang, source, p, row_number() OVER (PARTITION BY lang ORDER BY p, source) AS rank, count(*) OVER (PARTITION BY lang) AS m FROM p),
+q AS (SELECT lang, source, rank, min(least(1.0::DOUBLE, p * m / rank)) OVER (PARTITION BY lang ORDER BY p DESC, source DESC ROWS UNBOUNDED PRECEDING) AS q FROM r)
+SELECT lang, source, rank, round(q, 9) AS q, q <= 0.05 AS rejected FROM q""")
+def bh_fdr(spark, d):
+    """False discovery rate of the interactions, a family for each language."""
+    p = effects.interaction_tests(_modelled(spark, d), "y", "lang", "source", "digest")
+    return stats.benjamini_hochberg(p, "p_value", "source", family="lang").select("lang", "source", F.col("rank").cast("long").alias("rank"), F.round("q", 9).alias("q"), "rejected")
+
+
 _MODEL_ROW = "model string, features long, n long, groups long, r2 double, delta_r2 double, f double, p_value double"
 
 
@@ -483,9 +595,9 @@ def quantile_reg(spark, d):
 
 @query()
 def random_intercept(spark, d):
-    fit = models.random_intercept(_modelled(spark, d), ["n_points"], "y", "source")
-    row = (fit["n"], fit["groups"], float(fit["beta"][0]), float(fit["beta"][1]), fit["group_variance"], fit["residual_variance"], fit["converged"], fit["singular"], fit["usable"])
-    return spark.createDataFrame([row], "n long, groups long, intercept double, slope double, group_variance double, residual_variance double, converged boolean, singular boolean, usable boolean")
+    fit = models.random_intercept(_modelled(spark, d), ["n_points"], "y", "source", fixed=("lang",))
+    row = (fit["n"], fit["groups"], float(fit["beta"][0]), float(fit["beta"][1]), fit["group_variance"], fit["residual_variance"], fit["converged"], fit["singular"], fit["identified"], fit["usable"])
+    return spark.createDataFrame([row], "n long, groups long, intercept double, slope double, group_variance double, residual_variance double, converged boolean, singular boolean, identified boolean, usable boolean")
 
 
 @query(r"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM r GROUP BY ALL),
