@@ -3,8 +3,9 @@
 Each half of a vector has centroids of its own, and a vector's cell is the pair of its nearest two. For a query, a
 centroid's reach is the inner product with it plus what a vector of its list can add: the query half's norm times the
 list's radius. A heap takes pairs of centroids by falling sums of reaches until enough entries are seen; these are
-reranked by their exact products, and the last place found so far is the bar for the rest: every cell whose summed
-reach comes up to the bar is reranked too, no other can hold a nearer vector. The result is that of all pairs.
+reranked by their exact products, and the last place found so far is the bar for the rest. Rounds go on in the order of
+summed reaches, each over WIDER times as many entries, and leave out cells that don't come up to the bar: those hold no
+nearer vector, so the result is that of all pairs. Later rounds send nothing below the bar either.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .pca_neardup import packed, unpacked
 
 #: Vectors that centroids are fitted to, and their bytes; rounds of fitting; entries a cell should have; centroids at most (so cells are at most their square).
 SAMPLE, SAMPLE_BYTES, ROUNDS, PER_CELL, MOST = 16_384, 32 << 20, 10, 64, 512
-#: Entries that the heap sees before the bar is set; bytes of a block of entries, in 8 bytes a component, and its rows at least; queries multiplied at once.
-FIRST, BLOCK_BYTES, BLOCK_ROWS, AT_ONCE = 1024, 2 << 20, 256, 512
+#: Entries that the heap sees before the bar is set, and how many times more each further round may see; bytes of a block of entries, in 8 bytes a component, and its rows at least; queries multiplied at once.
+FIRST, WIDER, BLOCK_BYTES, BLOCK_ROWS, AT_ONCE = 1024, 4, 2 << 20, 256, 512
 #: Share of the norms by which a product computed in another order may differ.
 EDGE = 1e-12
 
@@ -112,18 +113,23 @@ class Index:
                 heapq.heappush(heap, (-(a[up[i + 1]] + b[down[0]]), i + 1, 0))
         return out
 
-    def visits(self, q: np.ndarray, bars: np.ndarray | None) -> Iterator[np.ndarray]:
-        """Blocks that each query calls on: those of its first cells, or, given the bars, all others whose cells come up to them."""
+    def visits(self, q: np.ndarray, bars: np.ndarray, step: int) -> Iterator[np.ndarray]:
+        """Blocks that each query calls on in a round: in round 0 those of its first cells, then those of cells that come up to the bar and to the round's entries, but for earlier rounds' blocks."""
         a, b = self.reaches(q)
         full = np.flatnonzero(self.counts)
         slack = EDGE * np.linalg.norm(q, axis=1) * (np.abs(np.concatenate(self.centroids, axis=None)).max(initial=0) + max(r.max(initial=0) for r in self.radii) + 1) * q.shape[1]
         for i in range(len(q)):
             start = self.spread(self.begin(a[i], b[i]))
-            if bars is None:
+            if not step:
                 yield start
-            else:
-                open_ = full[a[i][full // self.k] + b[i][full % self.k] >= bars[i] - slack[i]]
-                yield np.setdiff1d(self.spread(open_), start)
+                continue
+            sums = a[i][full // self.k] + b[i][full % self.k]
+            order = np.argsort(-sums, kind="stable")
+            seen = np.cumsum(self.counts[full[order]]) - self.counts[full[order]]
+            earlier, now = (int(np.searchsorted(seen, FIRST * WIDER**k)) for k in (step - 1, step))
+            now = min(now, int(np.searchsorted(-sums[order], slack[i] - bars[i], side="right")))
+            before = start if step == 1 else np.union1d(start, self.spread(full[order[:earlier]]))
+            yield np.setdiff1d(self.spread(full[order[:now]]), before)
 
     def spread(self, cells) -> np.ndarray:
         """Blocks of cells, each once."""
@@ -137,11 +143,11 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.add.accumulate(q * x, axis=1)[:, -1]
 
 
-def rerank(q: np.ndarray, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, entry, product) of each query's `count` largest products, and of those that tie with the last or nearly so."""
+def rerank(q: np.ndarray, x: np.ndarray, count: int, bars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, entry, product) of each query's `count` largest products that come up to its bar, and of those that tie with the last or nearly so."""
     sums = q @ x.T
     at = max(0, len(x) - count)
-    bar = np.partition(sums, at, axis=1)[:, at]
+    bar = np.maximum(np.partition(sums, at, axis=1)[:, at], bars)
     edge = EDGE * len(x[0]) * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
     i, j = np.nonzero(sums >= (bar - edge)[:, None])
     return i, j, products(q[i], x[j])
@@ -220,45 +226,51 @@ def search(vectors: DataFrame, count: int = 20, every: int = 20, vector: str = "
         x = unpacked(table.column("v").combine_chunks(), width)
         return pa.table({"block": table.column("block")[:1], "ids": [table.column("id").to_numpy().tobytes()], "ks": [table.column("ks").to_pylist()], "vs": [x.tobytes()]}, schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("ks", pa.list_(pa.list_(pa.int64()))), ("vs", pa.binary())]))
 
-    def call(table: pa.Table) -> pa.Table:
-        """A block's queries, as one row for each block that some of them call on."""
-        q, ids = unpacked(table.column("v").combine_chunks(), width), table.column("id").to_numpy()
-        bars = table.column("bar").to_numpy() if "bar" in table.column_names else None
-        where = list(shared.value.visits(q, bars))
-        who, block = np.repeat(np.arange(len(q)), [len(w) for w in where]), np.concatenate(where) if where else np.empty(0, np.int64)
-        order = np.argsort(block, kind="stable")
-        who, block = who[order], block[order]
-        cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.empty(0, np.int64)
-        parts = np.split(who, cuts[1:]) if len(block) else []
-        return pa.table({"block": pa.array(block[cuts], pa.int64()), "queries": pa.array([ids[p].tobytes() for p in parts], pa.binary()), "qs": pa.array([q[p].tobytes() for p in parts], pa.binary())})
+    def caller(step: int):
+        def call(table: pa.Table) -> pa.Table:
+            """A block's queries, as one row for each block that some of them call on."""
+            q, ids, bars = unpacked(table.column("v").combine_chunks(), width), table.column("id").to_numpy(), table.column("bar").to_numpy()
+            where = list(shared.value.visits(q, bars, step))
+            who, block = np.repeat(np.arange(len(q)), [len(w) for w in where]), np.concatenate(where)
+            order = np.argsort(block, kind="stable")
+            who, block = who[order], block[order]
+            cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))[: len(block)]
+            parts = np.split(who, cuts[1:]) if len(block) else []
+            return pa.table({"block": pa.array(block[cuts], pa.int64()), **{n: pa.array([x[p].tobytes() for p in parts], pa.binary()) for n, x in (("queries", ids), ("bars", bars), ("qs", q))}})
+
+        return call
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
                 of = lambda c, kind, n=n, batch=batch: np.frombuffer(batch.column(c)[n].as_buffer(), kind)
-                x, q, ids, queries = of("vs", float).reshape(-1, width), of("qs", float).reshape(-1, width), of("ids", np.int64), of("queries", np.int64)
+                x, q, ids, queries, bars = of("vs", float).reshape(-1, width), of("qs", float).reshape(-1, width), of("ids", np.int64), of("queries", np.int64), of("bars", float)
                 ks = batch.column("ks")[n].values
                 for at in range(0, len(q), AT_ONCE):
-                    i, j, score = rerank(q[at : at + AT_ONCE], x, some)
+                    i, j, score = rerank(q[at : at + AT_ONCE], x, some, bars[at : at + AT_ONCE])
                     yield pa.RecordBatch.from_arrays([pa.array(queries[at + i]), pa.array(ids[j]), ks.take(pa.array(j)), pa.array(score)], ["query", "id", "ks", "score"])
         release()
 
     sides = stored(placed.groupBy("block").applyInArrow(side, "block long, ids binary, ks array<array<long>>, vs binary"), "sides")
     queries = placed.where("n IS NOT NULL").select("block", "id", "v")
     best = W.partitionBy("query").orderBy(F.desc("score"), F.get("ks", F.lit(0)), "id")
-
-    def found(calls: DataFrame) -> DataFrame:
-        return sides.join(calls, "block").mapInArrow(meet, "query long, id long, ks array<long>, score double")
-
-    def firsts(every: DataFrame) -> DataFrame:
-        return every.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= some).drop("nth")
-
-    calls = "block long, queries binary, qs binary"
-    start = stored(firsts(found(queries.groupBy("block").applyInArrow(call, calls))), "start")
-    bar = start.groupBy("query").agg(F.when(F.count("*") >= some, F.min("score")).otherwise(float("-inf")).alias("bar"))
-    open_ = queries.join(bar.withColumnRenamed("query", "id"), "id")
-    rest = found(open_.groupBy("block").applyInArrow(call, calls))
-    top = firsts(start.unionByName(rest)).select("query", "id", "score", F.explode("ks").alias("k"))
+    top, step = None, 0
+    while True:
+        if top is None:
+            asking = queries.withColumn("bar", F.lit(float("-inf")))
+        else:
+            bar = top.groupBy("query").agg(F.when(F.count("*") >= some, F.min("score")).otherwise(float("-inf")).alias("bar"))
+            asking = queries.join(bar.withColumnRenamed("query", "id"), "id")
+        calls = stored(asking.groupBy("block").applyInArrow(caller(step), "block long, queries binary, bars binary, qs binary"), "calls")
+        if top is not None and calls.isEmpty():
+            break
+        found = sides.join(calls, "block").mapInArrow(meet, "query long, id long, ks array<long>, score double")
+        found = found if top is None else top.unionByName(found)
+        top = stored(found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= some).drop("nth"), "top")
+        if FIRST * WIDER**step >= total:
+            break
+        step += 1
+    top = top.select("query", "id", "score", F.explode("ks").alias("k"))
     # of their keys, as many again, and the queries' rows find the list of their vector
     order = F.struct((-F.col("score")).alias("s"), "k", "id", "score")
     lists = top.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(order)), 1, some).alias("xs"))
