@@ -217,11 +217,31 @@ def test_clusters_equal_brute_force(spark):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = {r.doc_id: r.cluster for r in clusters.near_duplicate_clusters(df, "doc_id", "text").collect()}
     assert got == root and got[100] == 0 and got[104] == 103
-    coarse = {r.doc_id: r.cluster for r in clusters.near_duplicate_clusters(df, "doc_id", "text", most=2).collect()}
-    assert all(coarse[a] == coarse[b] for a, b in itertools.combinations(docs, 2) if root[a] == root[b])
     assert clusters.near_duplicate_clusters(df.where("false"), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("few,block", [(32, 512), (2, 7), (0, 64)])
+def test_clusters_where_shingles_are_in_very_many_sets(spark, monkeypatch, few, block):
+    """Texts over two words: each of 32 shingles is in hundreds of sets, and no group may be taken for a cluster unseen."""
+    monkeypatch.setattr(clusters, "FEW", few)
+    monkeypatch.setattr(clusters, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    n = 1500 if few == 32 else 300
+    texts = [" ".join("xy"[i] for i in rng.integers(0, 2, int(m))) for m in rng.integers(8, 19, n)]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.split() for t in texts)]
+    names = sorted({x for s in sets for x in s})
+    table = np.array([[x in s for x in names] for s in sets], float)
+    common, size = table @ table.T, table.sum(1)
+    root = np.arange(n)
+    a, b = np.nonzero(common >= 0.8 * (size[:, None] + size[None] - common) - 1e-9)
+    while (root[a] != root[b]).any():
+        np.minimum.at(root, a, root[b])
+        root = root[root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.cluster for r in clusters.near_duplicate_clusters(df, "doc_id", "text").collect()}
+    assert [got[i] for i in range(n)] == root.tolist() and 20 < len(set(root)) < n
+
+
 def test_folds_keep_groups_of_any_type(spark):
     df = spark.createDataFrame([(i % 7,) for i in range(100)], "g long")
     out = splits.group_folds(df, "g", 3)
