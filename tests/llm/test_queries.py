@@ -36,7 +36,6 @@ def library(name):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(P.path(name))
-    own.encode_special_tokens = True
     return lambda t: own.encode(t, add_special_tokens=False).ids
 
 

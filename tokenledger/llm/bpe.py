@@ -8,6 +8,7 @@ Texts with two white-space characters in a row go through the pattern as a whole
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Callable
 from itertools import chain
@@ -42,7 +43,7 @@ def byte_alphabet() -> list[str]:
 class Encoder:
     """Ids of whole texts, equal to the library's encode_batch(texts, add_special_tokens=False).
 
-    Strings of special tokens inside a text are ordinary text (encode_special_tokens).
+    The file's added tokens are cut out of a text first, as the library does: what stands between them is encoded by itself.
     """
 
     cache = CACHE
@@ -55,6 +56,10 @@ class Encoder:
         self.unsafe = unsafe
         self.find = regex.compile(pattern, regex.V0).findall
         self.latin = dict(enumerate(byte_alphabet()))
+        # tokens that are matched in the text as it comes
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        names = "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))
+        self.literal, self.parts = "|".join(map(re.escape, self.added)), regex.compile(f"({names})", regex.V0).split if names else None
         self.clear()
 
     def clear(self) -> None:
@@ -68,6 +73,12 @@ class Encoder:
         text = self.normalizer.normalize_str(chunk) if self.normalizer else chunk
         return [i for piece in self.find(text) for i in self.pretoken(piece)]
 
+    def whole(self, text: str) -> list[int]:
+        """Ids of a text as it came, added tokens included."""
+        if not self.parts:
+            return self.ids(text)
+        return [i for k, part in enumerate(self.parts(text)) for i in ([self.added[part]] if k % 2 else self.ids(part))]
+
     def word(self, piece: str) -> list[int]:
         """A chunk that follows a space, or a mark for none."""
         if piece.isalpha():
@@ -100,8 +111,10 @@ class Encoder:
         """(ids of all texts in a row as uint32, offsets of the texts)."""
         if self.held > self.cache:
             self.clear()
-        texts = self.prepared(texts)
+        raw, texts = texts, self.prepared(texts)
         unsafe = pc.match_substring_regex(texts, self.unsafe)
+        if self.literal:
+            unsafe = pc.or_(unsafe, pc.match_substring_regex(raw, self.literal))
         whole = np.flatnonzero(unsafe.to_numpy(zero_copy_only=False))
         lines = pc.split_pattern(pc.if_else(unsafe, pa.scalar("", texts.type), texts) if len(whole) else texts, "\n")
         of_text = lines.offsets.to_numpy().astype(np.int64)
@@ -127,7 +140,7 @@ class Encoder:
         head_rows = self.rows(keys, lambda key: self.ids(key[2:] if key[:2] == "\n\n" else key))
         codes[offsets[:-1]] = np.array(head_rows, np.int64)[which]
         kept_flat, kept_rows = len(self.flat), len(self.ends)
-        codes[offsets[of_text[whole]]] = self.add([self.ids(texts[i].as_py()) for i in whole.tolist()])
+        codes[offsets[of_text[whole]]] = self.add([self.whole(raw[i].as_py()) for i in whole.tolist()])
         table, ends = np.frombuffer(self.flat, np.uint32) if self.flat else np.empty(0, np.uint32), np.array(self.ends, np.int64)
         lengths = np.diff(ends)[codes]
         ids = table[gather(ends[codes], lengths)]

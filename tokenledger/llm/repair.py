@@ -122,33 +122,41 @@ class Shard:
 
         self.left, self.right, self.expands, self.stops = take(rules), take(rules), take(rules), take(rounds)
         self.ends, self.counts, self.symbols = take(docs + 1).astype(np.int64), take(docs), take(symbols)
-        self._table()
-
-    def _table(self) -> None:
-        """Expansions of all symbols, a round at a time: a rule's sides are terminals or rules of earlier rounds."""
-        self.lengths = np.concatenate([np.ones(self.first, np.int64), self.expands.astype(np.int64)])
-        self.starts = offsets_of(self.lengths)[:-1]
-        self.flat = np.empty(int(self.lengths.sum()), np.uint32)
-        self.flat[: self.first] = np.arange(self.first)
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents in a row, offsets of the documents).
+
+        All symbols are expanded first, a round at a time: a rule's sides are terminals or rules of earlier rounds.
+        """
+        lengths = np.concatenate([np.ones(self.first, np.int64), self.expands.astype(np.int64)])
+        starts = offsets_of(lengths)[:-1]
+        flat = np.empty(int(lengths.sum()), np.uint32)
+        flat[: self.first] = np.arange(self.first)
         begin = 0
         for stop in self.stops.tolist():
             sides = np.stack([self.left[begin:stop], self.right[begin:stop]], 1).ravel()
-            found = self.flat[gather(self.starts[sides], self.lengths[sides])]
-            to = int(self.starts[self.first + begin])
-            self.flat[to : to + len(found)] = found
+            found = flat[gather(starts[sides], lengths[sides])]
+            to = int(starts[self.first + begin])
+            flat[to : to + len(found)] = found
             begin = stop
+        return flat[gather(starts[self.symbols], lengths[self.symbols])], offsets_of(self.counts)
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        return self.flat[gather(self.starts[symbols], self.lengths[symbols])]
-
-    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all documents in a row, offsets of the documents)."""
-        return self._expand(self.symbols), offsets_of(self.counts)
+        """Ids of a few symbols: each rule that they reach gives its two sides, until only terminals are left."""
+        while (rules := symbols >= self.first).any():
+            at = offsets_of(1 + rules.astype(np.int64))[:-1][rules]
+            own = symbols[rules] - self.first
+            symbols = np.repeat(symbols, 1 + rules)
+            symbols[at], symbols[at + 1] = self.left[own], self.right[own]
+        return symbols.astype(np.uint32)
 
     def document(self, i: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids [start, stop) of the i-th document; only the symbols that cover them are expanded."""
         symbols = self.symbols[self.ends[i] : self.ends[i + 1]]
-        places = offsets_of(self.lengths[symbols])
+        rules = symbols >= self.first
+        lengths = np.ones(len(symbols), np.int64)
+        lengths[rules] = self.expands[symbols[rules] - self.first]
+        places = offsets_of(lengths)
         stop = int(places[-1]) if stop is None else min(stop, int(places[-1]))
         if start >= stop:
             return np.empty(0, np.uint32)
@@ -159,7 +167,7 @@ class Shard:
 def write_shards(docs: DataFrame, path: str, end_id: int = 0, text: str = "text", key: str = "doc_id", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode whole texts, append end_id, and write shards in ascending key order (null first).
 
-    A null or empty text has the end id only; a very long one has a shard of its own. Rows with the same key stay
+    The file's added tokens in a text give their own ids. A null or empty text has the end id only; a very long one has a shard of its own. Rows with the same key stay
     apart, also if they are equal. An empty table gives no shards. Other columns are ignored, whatever their names.
     One range shuffle of the texts; a task holds one shard (shard_tokens, or one longer document) at a time.
     Returns the written table: pid (range), nth, before (ids before the shard in its range), n_tokens,
@@ -167,7 +175,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, text: str = "text"
     """
     ship(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
-    ordered = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("text")).repartitionByRange("k").sortWithinPartitions("k")
+    ordered = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    # rows of one key, or of none, may lie in several ranges
+    ordered = ordered.repartitionByRange("k", "row").sortWithinPartitions("k", "row").drop("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, pid = byte_level(path), TaskContext.get().partitionId()
@@ -214,7 +224,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, text: str = "text"
 
 
 def read_shards(shards: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows (key, start long, ids binary) decoded from the written shards; ids are little-endian uint32.
+    """Rows (key, start long, ids binary) decoded from the written shards, none from none; ids are little-endian uint32.
+
+    Repeated rows and rows without a key come back as often as they were written.
 
     start counts the ids of all documents before this one in key order. Ranges' totals (one number per range
     partition) are summed in order; each row then needs its own shard only.
