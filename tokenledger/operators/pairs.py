@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.functions.text import analysis_text, nfc
+from tokenledger.operators.quantiles import quantiles
 from tokenledger.operators.ranks import numbered
 
 #: The allowed values of the registry's taxonomies, and the source tiers.
@@ -50,16 +51,15 @@ def conversation_pairs(turns: DataFrame) -> DataFrame:
     return pairs.select(F.sha2(F.concat_ws(":", "conv_id", "turn_a"), 256).alias("pair_id"), "conv_id", "turn_a", "a_text", "b_text")
 
 
-def quintile_breaks(df: DataFrame, length: Column, parts: int = 5) -> DataFrame:
-    """Break points of `parts` equal shares, one row (array, rounded to 6 decimals)."""
-    points = [i / parts for i in range(1, parts)]
-    return df.agg(F.transform(F.percentile(length, F.array(*[F.lit(p) for p in points])), lambda x: F.round(x, 6)).alias("breaks"))
+def quintile_breaks(df: DataFrame, length: Column, parts: int = 5) -> list[float]:
+    """Break points of `parts` equal shares, rounded to 6 decimals; none without rows."""
+    found = quantiles(df, length, [i / parts for i in range(1, parts)], [])
+    return [r[0] for r in found.orderBy("point").select(F.round("quantile", 6)).collect()]
 
 
 def with_stratum(df: DataFrame, length: Column, parts: int = 5) -> DataFrame:
     """Adds stratum 1..parts by break points: ties stay together. The driver holds the break points."""
-    breaks = quintile_breaks(df, length, parts).first()["breaks"]
-    return df.withColumn("stratum", sum((F.when(length > F.lit(float(b)), 1).otherwise(0) for b in breaks or []), F.lit(1)).cast("long"))
+    return df.withColumn("stratum", sum((F.when(length > F.lit(float(b)), 1).otherwise(0) for b in quintile_breaks(df, length, parts)), F.lit(1)).cast("long"))
 
 
 def with_ntile(df: DataFrame, length: Column, key: str, parts: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.operators.ranks import falling, numbered, running
+from tokenledger.operators.resampling import poisson_medians
 
 
 def normal_tail(z: float) -> float:
@@ -68,18 +69,19 @@ def bootstrap_medians(df: DataFrame, value: str, key: str, resamples: int, seed:
 
 
 def bootstrap_interval(df: DataFrame, value: str, key: str, resamples: int, seed: int, level: float = 0.95) -> DataFrame:
-    """One row (low, high): the percentile interval of the resamples' medians."""
-    ends = [(1 - level) / 2, (1 + level) / 2]
-    found = F.percentile("median", F.array(*[F.lit(x) for x in ends]))
-    return bootstrap_medians(df, value, key, resamples, seed).agg(found.alias("x")).select(F.get("x", F.lit(0)).alias("low"), F.get("x", F.lit(1)).alias("high"))
+    """One row (low, high): the percentile interval of the resamples' medians, drawn row by row (for tables of some thousand rows)."""
+    return _interval(bootstrap_medians(df, value, key, resamples, seed), level)
+
 
+def poisson_interval(df: DataFrame, value: str, key: str, resamples: int, seed: int, level: float = 0.95) -> DataFrame:
+    """The same from Poisson weights (resampling.poisson_medians), for tables of any size: what is shuffled doesn't grow with the rows of a task."""
+    return _interval(poisson_medians(df, value, key, resamples, seed), level)
 
-def quantiles(df: DataFrame, value: str, points: list[float], by: str | None = None) -> DataFrame:
-    """Rows (by, point, quantile), interpolated."""
-    found = F.percentile(value, F.array(*[F.lit(p) for p in points]))
-    rows = (df.groupBy(by) if by else df).agg(found.alias("q"))
-    names = F.array(*[F.lit(p) for p in points])
-    return rows.select(*([by] if by else []), F.explode(F.arrays_zip(names.alias("point"), F.col("q").alias("quantile"))).alias("x")).select(*([by] if by else []), "x.point", "x.quantile")
+
+def _interval(medians: DataFrame, level: float) -> DataFrame:
+    ends = [(1 - level) / 2, (1 + level) / 2]
+    found = F.percentile("median", F.array(*[F.lit(x) for x in ends]))  # one row a resample
+    return medians.agg(found.alias("x")).select(F.get("x", F.lit(0)).alias("low"), F.get("x", F.lit(1)).alias("high"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, key: str, alpha: float = 0.05, family: str | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger.functions import canonical, text
-from tokenledger.operators import clusters, contracts, effects, factors, models, morphology, outcomes, pairs, qc, splits, stats, terms, tokenizer, tuning
+from tokenledger.operators import clusters, contracts, effects, factors, models, morphology, outcomes, pairs, qc, resampling, splits, stats, terms, tokenizer, tuning
+from tokenledger.operators import quantiles as quantile
 from tokenledger.sources import environment, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,12 +305,29 @@ def bootstrap_median_ci(spark, d):
     return found.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
+def _fifth_sql(x: str) -> str:
+    p = resampling.PRIME
+    square = f"({x}) * ({x}) % {p}"
+    return f"(({square}) * ({square}) % {p}) * ({x}) % {p}"
+
+
+@query(_MEASURED + f""", q AS (SELECT lp, ('0x' || substr(md5(pair_id), 1, 8))::BIGINT % {resampling.PRIME} AS k FROM o), t AS (SELECT unnest(range(5000)) AS b),
+h AS (SELECT b, lp, k, (k + b * {resampling.MIX[0]} + {SEED % resampling.PRIME}) % {resampling.PRIME} AS x FROM q, t), h2 AS (SELECT b, lp, k, {_fifth_sql('x')} AS x FROM h),
+h3 AS (SELECT b, lp, (x + k * {resampling.MIX[1]} + b * {resampling.MIX[2]}) % {resampling.PRIME} AS x FROM h2), h4 AS (SELECT b, lp, {_fifth_sql('x')} AS x FROM h3),
+w AS (SELECT b, lp, unnest(range(len(list_filter({resampling.STEPS}, lambda s: s <= x)))) FROM h4), med AS (SELECT b, median(lp) AS v FROM w GROUP BY b)
+SELECT round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high FROM med""")
+def poisson_median_ci(spark, d):
+    """The interval of the median premium from Poisson weights."""
+    found = stats.poisson_interval(_log_premium(spark, d), "v", "pair_id", 5000, SEED)
+    return found.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
 _POINTS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
 @query(f"SELECT lang, unnest({_POINTS}) AS point, unnest(list_transform(quantile_cont(n_chars::DOUBLE, {_POINTS}), lambda x: round(x, 6))) AS quantile FROM documents GROUP BY lang")
 def quantiles(spark, d):
-    out = stats.quantiles(table(spark, d, "documents"), "n_chars", _POINTS, "lang")
+    out = quantile.quantiles(table(spark, d, "documents"), F.col("n_chars"), _POINTS, ["lang"])
     return out.select("lang", "point", F.round("quantile", 6).alias("quantile"))
 
 
@@ -617,10 +635,20 @@ def _strata(spark, d):
     return _measured(spark, d).select("pair_id", outcomes.outcomes()["log_premium"].alias("v"), F.concat(F.lit("s"), F.col("conv_id") % 3).alias("source"), stratum.alias("stratum"))
 
 
+def _with_median(rows, value, by, aggregates, name="median"):
+    """Aggregates of groups (null keys are groups too) with the median of a value, rounded to 9 decimals."""
+    group = F.struct(*by).alias("g")
+    found = quantile.medians(rows, F.col(value), by).select(group, F.round("median", 9).alias(name))
+    out = rows.groupBy(group).agg(*aggregates).join(found, "g", "left")
+    return out.select("g.*", *[c for c in out.columns if c != "g"])
+
+
 @query(_STRATA + " SELECT source, stratum, count(*) AS n, round(median(lp), 9) AS median, round(avg(lp), 9) AS mean FROM s GROUP BY GROUPING SETS ((source), (stratum), (source, stratum))")
 def premium_by_stratum(spark, d):
-    rows = _strata(spark, d).groupingSets([["source"], ["stratum"], ["source", "stratum"]], "source", "stratum")
-    return rows.agg(F.count("*").alias("n"), F.round(F.median("v"), 9).alias("median"), F.round(F.avg("v"), 9).alias("mean"))
+    none = F.lit(None).cast("string")
+    sets = [F.struct(F.col("source").alias("source"), none.alias("stratum")), F.struct(none.alias("source"), F.col("stratum").alias("stratum")), F.struct(F.col("source").alias("source"), F.col("stratum").alias("stratum"))]
+    rows = _strata(spark, d).select(F.explode(F.array(*sets)).alias("x"), "v").select("x.*", "v")
+    return _with_median(rows, "v", ["source", "stratum"], [F.count("*").alias("n"), F.round(F.avg("v"), 9).alias("mean")])
 
 
 @query(_STRATA + """, i AS (SELECT source, stratum, avg(lp) AS m, count(*) AS n FROM s GROUP BY ALL), a AS (SELECT source, avg(lp) AS ms FROM s GROUP BY source), b AS (SELECT stratum, avg(lp) AS mt FROM s GROUP BY stratum)
@@ -671,7 +699,7 @@ def sensitivity_variants(spark, d):
     parts = [F.struct(F.lit(k).alias("variant"), F.when(F.expr("rule = 'accepted'"), F.col(k)).alias("v")) for k in every]
     parts += [F.struct(F.lit(k).alias("variant"), F.when(F.expr(c), F.col("analysis_text")).alias("v")) for k, (c, _) in _VARIANTS.items()]
     out = rows.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where("v IS NOT NULL")
-    return out.groupBy("variant").agg(F.count("*").alias("n"), F.round(F.median("v"), 9).alias("median_log_premium"), F.count_if(F.col("v") > 0).alias("n_plus"))
+    return _with_median(out, "v", ["variant"], [F.count("*").alias("n"), F.count_if(F.col("v") > 0).alias("n_plus")], "median_log_premium")
 
 
 @query()
@@ -693,7 +721,8 @@ def table_t02(spark, d):
     sides = [F.struct(F.lit(s).alias("side"), *[F.col(f"{s}_{x}").cast("double").alias(x) for x in ("tokens", "bytes", "points")]) for s in "ab"]
     rows = _measured(spark, d).select(F.explode(F.array(*sides)).alias("x")).select("x.*")
     total = F.sum("tokens")
-    return rows.groupBy("side").agg(F.count("*").alias("n"), total.cast("long").alias("tokens"), F.round(F.avg("tokens"), 6).alias("mean_tokens"), F.median("tokens").alias("median_tokens"), F.round(total / F.sum("bytes"), 9).alias("tokens_per_byte"), F.round(total / F.sum("points"), 9).alias("tokens_per_codepoint"))
+    measures = [F.count("*").alias("n"), total.cast("long").alias("tokens"), F.round(F.avg("tokens"), 6).alias("mean_tokens"), F.round(total / F.sum("bytes"), 9).alias("tokens_per_byte"), F.round(total / F.sum("points"), 9).alias("tokens_per_codepoint")]
+    return _with_median(rows, "tokens", ["side"], measures, "median_tokens")
 
 
 @query(_MEASURED + """, l AS (SELECT unnest(['point_ratio', 'density_ratio']) AS factor, unnest([ln(ac / bc), ln((ab / ac) / (bb / bc))]) AS v FROM o)
@@ -703,7 +732,7 @@ def table_t03(spark, d):
     cols = outcomes.outcomes()
     parts = [F.struct(F.lit(k).alias("factor"), F.ln(cols[k]).alias("v")) for k in ("point_ratio", "density_ratio")]
     rows = _measured(spark, d).select(F.explode(F.array(*parts)).alias("x")).select("x.*")
-    return rows.groupBy("factor").agg(F.count("*").alias("n"), F.round(F.median("v"), 9).alias("median"), F.round(F.avg("v"), 9).alias("mean"))
+    return _with_median(rows, "v", ["factor"], [F.count("*").alias("n"), F.round(F.avg("v"), 9).alias("mean")])
 
 
 @query()
