@@ -21,9 +21,9 @@ def absorbed(df: DataFrame, columns: list[str], factors: list[str], looks: int =
     """(Gram of the columns less the effects of all factors, whether it settled, sweeps).
 
     One pass over the rows gives a row for each cell, a combination of levels that occurs: its number of rows, means
-    and products of deviations. Projections change a cell's means alone, so rounds run over cells: the weighted mean
-    of each level is taken off, factor after factor, until the moments of what is left settle. Cells that share no level
-    with others need no round.
+    and products of deviations. Projections change a cell's means alone, so rounds run over cells: a factor's effects are
+    the weighted means, by level, of what the other factors' effects leave; factor follows factor until the moments of what all
+    of them leave settle.
     """
     k = len(columns)
     cells = _complete(df, [*columns, *factors]).groupBy(*factors).agg(*_parts(_of(columns)))
@@ -31,18 +31,27 @@ def absorbed(df: DataFrame, columns: list[str], factors: list[str], looks: int =
     inner = cells.agg(F.sum("n").alias("n"), *[F.lit(0.0).alias(f"m{i}") for i in range(k)], *[F.sum(f"s{i}_{j}").alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]).first()
     n = float(inner["n"] or 0)
     within = np.array([[float(inner[f"s{min(i, j)}_{max(i, j)}"] or 0) for j in range(k)] for i in range(k)]).reshape(k, k)
-    left = cells.select(*factors, "n", *[f"m{i}" for i in range(k)])
     # of very large means only what differs between cells counts
-    whole = left.agg(*[(F.sum(F.col("n") * F.col(f"m{i}")) / F.sum("n")).alias(f"m{i}") for i in range(k)]).first()
-    left = left.withColumns({f"m{i}": F.col(f"m{i}") - F.lit(float(whole[f"m{i}"] or 0)) for i in range(k)})
+    whole = cells.agg(*[(F.sum(F.col("n") * F.col(f"m{i}")) / F.sum("n")).alias(f"m{i}") for i in range(k)]).first()
+    cells = cut(cells.select(*factors, "n", *[(F.col(f"m{i}") - F.lit(float(whole[f"m{i}"] or 0))).alias(f"m{i}") for i in range(k)]))
+    levels: dict[str, DataFrame] = {}
+
+    def left(but: str | None = None) -> DataFrame:
+        """Cells less the effects of all factors but one."""
+        out = cells
+        for factor in factors:
+            if factor != but and factor in levels:
+                out = out.join(levels[factor], factor).select(*factors, "n", *[(F.col(f"m{i}") - F.col(f"a{i}")).alias(f"m{i}") for i in range(k)])
+        return out
+
     before = None
     for look in range(looks):
-        for _ in range(SWEEPS):
+        for sweep in range(SWEEPS):
             for factor in factors:
-                means = left.groupBy(factor).agg(*[(F.sum(F.col("n") * F.col(f"m{i}")) / F.sum("n")).alias(f"a{i}") for i in range(k)])
-                left = left.join(means, factor).select(*factors, "n", *[(F.col(f"m{i}") - F.col(f"a{i}")).alias(f"m{i}") for i in range(k)])
-        left = cut(left)
-        r = left.agg(*[F.sum(F.col("n") * F.col(f"m{i}") * F.col(f"m{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+                means = left(factor).groupBy(factor).agg(*[(F.sum(F.col("n") * F.col(f"m{i}")) / F.sum("n")).alias(f"a{i}") for i in range(k)])
+                # of two factors each one's effects are read once a sweep, so that a look is one chain
+                levels[factor] = cut(means) if len(factors) > 2 or sweep == SWEEPS - 1 else means
+        r = left().agg(*[F.sum(F.col("n") * F.col(f"m{i}") * F.col(f"m{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]).first()
         products = within + np.array([[float(r[f"s{min(i, j)}_{max(i, j)}"] or 0) for j in range(k)] for i in range(k)]).reshape(k, k)
         scale = np.sqrt(np.maximum(np.diag(products), 1e-300))
         if before is not None and (np.abs(products - before) <= SETTLED * np.outer(scale, scale)).all():
