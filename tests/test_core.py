@@ -262,6 +262,26 @@ def test_round_trip_and_counts(spark):
     assert out[1] == (0, False, 0, False) and out[2][1:] == (False, None, False) and out[3][1] and out[3][3] and out[0][0] == out[0][2] > 0 and out[4][1]
 
 
+def test_own_merges_equal_the_library(spark):
+    """Distinct pre-tokens merged once: the same counts as tiktoken's, for long runs of one letter too."""
+    path, pattern = catalog._ranks()
+    own = tokenizer._encoding(path, pattern)
+    texts = ["The cat sat on the mat.", "", None, "x" * 30_000, "ab" * 5000, "  two  spaces\n\n tab\t", "I'M we'll 12345", "한국어 토큰화 😀‍😀", "<|endoftext|>", "é" * 999, "The cat sat on the mat."]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {r.k: r.tokens for r in tokenizer.token_counts(df, "k", "t", path, pattern).collect()}
+    assert got == {k: len(own.encode_ordinary(t)) for k, t in enumerate(texts) if t is not None}
+    real = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    counts = {r.doc_id: r.tokens for r in tokenizer.token_counts(real, "doc_id", "text", path, pattern).collect()}
+    assert counts == {r.doc_id: len(own.encode_ordinary(r.text)) for r in real.collect()}
+
+
+def test_folds_of_very_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(splits, "LARGEST", 3)
+    df = spark.createDataFrame([(f"g{i % 400}" if i > 300 else f"big{i % 5}",) for i in range(2000)], "g string")
+    out = {r.g: (r.n, r.fold) for r in splits.group_folds(df, "g", 4).collect()}
+    assert sum(n for n, _ in out.values()) == 2000 and {f for _, f in out.values()} == {0, 1, 2, 3} and len({out[f"big{i}"][1] for i in range(3)}) >= 2
+
+
 def test_tokenizer_manifest(spark):
     path, pattern = catalog._ranks()
     found = tokenizer.manifest(spark, path, pattern, "own", {"<|endoftext|>": 199999, "<|endofprompt|>": 200018})

@@ -11,11 +11,12 @@ TOLERANCE = 1e-10
 
 
 def measured(pairs: DataFrame, tokens=lambda t: F.regexp_count(t, F.lit("(?U)" + PLAIN_TOKENS))) -> DataFrame:
-    """Adds bytes, code points and tokens of both sides; pairs with a side of no tokens are left out."""
+    """Adds bytes, code points and tokens of both sides; pairs with a side of no tokens are left out. Without `tokens`, the pairs have their columns."""
     out = pairs
     for side in ("a", "b"):
         text = F.col(f"{side}_text")
-        out = out.withColumns({f"{side}_bytes": F.octet_length(text), f"{side}_points": F.char_length(text), f"{side}_tokens": tokens(text)})
+        counted = {f"{side}_tokens": tokens(text)} if tokens else {}
+        out = out.withColumns({f"{side}_bytes": F.octet_length(text), f"{side}_points": F.char_length(text), **counted})
     return out.where("a_tokens > 0 AND b_tokens > 0")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tokenledger.operators.clusters import cut
+
 
 def unit_hash(key: Column, seed: int) -> Column:
     """A number in [0, 1) from SHA-256 of key:seed."""
@@ -17,19 +19,25 @@ def with_holdout(df: DataFrame, key: str, seed: int, share: float = 0.2) -> Data
     return df.withColumn("held_out", unit_hash(F.col(key), seed) < share)
 
 
+#: Groups that are placed one by one.
+LARGEST = 1_000
+
+
 def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
-    """Rows (group, n, fold): groups by falling size, each into the fold with the fewest rows so far.
+    """Rows (group, n, fold): the LARGEST groups of several rows by falling size, each into the fold with the fewest rows so far, all others by hash.
 
-    The driver holds one row per group (sources, not documents).
+    The driver holds the largest ones; a large number of small groups spreads evenly by itself.
     """
-    sizes = [(r[0], r["n"]) for r in df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).collect()]
-    load, out = [0] * folds, []
-    for name, n in sizes:
+    sizes = cut(df.groupBy(group).agg(F.count("*").alias("n")))
+    load, placed = [0] * folds, []
+    for name, n in sizes.where("n > 1").orderBy(F.desc("n"), group).limit(LARGEST).collect():
         fold = min(range(folds), key=lambda i: (load[i], i))
         load[fold] += n
-        out.append((name, n, fold))
-    kind = df.select(group).schema[0]
-    return df.sparkSession.createDataFrame(out, StructType([StructField(group, kind.dataType), StructField("n", LongType()), StructField("fold", LongType())]))
+        placed.append((name, fold))
+    kind = sizes.schema[group]
+    own = df.sparkSession.createDataFrame(placed, StructType([StructField("g_", kind.dataType), StructField("fold", LongType())]))
+    out = sizes.join(F.broadcast(own), sizes[group].eqNullSafe(F.col("g_")), "left")  # at most LARGEST rows
+    return out.select(group, "n", F.coalesce("fold", F.pmod(F.xxhash64(group), F.lit(folds))).alias("fold"))
 
 
 def leaked(train: DataFrame, test: DataFrame, key: str) -> DataFrame:

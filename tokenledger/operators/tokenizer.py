@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import base64
+import heapq
 import os
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger.functions.canonical import canonical_json, ordered_digest, sha256_file, sha256_hex
+from tokenledger.operators.clusters import cut
+from tokenledger.operators.joins import dealt_join
 from tokenledger.sources.files import vocabulary
 
 
@@ -39,6 +44,62 @@ def token_count(path: str, pattern: str):
     return count
 
 
+def merged_count(piece: bytes, ranks: dict[bytes, int]) -> int:
+    """Tokens of one pre-token: the neighbours of lowest rank become one, the leftmost of equals first, until no two make a token.
+
+    A heap of pairs over linked places: n log n steps, however long the piece is.
+    """
+    n = len(piece)
+    if n < 2 or piece in ranks:
+        return min(n, 1)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part begins at its place; end is 0 once it is gone
+    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    left = n
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        middle = end[i]
+        # a pair is stale if either side has changed since
+        if not middle or middle == n or end[middle] != stop:
+            continue
+        end[i], end[middle], left = stop, 0, left - 1
+        if stop < n:
+            before[stop] = i
+            if (rank := ranks.get(piece[i : end[stop]])) is not None:
+                heapq.heappush(heap, (rank, i, end[stop]))
+        if (p := before[i]) >= 0 and (rank := ranks.get(piece[p:stop])) is not None:
+            heapq.heappush(heap, (rank, p, stop))
+    return left
+
+
+@lru_cache(maxsize=2)
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def token_counts(docs: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
+    """Rows (key, tokens), one for each row with a text (keys must be unique): 0 for an empty one.
+
+    The JVM finds the pre-tokens (a look-ahead and Unicode classes are no difficulty there), each distinct one is merged
+    once, and the counts meet the texts by a join in which pre-tokens of many texts are dealt.
+    """
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    pieces = F.regexp_extract_all("t", F.lit("(?U)" + pattern), F.lit(0))
+    counts = cut(rows.select("k", F.explode(pieces).alias("piece")).groupBy("k", "piece").agg(F.count("*").alias("n")))
+    sizes = cut(counts.groupBy("piece").agg(F.count("*").alias("texts")))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _ranks(path)
+        for batch in batches:
+            found = [merged_count(x.encode(), own) for x in batch.column("piece").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], ["piece", "texts", "tokens"])
+
+    every = dealt_join(counts, cut(sizes.mapInArrow(merge, "piece string, texts long, tokens long")), ["piece"], "texts", ["k"])
+    sums = every.groupBy("k").agg(F.sum(F.col("n") * F.col("tokens")).alias("tokens"))
+    return rows.select("k").join(sums, "k", "left").select(F.col("k").alias(key), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+
+
 def has_special(text: Column, literals: list[str]) -> Column:
     """Whether a text holds the literal of a special token; such a text is rejected as input, row by row."""
     return F.coalesce(reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals], F.lit(False)), F.lit(False))

@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tokenledger.functions import canonical, text
@@ -222,8 +223,9 @@ def first_match(spark, d):
 
 @query("SELECT conv_id, array_to_string(list(turn ORDER BY turn)[greatest(1, count(*) - 2):], ',') AS last_turns FROM conversations GROUP BY conv_id")
 def last_k(spark, d):
-    turns = F.array_sort(F.collect_list("turn"))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.slice(turns, F.greatest(F.lit(1), F.size(turns) - 2), F.lit(3)), ",").alias("last_turns"))
+    """A window keeps three turns of each conversation before anything is gathered."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn").withColumn("back", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))).where("back <= 3")
+    return rows.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("turn")), ",").alias("last_turns"))
 
 
 @query("SELECT doc_id, coalesce(quality, -1)::INTEGER AS quality, CASE WHEN quality IS NULL THEN 'NOT_LABELLED' ELSE 'LABELLED' END AS status FROM documents LEFT JOIN labels USING (doc_id)")
@@ -403,14 +405,17 @@ def bpe_round_trip(spark, d):
 
 @query()
 def bpe_premium(spark, d):
-    count = tokenizer.token_count(*_ranks())
-    rows = outcomes.measured(pairs.conversation_pairs(table(spark, d, "conversations")), count)
+    both = clusters.cut(pairs.conversation_pairs(table(spark, d, "conversations")))
+    sides = both.select(F.explode(F.array(*[F.struct(F.struct("pair_id", F.lit(s).alias("side")).alias("k"), F.col(f"{s}_text").alias("text")) for s in "ab"])).alias("x")).select("x.*")
+    counts = tokenizer.token_counts(sides, "k", "text", *_ranks()).select("k.*", "tokens").groupBy("pair_id").agg(*[F.max(F.when(F.col("side") == s, F.col("tokens"))).alias(f"{s}_tokens") for s in "ab"])
+    rows = outcomes.measured(both.join(counts, "pair_id"), None)
     return rows.select("pair_id", *[v.alias(k) for k, v in outcomes.outcomes().items()])
 
 
 @query()
 def chunk_features(spark, d):
-    counted = table(spark, d, "documents").select("doc_id", "text", tokenizer.token_count(*_ranks())("text").alias("n_tokens"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    counted = docs.join(tokenizer.token_counts(docs, "doc_id", "text", *_ranks()).withColumnRenamed("tokens", "n_tokens"), "doc_id", "left")
     return counted.select("doc_id", "n_tokens", *[v.alias(k) for k, v in tokenizer.mechanism(F.col("text"), _ranks()[1], F.col("n_tokens")).items()])
 
 
@@ -419,7 +424,10 @@ def vocabulary_digest(spark, d):
     return canonical.ordered_digest(files.vocabulary(spark, _ranks()[0]), "rank", "token")
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS i FROM documents GROUP BY source),
+f(i, source, n, fold, load) AS (SELECT 0::BIGINT, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[]
+  UNION ALL SELECT g.i, g.source, g.n, list_position(load, list_min(load))::BIGINT - 1, list_transform(range(1, 6), lambda j: load[j] + CASE WHEN j = list_position(load, list_min(load)) THEN g.n ELSE 0 END) FROM f JOIN g ON g.i = f.i + 1)
+SELECT source, n, fold FROM f WHERE i > 0""")
 def group_kfold(spark, d):
     return splits.group_folds(table(spark, d, "documents"), "source", 5)
 
