@@ -240,3 +240,18 @@ def test_segments_of_made_words(spark):
     assert set(got) == set(range(40))
     parts = morphology.analysed(df.where("k = 0"), "t", segments.analyzer(model)).first()
     assert all(texts[0][x.start : x.start + x.length] == x.form and x.tag in (segments.PREFIX, segments.STEM, segments.SUFFIX) for x in parts.morpheme_sequence)
+
+
+@pytest.mark.parametrize("q", [0.5, 0.9])
+def test_quantile_lines_are_optimal(spark, q):
+    """The best line of the linear program goes through two points: no line through any two has a lower check loss."""
+    rng = np.random.default_rng(10)
+    x = rng.random(90) * 7 + 1000
+    y = 3 * x + (x - 999) * rng.standard_t(3, 90)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0)], "x double, y double")
+    fit = models.quantile_regression(df, ["x"], "y", q)
+    loss = lambda a, b: float(np.where((r := y - a - b * x) >= 0, q * r, (q - 1) * r).sum())
+    best = min(loss(y[i] - (y[j] - y[i]) / (x[j] - x[i]) * x[i], (y[j] - y[i]) / (x[j] - x[i])) for i, j in itertools.combinations(range(90), 2))
+    own = loss(*fit["beta"])
+    assert fit["converged"] and fit["n"] == 90 and math.isclose(own, fit["loss"], rel_tol=1e-6) and own <= best * (1 + 1e-5) and abs(fit["gap"]) < 1e-4
+    assert best >= own - fit["gap"] * 90 - 1e-6

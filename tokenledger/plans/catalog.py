@@ -589,6 +589,19 @@ def ols_blocks(spark, d):
     return spark.createDataFrame(models.nested_models(_modelled(spark, d), _BLOCKS, "y", "source"), _MODEL_ROW)
 
 
+_OWN = _MODEL + ", w AS (SELECT " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY source) AS {c}" for c in [*_FEATURES, "y"]) + " FROM t WHERE source IS NOT NULL), " + _swept("w", [*_FEATURES, "y"], 3)
+
+
+@query(_OWN + """, g AS (SELECT count(DISTINCT source) AS groups FROM t)
+SELECT 'M0' AS model, 1::BIGINT AS features, q0.n, groups, round(1 - q1.s3_3 / q0.s3_3, 6) AS r2, NULL::DOUBLE AS delta_r2, NULL::DOUBLE AS f FROM q0, q1, g
+UNION ALL SELECT 'M1', 3, q0.n, groups, round(1 - q3.s3_3 / q0.s3_3, 6), round((q1.s3_3 - q3.s3_3) / q0.s3_3, 6), round((q1.s3_3 - q3.s3_3) / 2 / (q3.s3_3 / (q0.n - groups - 3)), 4) FROM q0, q1, q3, g""")
+def ols_fit(spark, d):
+    """What ols_blocks reports, but for the tail of F."""
+    cut = lambda x, n: None if x is None else round(x, n)
+    rows = models.nested_models(_modelled(spark, d), _BLOCKS, "y", "source")
+    return spark.createDataFrame([(r["model"], r["features"], r["n"], r["groups"], round(r["r2"], 6), cut(r["delta_r2"], 6), cut(r["f"], 4)) for r in rows], "model string, features long, n long, groups long, r2 double, delta_r2 double, f double")
+
+
 @query(_MODEL + """, r AS (SELECT power(corr(y, n_points), 2) AS small, corr(y, n_points) AS r1, corr(y, digit_ratio) AS r2, corr(n_points, digit_ratio) AS r12 FROM t)
 SELECT round((r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12) - small, 6) AS delta_r2 FROM r""")
 def block_increment(spark, d):
@@ -614,9 +627,10 @@ def huber(spark, d):
 
 @query()
 def quantile_reg(spark, d):
-    rows = _modelled(spark, d)
+    """Quantile lines, with a bound a row on what a better line could save."""
+    rows = clusters.cut(_modelled(spark, d))
     fits = [(f"quantile {q:.2f}", models.quantile_regression(rows, ["n_points"], "y", q)) for q in models.QUANTILES.values()]
-    return spark.createDataFrame([(k, float(f["beta"][0]), float(f["beta"][1]), f["converged"]) for k, f in fits], _FIT_ROW)
+    return spark.createDataFrame([(k, float(f["beta"][0]), float(f["beta"][1]), f["loss"], f["gap"], f["converged"]) for k, f in fits], "model string, intercept double, slope double, loss double, gap double, converged boolean")
 
 
 @query()
@@ -713,7 +727,7 @@ def sensitivity_variants(spark, d):
 @query()
 def sensitivity_models(spark, d):
     """The slope of length under other models: least squares, Huber, quantiles, fixed and random source intercepts."""
-    rows = _modelled(spark, d)
+    rows = clusters.cut(_modelled(spark, d))
     fits = {"ols": models.least_squares(rows, ["n_points"], "y"), "huber": models.huber(rows, ["n_points"], "y")}
     fits |= {f"quantile_{q:.2f}": models.quantile_regression(rows, ["n_points"], "y", q) for q in models.QUANTILES.values()}
     out = [(k, float(f["beta"][1])) for k, f in fits.items()]
