@@ -47,6 +47,9 @@ class Encoder:
     """
 
     cache = CACHE
+    #: Tokens that are matched in the text as it comes, if any: their ids, a pattern of them, and what splits at them.
+    added: dict[str, int] = {}
+    literal, parts = "", None
 
     def __init__(self, path: str, pattern: str, unsafe: str) -> None:
         from tokenizers import Tokenizer
@@ -56,7 +59,6 @@ class Encoder:
         self.unsafe = unsafe
         self.find = regex.compile(pattern, regex.V0).findall
         self.latin = dict(enumerate(byte_alphabet()))
-        # tokens that are matched in the text as it comes
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         names = "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))
         self.literal, self.parts = "|".join(map(re.escape, self.added)), regex.compile(f"({names})", regex.V0).split if names else None
