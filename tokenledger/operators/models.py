@@ -279,7 +279,7 @@ def quantile_regression(df: DataFrame, features: list[str], target: str, q: floa
     beta = -dual[1:] * spread[-1] / spread[:-1]
     gap = (r["loss"] - r["dual"]) / g.n
     return {
-        "beta": np.append(g.mean[-1] - dual[0] * spread[-1] - beta @ g.mean[:-1], beta), "loss": r["loss"] * spread[-1], "gap": gap * spread[-1], "n": int(g.n), "converged": bool(abs(gap) < 1e-6), "rounds": step,
+        "beta": np.append(g.mean[-1] - dual[0] * spread[-1] - beta @ g.mean[:-1], beta), "loss": float(r["loss"] * spread[-1]), "gap": float(gap * spread[-1]), "n": int(g.n), "converged": bool(abs(gap) < 1e-6), "rounds": step,
     }
 
 
