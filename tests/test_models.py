@@ -1,5 +1,6 @@
 """Models, tests, quantiles, resampling and segments: against numpy, plain Python or all possibilities."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tokenledger.operators import effects, factors, joins, models, morphology, quantiles, ranks, resampling, segments, stats, tuning
+from tokenledger.operators import draws, effects, factors, joins, models, morphology, quantiles, ranks, resampling, segments, stats, tuning
 
 
 @pytest.fixture(scope="module")
@@ -255,3 +256,39 @@ def test_quantile_lines_are_optimal(spark, q):
     own = loss(*fit["beta"])
     assert fit["converged"] and fit["n"] == 90 and math.isclose(own, fit["loss"], rel_tol=1e-6) and own <= best * (1 + 1e-5) and abs(fit["gap"]) < 1e-4
     assert best >= own - fit["gap"] * 90 - 1e-6
+
+
+# draws
+
+
+def test_md5_of_numbers():
+    for low, high in ((0, 1), (0, 120), (95, 1005), (10**9 - 3, 10**9 + 3)):
+        words, size = draws.digits(low, high)
+        for prefix in ("1:2:", "12:3:", "123:4:", "4263151703:4999:", "18446744073709551615:49999:"):
+            want = [int(hashlib.md5(f"{prefix}{k}".encode()).hexdigest()[:8], 16) for k in range(low, high)]
+            assert draws.md5_heads(prefix.encode(), words, size).tolist() == want
+
+
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 7, "SLICE": 20, "CHUNK": 90}, {"SPREAD": 0.01}])
+def test_drawn_medians_equal_plain_draws(spark, monkeypatch, sizes):
+    """With ties and null values; over several slices of rows; with an interval that has to be widened."""
+    for name, size in sizes.items():
+        monkeypatch.setattr(draws, name, size)
+    rng = np.random.default_rng(3)
+    values = [None if i % 11 == 0 else float(v) for i, v in enumerate(np.round(rng.normal(size=401), 1))]
+    df = spark.createDataFrame([(f"{i:04d}", v) for i, v in enumerate(values)], "k string, v double").repartition(5)
+    got = {r.resample: r.median for r in stats.bootstrap_medians(df, "v", "k", 30, 17).collect()}
+    drawn = [[values[int(hashlib.md5(f"17:{b}:{k}".encode()).hexdigest()[:8], 16) % 401] for k in range(401)] for b in range(30)]
+    assert got == {b: float(np.median([v for v in xs if v is not None])) for b, xs in enumerate(drawn)}
+    assert stats.bootstrap_medians(df.where("v IS NULL"), "v", "k", 30, 17).count() == 0
+
+
+def test_draws_stay_off_the_driver(spark):
+    """15 million draws of 3,000 rows, where no table of more than 256 MB may be broadcast."""
+    df = spark.range(3000).select(F.col("id").alias("k"), F.sqrt(F.col("id")).alias("v"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "256m")
+    try:
+        r = stats.bootstrap_interval(df, "v", "k", 5000, 5).first()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert 36 < r.low < math.sqrt(1500) < r.high < 41

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenledger.operators.ranks import falling, numbered, running
+from tokenledger.operators.draws import drawn_medians
+from tokenledger.operators.ranks import falling, running
 from tokenledger.operators.resampling import poisson_medians
 
 
@@ -59,17 +60,12 @@ def location_tests(df: DataFrame, value: str) -> list[dict]:
 
 
 def bootstrap_medians(df: DataFrame, value: str, key: str, resamples: int, seed: int) -> DataFrame:
-    """Rows (resample, median): draws are MD5 of seed, resample and draw, modulo n. Takes n * resamples rows."""
-    ordered = numbered(df.select(F.col(key).alias("k"), F.col(value).alias("v")), ["k"], "nth").select((F.col("nth") - 1).alias("i"), "v")
-    n = ordered.count()
-    draws = df.sparkSession.range(resamples).select(F.col("id").alias("resample"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    name = F.md5(F.concat_ws(":", F.lit(str(seed)), "resample", "k"))
-    draws = draws.select("resample", F.pmod(F.conv(F.substring(name, 1, 8), 16, 10).cast("long"), F.lit(n)).alias("i"))
-    return draws.join(ordered, "i").groupBy("resample").agg(F.median("v").alias("median"))
+    """Rows (resample, median): draws are MD5 of seed, resample and draw, modulo n. Makes n * resamples draws, of which only counts are kept (draws.drawn_medians)."""
+    return drawn_medians(df, value, key, resamples, seed)
 
 
 def bootstrap_interval(df: DataFrame, value: str, key: str, resamples: int, seed: int, level: float = 0.95) -> DataFrame:
-    """One row (low, high): the percentile interval of the resamples' medians, drawn row by row (for tables of some thousand rows)."""
+    """One row (low, high): the percentile interval of the resamples' medians, each of n draws."""
     return _interval(bootstrap_medians(df, value, key, resamples, seed), level)
 
 
